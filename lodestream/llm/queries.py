@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, mixing, quality, urlfilter, warc
+from lodestream.llm import decontam, mixing, neardup, quality, urlfilter, warc
 from lodestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,10 @@ FROM (SELECT *, CASE WHEN response_page_id IS NULL THEN 'missing' WHEN etag IS N
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_url_rules, op5_decontaminate, op8_mix_sources, op9_warc_revisits)}
 ORACLES: dict[str, str] = {"op2_url_rules": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_warc_revisits": OP9_SQL}
+
+
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+QUERIES["op3_hyperminhash"] = op3_hyperminhash
