@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, mixing, neardup, quality, urlfilter, warc
+from lodestream.llm import decontam, katz, mixing, neardup, quality, urlfilter, warc
 from lodestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +117,10 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_hyperminhash"] = op3_hyperminhash
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_katz"] = op10_katz
