@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm import textkernel as tk
+from lodestream.llm.blocks import pack, small, unpack
 from lodestream.llm.common import Stored, crc_mod, pieces, require
 
 K, RESERVE = 5, 1 / 1024
@@ -167,30 +168,6 @@ def _count_pairs(keys: np.ndarray):
     return run
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays as one compressed block."""
-    raw = [np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize * 2 + (a.dtype.kind == "f"), len(a))]], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]
-    data = b"".join(raw)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def _unpack(block: bytes) -> list[np.ndarray]:
-    data = pa.decompress(block[8:], decompressed_size=int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
-    k = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 1 + 2 * k)[1:]
-    at, out = 8 * (1 + 2 * k), []
-    for code, n in zip(head[::2].tolist(), head[1::2].tolist(), strict=True):
-        dtype = np.dtype(f"{'f' if code % 2 else 'u'}{code // 2}")
-        out.append(np.frombuffer(data, dtype, n, at))
-        at += dtype.itemsize * n
-    return out
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
-
-
 def _per_doc(doc: np.ndarray, n: int, cols: list[np.ndarray]) -> list[np.ndarray]:
     """Sums of each column by text, of the texts that occur."""
     idx = np.flatnonzero(np.bincount(doc, minlength=n))
@@ -225,7 +202,7 @@ def _blocks(nb: int, uni: Unigrams, hw: np.ndarray, hc: np.ndarray, pk: np.ndarr
             idx = np.array([0 if x is None else x for x in ids], np.int64)
             none = np.array([x is None for x in ids], np.uint8)
             table = [idx.view(np.uint64), none, held.astype(np.uint8), tk.counts(d, n).astype(np.uint64)]
-            block = _pack([*table, *_per_doc(d, n, [base, known, s, *few])])
+            block = pack([*table, *_per_doc(d, n, [base, known, s, *few])])
             out = [(batch % nb, batch, True, block)]
             o = np.lexsort((h, w)) if not fp.any() else (k := np.flatnonzero(~fp))[np.lexsort((h[k], w[k]))]
             x, y, e = w[o], h[o], d[o] * 4 + held[d[o]]
@@ -241,7 +218,7 @@ def _blocks(nb: int, uni: Unigrams, hw: np.ndarray, hc: np.ndarray, pk: np.ndarr
                 g = order[cut[b] : cut[b + 1]]
                 k = np.repeat(pair[g] - (np.cumsum(gn[g]) - gn[g]), gn[g]) + np.arange(gn[g].sum())
                 wx = _runs(gx[g])
-                out.append((int(b), batch, False, _pack([np.array([n], np.uint64), gx[g][wx], _small(np.diff(np.r_[wx, len(g)])), gy[g], _small(gn[g]), _small(e[k]), _small(cnt[k])])))
+                out.append((int(b), batch, False, pack([np.array([n], np.uint64), gx[g][wx], small(np.diff(np.r_[wx, len(g)])), gy[g], small(gn[g]), small(e[k]), small(cnt[k])])))
             for lo in range(0, len(out), 64):
                 z = list(zip(*out[lo : lo + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), pa.array(z[1], pa.int64()), pa.array(z[2], pa.bool_()), pa.array(z[3], pa.binary())], names=["bucket", "batch", "whole", "block"])
@@ -277,7 +254,7 @@ def _bucket(uni: Unigrams, hw: np.ndarray, hc: np.ndarray):
             if whole:
                 out.append(_emit(1, kind=["d"], batch=[batch], block=[b"\x01" + block]))
             else:
-                n, ux, un, gy, gn, e, cnt = _unpack(block)
+                n, ux, un, gy, gn, e, cnt = unpack(block)
                 got.append((batch, int(n[0]), np.repeat(ux, un), gy, gn, e.astype(np.int64), cnt.astype(np.int64)))
         if got:
             size = [len(g[3]) for g in got]
@@ -306,7 +283,7 @@ def _bucket(uni: Unigrams, hw: np.ndarray, hc: np.ndarray):
                 lo += m
                 doc, rp = e // 4, r[p]
                 cols = [base[p] * cnt, known[p] * cnt, s[p] * cnt, *[(rp == k + 1) * cnt for k in range(K)]]
-                out.append(_emit(1, kind=["d"], batch=[batch], block=[b"\x00" + _pack(_per_doc(doc, n, cols))]))
+                out.append(_emit(1, kind=["d"], batch=[batch], block=[b"\x00" + pack(_per_doc(doc, n, cols))]))
                 lost = np.flatnonzero(rp == 0)
                 if len(lost):
                     out.append(_emit(len(lost), kind=["x"] * len(lost), batch=np.full(len(lost), batch), doc=doc[lost].astype(np.int32), h=np.repeat(gy, gn)[lost].view(np.int64), n=cnt[lost]))
@@ -321,11 +298,11 @@ _DOC = f"batch long, doc int, doc_id long, held int, n_tokens long, n_known long
 def _gather(table: pa.Table) -> pa.Table:
     """All blocks of one batch of texts: a row for each text."""
     blocks = table["block"].to_pylist()
-    whole = [_unpack(b[1:]) for b in blocks if b[:1] == b"\x01"][0]
+    whole = [unpack(b[1:]) for b in blocks if b[:1] == b"\x01"][0]
     ids, none, held, tokens, *first = whole
     n = len(ids)
     sums = np.zeros((3 + K, n))
-    for idx, *cols in [first, *[_unpack(b[1:]) for b in blocks if b[:1] == b"\x00"]]:
+    for idx, *cols in [first, *[unpack(b[1:]) for b in blocks if b[:1] == b"\x00"]]:
         sums[:, idx] += np.array(cols)
     num = lambda a: pa.array(np.rint(a).astype(np.int64))
     ids = pa.array(ids.view(np.int64), mask=none.astype(bool))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, katz, mixing, neardup, quality, urlfilter, warc
+from lodestream.llm import decontam, katz, mixing, neardup, quality, suffixdedup, urlfilter, warc
 from lodestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,10 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_katz"] = op10_katz
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_bytes(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
