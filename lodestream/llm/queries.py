@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, katz, mixing, neardup, quality, suffixdedup, urlfilter, warc
+from lodestream.llm import decontam, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
 from lodestream.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+
+
+def op4_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES |= {"op4_html_crf": op4_html_crf, "op6_nn_descent": op6_nn_descent}
