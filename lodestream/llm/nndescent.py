@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import Stored, require
 
-DEGREE, TREES, CELL, ROUNDS = 24, 4, 400, 3
-WIDE, AHEAD, HOPS, SURE, SALTS = 200, 24, 6, 60, 64
+DEGREE, TREES, CELL, ROUNDS = 32, 5, 400, 3
+WIDE, AHEAD, HOPS, SURE, SALTS = 300, 40, 7, 60, 64
 
 
 def _whole_groups(batches, key: int = 0) -> Iterator[pa.Table]:
