@@ -7,6 +7,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestream.spec import MISSING
 
@@ -112,7 +113,7 @@ def comma_decimal(c: Column) -> Column:
     return plain_decimal(F.replace(c, F.lit(","), F.lit(".")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """Numbers to six significant digits (as `%.6g`), which no built-in writes; others unchanged."""
 

@@ -120,7 +120,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 def rejection_fields(error: Column) -> Column:
     """Fields that an error speaks of: the listed missing ones, else those it names."""
-    listed = F.transform(F.split(F.regexp_extract(error, r"missing required evidence-backed values:\s*(.+)$", 1), ","), F.trim)
+    listed = F.transform(F.split(F.regexp_extract(error, r"missing required evidence-backed values:\s*(.+)$", 1), ","), lambda x: F.trim(x))
     named = F.array_compact(F.array(*[F.when(error.contains(f), F.lit(f)) for f in ("compound_id", "target_type", "target_relation", "target_value", "target_units", "bacteria", "smiles")], F.when(error.contains("empty evidence text"), F.lit("evidence"))))
     return F.when(error.contains("missing required evidence-backed values:"), F.filter(listed, lambda x: x != "")).otherwise(F.array_distinct(named))
 
