@@ -34,8 +34,8 @@ from lodestream.llm.blocks import pack, small, unpack
 from lodestream.llm.common import Stored, crc_mod, pieces, require
 
 K, RESERVE = 5, 1 / 1024
-MAX_TOKENS = 3_000_000
-BUCKET_BYTES = 20 << 20
+MAX_TOKENS = 1_500_000
+BUCKET_BYTES = 10 << 20
 END, BOS = np.uint64(0x0E0D), np.uint64(0x0B05)
 _M = [f"m{r}" for r in range(1, K + 1)]
 _N = [f"n{r}" for r in range(1, K + 2)]
