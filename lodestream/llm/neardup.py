@@ -11,9 +11,10 @@ and the rest is decided on the full shingle sets.
 
 Documents with equal sets are one class and are compared once, through the smallest
 id.  Links needn't all be found to know the components, so a band's members are first
-compared with a few hubs, drawn anew each round; pairs already in one component need
-no further look, and only pairs that are still apart after HUB_ROUNDS are compared
-one by one.  No group of copies is expanded into its pairs.
+compared with a hub, then with another; pairs already in one component need no further
+look.  Members of bands that are still apart after HUB_ROUNDS are compared in blocks
+of BLOCK by BLOCK within a task, where only links that join components come out.  No
+group of copies is expanded into its pairs.
 
 Defined results: a text without words (null, empty, blank) has an empty set, is linked
 with nothing and kept; a text of fewer than k words is one shingle; rows without doc_id
@@ -30,7 +31,9 @@ from lodestream.llm import textkernel as tk
 from lodestream.llm.common import Stored, require
 from lodestream.llm.graph import components
 
-REGISTERS, ROWS, BANDS, MANTISSA, HUB_ROUNDS = 256, 5, 51, 10, 3
+REGISTERS, ROWS, BANDS, MANTISSA, HUB_ROUNDS = 256, 5, 51, 10, 2
+#: Members of a block when what the hubs left apart is compared.
+BLOCK = 512
 _SHORT = tk.mix(np.arange(64, dtype=np.uint64) + tk.U(0xABCDEF))
 
 
@@ -162,17 +165,60 @@ def _linked(percent: int):
     def run(batches):
         for b in batches:
             xa, xb = b.column("xa").to_pylist(), b.column("xb").to_pylist()
-            ok = []
-            for p, q in zip(xa, xb, strict=True):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                z = np.sort(np.concatenate([u, v]), kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+            ok = [_similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(xa, xb, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _block_links(percent: int):
+    """Two blocks of one group (or one with itself): links between what is in different components.
+    The likeliest pairs come first; a pair that earlier ones have joined needs no look."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        rep, c, n = table["rep"].to_numpy(), table["c"].to_numpy(), table["n_shingles"].to_numpy()
+        reg = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(rep), REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in table["x"].to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        p = percent / 100
+        found = []
+        for a in left:
+            b = right[right > a] if i == j else right
+            b = b[(c[b] != c[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
+            if len(b):
+                same = (reg[b] == reg[a]).sum(1)
+                ratio = n[b] / n[a]
+                chance = REGISTERS * 0.1699 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
+                est = (same - chance) / (REGISTERS - chance)
+                used = REGISTERS * (1 - np.exp(-np.minimum(n[b], n[a]) / REGISTERS))
+                ok = est >= p - 6 * np.sqrt(p * (1 - p) / used) - 0.02
+                found += [(-e, a, x) for e, x in zip(est[ok].tolist(), b[ok].tolist(), strict=True)]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for _, a, b in sorted(found):
+            ra, rb = root(int(c[a])), root(int(c[b]))
+            if ra != rb and _similar(sets[a], sets[b], percent):
+                up[max(ra, rb)] = min(ra, rb)
+                out.append((int(rep[a]), int(rep[b])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _similar(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    z = np.sort(np.concatenate([u, v]), kind="stable")
+    both = int((z[1:] == z[:-1]).sum())
+    return 100 * both >= percent * (len(u) + len(v) - both)
+
+
 def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ra = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("regs").alias("ra"))
     rb = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("regs").alias("rb"))
@@ -193,6 +239,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands = reps.df.select("rep", band.alias("i", "key")).drop("i")
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
     live = Stored(bands.join(shared, "key"), "bands")
+    # of a base and its copies the base shares most bands with the others, so it makes the best hub
+    size = live.df.groupBy("key").agg(F.count("*").alias("n"))
+    weight = Stored(live.df.join(size, "key").groupBy("rep").agg(F.sum("n").alias("weight")), "weight")
 
     ids = live.df.select(F.col("rep").alias("doc_id")).distinct()
     sets = Stored(d.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(k), "id long, x binary"), "sets")
@@ -210,9 +259,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for turn in range(HUB_ROUNDS):
         now = labelled(live.df, comp)
         # equal keys with one component left need no look
-        order = F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), "rep", "c")
+        order = F.struct((-F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "rep")).alias("o"), "rep", "c")
+        now = now.join(weight.df, "rep")
         hubs = now.groupBy("key").agg(F.min(order).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "hub.rep", "hub.c").toDF("key", "hub", "hc")
-        pairs = now.join(hubs, "key").where("c <> hc").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        pairs = now.select("key", "rep", "c").join(hubs, "key").where("c <> hc").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t.df, ["a", "b"], "left_anti")
         tested.append(Stored(pairs, "tested"))
@@ -221,18 +271,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if found.df.isEmpty() and turn:
             break
         comp = _all(edges, comp)
-    # what is still apart, one by one
+    # what is still apart: groups of keys that touch each other, all pairs of each, block by block
     now = Stored(labelled(live.df, comp), "apart")
-    keys = now.df.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+    keys = now.df.groupBy("key").agg(F.min("rep").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", "hub")
     rest = now.df.join(keys, "key")
-    other = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    pairs = rest.join(other, "key").where("rep < b and c <> cb").select(F.col("rep").alias("a"), "b").distinct()
-    for t in tested:
-        pairs = pairs.join(t.df, ["a", "b"], "left_anti")
-    edges.append(Stored(_verify(pairs, cand_reps.df, sets.df, percent), "edges"))
+    group = Stored(components(rest.select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "groups")
+    size = group.df.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    member = rest.select("rep", "c").distinct().join(group.df.withColumnRenamed("u", "rep"), "rep").join(size, "component")
+    member = member.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    member = member.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
+    held = cand_reps.df.select("rep", "n_shingles", "regs").join(sets.df.withColumnRenamed("id", "rep"), "rep")
+    blocks = member.join(held, "rep").groupBy("component", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    edges.append(Stored(blocks, "edges"))
     if not edges[-1].df.isEmpty():
         comp = _all(edges, comp)
-    for s in (live, sets, cand_reps, now, *tested):
+    group.drop()
+    for s in (live, weight, sets, cand_reps, now, *tested):
         s.drop()
     found = classes.agg(F.min("doc_id").alias("rep"))
     if comp is not None:
