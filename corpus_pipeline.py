@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestream.llm import decontam, mixing, neardup, quality, suffixdedup
 from lodestream.llm.common import Stored, read
-from lodestream.llm.queries import MIX, MIX_DOMAIN
+from lodestream.llm.queries import MIX, mix_domain
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX_DOMAIN, **MIX)
+    return mixing.mix(docs, mix_domain(), **MIX)
 
 
 STAGES = [("quality", keep_good), ("near_dedup", near_dedup), ("repeats", remove_repeats), ("decontaminate", decontaminate), ("mix", mix_sources)]

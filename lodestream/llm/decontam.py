@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestream.llm import textkernel as tk
 from lodestream.llm.common import require
@@ -153,6 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, chunk: int = CHUNK) -> DataFr
     similarity, its first word (from 0) and its number of words."""
     require(docs, "doc_id", "text")
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, similarity double, first_word long, n_words long"
     out = None
     for items in build_items(benchmark, chunk):
@@ -170,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, chunk: int = CHUNK) -> DataFr
                     got += [(ids[i + o], items[w].ids[y], *v) for (o, w, y), v in sorted(best.items())]
                 if got:
                     cols = list(zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], b.schema.types[0]), pa.array(list(cols[1]), pa.int64() if item_type == "bigint" else None), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], b.schema.types[0]), pa.array(list(cols[1]), item_arrow), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -12,7 +12,8 @@ prefix is found without sorting the leaf: tokens are summed per slot of the lead
 SLOT_DIGITS hash digits, and only the one slot that straddles the cut is ordered by row.
 
 Defined results: null domains, languages and sources are nodes named `unknown`;
-weights that aren't given are the default, negative ones count as 0; texts without
+weights that aren't given are the default, negative ones count as 0; columns of docs
+whose names begin with `mix_` give way to those added here; texts without
 words are never selected; an empty table gives no rows; repeated rows count as rows."""
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ def mix(
     """The selected rows with all columns of docs, and mix_domain, mix_tokens and mix_copies
     (how often the row is drawn).  The budget is `fraction` of all tokens there are."""
     require(docs, "doc_id", "text", "lang", "source")
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     named = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumns({"mix_domain": named(domain), "mix_lang": named(F.col("lang")), "mix_source": named(F.col("source")), "mix_tokens": tokens})

@@ -157,34 +157,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed
     return Model(crf, float(max(w[0], 1e-3)), float(w[1]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and quality_score."""
-    require(docs, "text")
-    at = docs.columns.index("text")
-    name = "quality_score"
+def quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    model = fit(docs, labels, max_docs)
 
     def run(batches):
         for b in batches:
-            out = [model.scores(buf, off) for _, _, buf, off in tk.text_blocks(b.column(at))]
-            arr = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, arr], names=[*b.schema.names, name])
-
-    if name in docs.columns:
-        raise ValueError(f"{name} is taken")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+            out = [model.scores(buf, off) for _, _, buf, off in tk.text_blocks(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
-
-def quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    model = fit(docs, labels, max_docs)
-    s = F.col("quality_score")
-    return score(docs.select("doc_id", "text"), model).select(
-        "doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted")
-    )
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    scored = d.mapInArrow(run, StructType([docs.schema["doc_id"], StructField("score", DoubleType())]))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_bad(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with the columns of docs."""
     model = fit(docs, labels, max_docs)
-    return score(docs, model).where(F.col("quality_score") >= threshold).drop("quality_score")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            out = [model.scores(buf, off) for _, _, buf, off in tk.text_blocks(b.column(at))]
+            yield b.filter(pa.array(np.concatenate(out) >= threshold if out else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, StructType(docs.schema.fields))

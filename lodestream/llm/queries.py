@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontam, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
@@ -42,12 +42,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-MIX_DOMAIN = F.when(F.col("source") == "src0", "web").when(F.length("source") == 4, "books").when(F.col("source").isNotNull(), "code")
+
+
+def mix_domain() -> Column:
+    """The domain of a row's source."""
+    return F.when(F.col("source") == "src0", "web").when(F.length("source") == 4, "books").when(F.col("source").isNotNull(), "code")
+
+
 MIX = {"domain_weights": {"web": 5, "books": 3, "code": 2}, "lang_weights": {"en": 6, "de": 2, "fr": 1, "es": 1}, "source_weights": {"src3": 4, "src12": 4}, "fraction": 0.8, "max_epochs": 2, "seed": 17}
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.mix(read(spark, sf_dir, "documents"), MIX_DOMAIN, **MIX)
+    got = mixing.mix(read(spark, sf_dir, "documents"), mix_domain(), **MIX)
     return got.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
