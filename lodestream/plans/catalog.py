@@ -112,7 +112,8 @@ e AS (SELECT source, lang, CASE WHEN contains(line, ' | ') THEN 't' END AS table
   CAST(regexp_matches(line, '[0-9]{{2,}}') AS INTEGER) + CAST(regexp_matches(line, '(?i)licen[sc]e|copyright') AS INTEGER) + CAST(regexp_matches(line, '(?i)token|secret|password') AS INTEGER) + CAST(regexp_matches(line, '[a-z0-9.]+@[a-z0-9.]+') AS INTEGER) + CAST(contains(line, ' | ') AS INTEGER) AS complete,
   CAST(contains(line, ' | ') AS INTEGER) AS bonus, length(line) AS size,
   trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+', ' ', 'g'), ' ') AS flat FROM s),
-f AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(flat, '(?:^|[ ])([0-9]+[a-z]{{0,3}})(?:$|[ ])|mic|pmic|aureus|coli'))), ' ') AS hits FROM e)"""
+f AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(flat, '\\b[0-9]+[a-z]{{0,3}}\\b|mic|pmic|aureus|coli'))), ' ') AS hits FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, lang, table_id, CASE WHEN hits <> '' THEN hits ELSE substr(flat, 1, 240) END ORDER BY complete DESC, score DESC, bonus DESC, size, doc_id, line_no) AS rn FROM f)"""
 _RANK = "complete DESC, score DESC, bonus DESC, size, doc_id, line_no"
 
 
@@ -125,14 +126,17 @@ def exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.exact_first(_evidence(spark, sf_dir)).select(F.col("source_file").alias("source"), F.col("page").alias("lang"), F.col("ord1").alias("doc_id"), F.col("ord2").alias("line_no"))
 
 
-@_query()
+@_query(f"WITH {_EV} SELECT source, lang, doc_id, CAST(line_no AS INTEGER) AS line_no, round(score, 6) AS score FROM n WHERE rn = 1")
 def near_dup_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best line of each place and fingerprint."""
     d = evidence.near_collapse(_evidence(spark, sf_dir), DOCS)
     return d.select(F.col("source_file").alias("source"), F.col("page").alias("lang"), F.col("ord1").alias("doc_id"), F.col("ord2").alias("line_no"), F.round("score", 6).alias("score"))
 
 
-@_query()
+@_query(
+    f"WITH {_EV}, b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {_RANK}) AS pb FROM n WHERE rn = 1), h AS (SELECT *, CASE WHEN table_id IS NOT NULL THEN 0 WHEN pb = 1 THEN 1 ELSE 2 END AS phase FROM b),"
+    f" o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY phase, {_RANK}) AS place FROM h) SELECT source, lang, doc_id, CAST(line_no AS INTEGER) AS line_no, round(score, 6) AS score FROM o WHERE place <= 12"
+)
 def budget_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve pieces of evidence a source: tables first, then each language's best, then by rank."""
     d = evidence.within_budget(_evidence(spark, sf_dir), DOCS, 12)
