@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,7 +112,7 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]))
         yield {
             "record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "kind": head.get("warc-type"),
-            "status": int(status) if status.isdigit() else None, "etag": fields.get("etag"), "last_modified": fields.get("last-modified"), "headers": list(fields.items()), "payload": rest if lines else body,
+            "status": int(status) if status.isdigit() else None, "etag": fields.get("etag"), "last_modified": fields.get("last-modified"), "headers": fields, "payload": rest if lines else body,
         }
 
 
@@ -122,21 +123,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(frames):
         for f in frames:
             for data in f["content"]:
-                for at, rows in _grouped(parse_warc(data), 256):
-                    yield pd.DataFrame(rows) if at or rows else pd.DataFrame()
+                for rows in _grouped(parse_warc(data), 256):
+                    yield pd.DataFrame(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, kinds)
 
 
-def _grouped(it: Iterator[dict], n: int) -> Iterator[tuple[int, list[dict]]]:
-    rows: list[dict] = []
-    for i, x in enumerate(it):
-        rows.append(x)
-        if len(rows) == n:
-            yield i, rows
-            rows = []
-    if rows:
-        yield 1, rows
+def _grouped(it: Iterator[dict], n: int) -> Iterator[list[dict]]:
+    while rows := list(itertools.islice(it, n)):
+        yield rows
 
 
 def write_record(kind: str, record_id: str, url: str, date: str, status: int, headers: dict[str, str], payload: bytes) -> bytes:
