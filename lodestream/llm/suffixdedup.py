@@ -2,9 +2,11 @@
 
 Every string of LENGTH bytes is the head of a suffix.  A head's least SEED-byte string
 (by hash, the leftmost if several) names its suffix bucket, so equal heads fall in one
-bucket.  Runs of heads with one seed travel as one piece of text; equal pieces of a map
-block travel once, with the places where they occur.  Buckets are handled one group at
-a time, each with its text alone in memory.
+bucket.  Texts are kept in blocks; first the blocks' seeds alone are sent, to find those
+that lie in more than one text, since the others' heads cannot repeat.  Runs of heads
+with such a seed then travel as one piece of text; equal pieces of a block travel once,
+with the places where they occur.  Buckets are handled one group at a time, each with
+its text alone in memory.
 
 Within a bucket only seeds that lie in several documents and in different pieces need
 sorting.  Positions whose residue mod V is in the cover D are sampled, and ranked by
@@ -32,11 +34,14 @@ from pyspark.sql.types import StructType
 
 from lodestream.llm import textkernel as tk
 from lodestream.llm.blocks import pack, small, unpack
-from lodestream.llm.common import pieces, require
+from lodestream.llm.common import Stored, pieces, require
 
 LENGTH, SEED = 50, 16
-BLOCK_BYTES = 10 << 20
-BUCKET_BYTES = 8 << 20
+TEXT_BYTES = 1 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 5 << 20
+#: Pieces whose bytes are indexed at a time.
+STEP = 1 << 14
 V = 7
 #: A difference cover mod 7: every difference is one of two members.
 D = (0, 1, 3)
@@ -98,7 +103,14 @@ def cut(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
 
 
 def _gather_bytes(buf: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return buf[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    out = np.empty(int(n.sum()), np.uint8)
+    at = 0
+    for lo in range(0, len(a), STEP):
+        s, k = a[lo : lo + STEP], n[lo : lo + STEP]
+        size = int(k.sum())
+        out[at : at + size] = buf[np.repeat(s - (np.cumsum(k) - k), k) + np.arange(size)]
+        at += size
+    return out
 
 
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
@@ -109,59 +121,125 @@ def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _map(nb: int, id_at: int, text_at: int, length: int):
-    """Rows to (bucket, batch, whole, block): the rows themselves, and pieces of text by bucket."""
+def _cut_all(rows: pa.Table, id_at: int, text_at: int, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces of all rows: text, lengths, seed offset, text index, first byte in the text, seed and content hash."""
+    known = rows.column(id_at).is_valid().to_numpy()
+    parts = []
+    for i, j, buf, off in tk.text_blocks(rows.column(text_at), TEXT_BYTES):
+        a, e, m, doc, seed, content = cut(buf, off, length)
+        ok = known[i:j][doc]
+        a, e, m, doc, seed, content = a[ok], e[ok], m[ok], doc[ok], seed[ok], content[ok]
+        parts.append((_gather_bytes(buf, a, e - a), e - a, m, doc + i, a - off[doc], seed, content))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _seed_lists(seed: np.ndarray, doc: np.ndarray, nb: int):
+    """For each bucket the distinct low halves of its seeds, whether each lies in several texts, and each piece's index."""
+    bucket = ((seed >> tk.U(17)) % tk.U(nb)).astype(np.uint64)
+    key = (bucket << tk.U(32)) | (seed & tk.U(0xFFFFFFFF))
+    u, inv = np.unique(key, return_inverse=True)
+    lo, hi = np.full(len(u), 1 << 60), np.full(len(u), -1)
+    np.minimum.at(lo, inv, doc)
+    np.maximum.at(hi, inv, doc)
+    cuts = np.searchsorted(u >> tk.U(32), np.arange(nb + 1, dtype=np.uint64))
+    return bucket.astype(np.int64), (u & tk.U(0xFFFFFFFF)).astype(np.uint32), lo < hi, cuts, inv
+
+
+def _batches_of(rows: list[list]):
+    for lo in range(0, len(rows[0]), 64):
+        yield [x[lo : lo + 64] for x in rows]
+
+
+_T0 = "batch long, bucket int, rows binary, seeds binary"
+
+
+def _seed_pass(nb: int, id_at: int, text_at: int, length: int):
+    """Rows in blocks of some BLOCK_BYTES of text, and each block's seeds by bucket."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        rows, ids, parts, base, size = [], [], [], 0, 0
+        rows, size = [], 0
 
         def flush():
             batch = (part << 24) | seq
-            out = [(batch % nb, batch, True, _ipc(rows))]
-            texts, lens, m, doc, pos, seed, content = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(lens):
-                start = np.cumsum(lens) - lens
-                # one copy of each piece, with its places, bucket by bucket
-                bucket = ((seed >> tk.U(17)) % tk.U(nb)).astype(np.int64)
-                o = np.lexsort((content, bucket))
-                first = np.flatnonzero(np.r_[True, (content[o][1:] != content[o][:-1]) | (bucket[o][1:] != bucket[o][:-1])])
-                times = np.diff(np.r_[first, len(o)])
-                rep = o[first]
-                cuts = np.searchsorted(bucket[rep], np.arange(nb + 1))
-                ends = np.r_[0, np.cumsum(times)]
-                docs = np.array(ids, np.int64)
-                for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                    u, t = rep[cuts[b] : cuts[b + 1]], times[cuts[b] : cuts[b + 1]]
-                    places = o[ends[cuts[b]] : ends[cuts[b + 1]]]
-                    own, which = np.unique(doc[places], return_inverse=True)
-                    out.append((int(b), batch, False, pack([_gather_bytes(texts, start[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), docs[own].view(np.uint64), small(which), small(pos[places])])))
-            for lo in range(0, len(out), 32):
-                z = list(zip(*out[lo : lo + 32], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(z[0], pa.int32()), pa.array(z[1], pa.int64()), pa.array(z[2], pa.bool_()), pa.array(z[3], pa.binary())], names=["bucket", "batch", "whole", "block"])
+            _, _, _, doc, _, seed, _ = _cut_all(pa.Table.from_batches(rows).combine_chunks(), id_at, text_at, length)
+            out = [[batch], [None], [_ipc(rows)], [None]]
+            _, low, several, cuts, _ = _seed_lists(seed, doc, nb)
+            for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
+                x = slice(cuts[b], cuts[b + 1])
+                for col, v in zip(out, (batch, int(b), None, pack([low[x], np.packbits(several[x])])), strict=True):
+                    col.append(v)
+            for c in _batches_of(out):
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["batch", "bucket", "rows", "seeds"])
 
         for b in batches:
-            known = b.column(id_at).is_valid().to_numpy(zero_copy_only=False)
-            bi = b.column(id_at).fill_null(0).cast(pa.int64()).to_numpy()
-            for i, j, buf, off in tk.text_blocks(b.column(text_at)):
-                a, e, m, doc, seed, content = cut(buf, off, length)
-                ok = known[i:j][doc]
-                a, e, m, doc, seed, content = a[ok], e[ok], m[ok], doc[ok], seed[ok], content[ok]
-                parts.append((_gather_bytes(buf, a, e - a), e - a, m, doc + base, a - off[doc], seed, content))
+            _, off = tk.column(b.column(text_at))
+            for i, j in tk.blocks(off, BLOCK_BYTES):
                 rows.append(b.slice(i, j - i))
-                ids += bi[i:j].tolist()
-                base += j - i
-                size += len(buf)
+                size += int(off[j] - off[i])
                 if size >= BLOCK_BYTES:
                     yield from flush()
                     seq += 1
-                    rows, ids, parts, base, size = [], [], [], 0, 0
+                    rows, size = [], 0
         if rows:
             yield from flush()
 
     return run
 
 
+def _live_seeds(table: pa.Table) -> pa.Table:
+    """One bucket's seeds: of each block's list, which lie in several texts."""
+    lists = [unpack(x) for x in table["seeds"].to_pylist()]
+    several = [np.unpackbits(y, count=len(x)).astype(bool) for x, y in lists]
+    u, n = np.unique(np.concatenate([x for x, _ in lists]), return_counts=True)
+    flagged = np.isin(u, np.concatenate([x[m] for (x, _), m in zip(lists, several, strict=True)]))
+    live = u[(n > 1) | flagged]
+    return pa.table({"batch": table["batch"], "bucket": table["bucket"], "live": pa.array([np.packbits(np.isin(x, live)).tobytes() for x, _ in lists], pa.binary())})
+
+
+def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
+    """One block of rows and its live seeds: the pieces with these, by bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = next((x for x in table["rows"].to_pylist() if x is not None), None)
+        got = {b: x for b, x in zip(table["bucket"].to_pylist(), table["live"].to_pylist(), strict=True) if x is not None}
+        out: list[list] = [[], [], []]
+        if block is not None and got:
+            batch = table["batch"][0].as_py()
+            rows = pa.ipc.open_stream(block).read_all().combine_chunks()
+            texts, lens, m, doc, pos, seed, content = _cut_all(rows, id_at, text_at, length)
+            start = np.cumsum(lens) - lens
+            bucket, low, _, cuts, inv = _seed_lists(seed, doc, nb)
+            live = np.zeros(len(low), bool)
+            for b, bits in got.items():
+                live[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
+            keep = np.flatnonzero(live[inv])
+            # one copy of each piece, with its places, bucket by bucket
+            o = keep[np.lexsort((content[keep], bucket[keep]))]
+            first = _starts(bucket[o], content[o])
+            times, rep = np.diff(np.r_[first, len(o)]), o[first]
+            at = np.searchsorted(bucket[rep], np.arange(nb + 1))
+            ends = np.r_[0, np.cumsum(times)]
+            ids = rows.column(id_at).cast(pa.int64()).fill_null(0).to_numpy()
+            for b in np.flatnonzero(at[1:] > at[:-1]):
+                u, t = rep[at[b] : at[b + 1]], times[at[b] : at[b + 1]]
+                places = o[ends[at[b]] : ends[at[b + 1]]]
+                own, which = np.unique(doc[places], return_inverse=True)
+                for col, v in zip(out, (int(b), batch, pack([_gather_bytes(texts, start[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), ids[own].view(np.uint64), small(which), small(pos[places])])), strict=True):
+                    col.append(v)
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "block": pa.array(out[2], pa.binary())})
+
+    return run
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _doubled_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the sampled positions' suffixes to `depth` bytes and more; elsewhere 0."""
     n = len(text) - 8 * V * V
@@ -223,12 +301,8 @@ def _bucket(length: int):
     """One group of buckets: byte ranges to remove, by batch and text."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, got = [], []
-        for batch, whole, block in zip(table["batch"].to_pylist(), table["whole"].to_pylist(), table["block"].to_pylist(), strict=True):
-            if whole:
-                out.append((batch, True, block))
-            else:
-                got.append((batch, unpack(block)))
+        out = []
+        got = [(batch, unpack(block)) for batch, block in zip(table["batch"].to_pylist(), table["block"].to_pylist(), strict=True)]
         if got:
             text = np.concatenate([g[0] for _, g in got])
             lens = np.concatenate([g[1].astype(np.int64) for _, g in got])
@@ -285,17 +359,16 @@ def _bucket(length: int):
                     a, e = pos[z] + j[new], pos[z] + j[end] + length
                     for s in np.unique(src[z]):
                         x = src[z] == s
-                        out.append((got[s][0], False, pack([doc[z][x].astype(np.uint32), a[x].astype(np.uint32), e[x].astype(np.uint32)])))
-        c = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"batch": pa.array(c[0], pa.int64()), "whole": pa.array(c[1], pa.bool_()), "block": pa.array(c[2], pa.binary())})
+                        out.append((got[s][0], pack([doc[z][x].astype(np.uint32), a[x].astype(np.uint32), e[x].astype(np.uint32)])))
+        return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "block": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
 def _piece_hash(text: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     out = np.zeros(len(start), np.uint64)
-    for lo in range(0, len(start), 1 << 17):
-        s, n = start[lo : lo + (1 << 17)], lens[lo : lo + (1 << 17)]
+    for lo in range(0, len(start), STEP):
+        s, n = start[lo : lo + STEP], lens[lo : lo + STEP]
         rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         x = tk.BYTE[text[np.repeat(s, n) + rel]] * tk.powers(int(n.max()))[rel]
         out[lo : lo + len(s)] = tk.mix(np.add.reduceat(x, np.cumsum(n) - n) + n.astype(np.uint64))
@@ -319,12 +392,8 @@ def _finish(make):
     """All blocks of one batch: make(rows, text, first byte, end) with the merged ranges to remove."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, parts = None, []
-        for whole, block in zip(table["whole"].to_pylist(), table["block"].to_pylist(), strict=True):
-            if whole:
-                rows = pa.ipc.open_stream(block).read_all().combine_chunks()
-            else:
-                parts.append(unpack(block))
+        rows = pa.ipc.open_stream(next(x for x in table["rows"].to_pylist() if x is not None)).read_all().combine_chunks()
+        parts = [unpack(x) for x in table["block"].to_pylist() if x is not None]
         z = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
         return make(rows, *merged(*z))
 
@@ -340,9 +409,16 @@ def _kept(buf: np.ndarray, off: np.ndarray, doc: np.ndarray, a: np.ndarray, e: n
 
 def _run(docs: DataFrame, length: int, make, schema) -> DataFrame:
     nb = pieces(docs, BUCKET_BYTES)
-    blocks = docs.mapInArrow(_map(nb, docs.columns.index("doc_id"), docs.columns.index("text"), length), "bucket int, batch long, whole boolean, block binary")
-    ranges = blocks.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(length), "batch long, whole boolean, block binary")
-    return ranges.groupBy("batch").applyInArrow(_finish(make), schema)
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    t0 = Stored(docs.mapInArrow(_seed_pass(nb, id_at, text_at, length), _T0), "repeat-blocks").df
+    rows = t0.where("rows is not null").select("batch", "rows")
+    seeds = t0.where("seeds is not null").select("batch", "bucket", "seeds")
+    live = seeds.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_live_seeds, "batch long, bucket int, live binary")
+    both = rows.select("batch", F.lit(None).cast("int").alias("bucket"), "rows", F.lit(None).cast("binary").alias("live")).unionByName(live.withColumn("rows", F.lit(None).cast("binary")))
+    found = both.groupBy("batch").applyInArrow(_piece_pass(nb, id_at, text_at, length), "bucket int, batch long, block binary")
+    ranges = found.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(length), "batch long, block binary")
+    last = rows.withColumn("block", F.lit(None).cast("binary")).unionByName(ranges.withColumn("rows", F.lit(None).cast("binary")))
+    return last.groupBy("batch").applyInArrow(_finish(make), schema)
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
