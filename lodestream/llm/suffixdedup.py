@@ -37,9 +37,9 @@ from lodestream.llm.blocks import pack, small, unpack
 from lodestream.llm.common import Stored, pieces, require
 
 LENGTH, SEED = 50, 16
-TEXT_BYTES = 1 << 20
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 5 << 20
+TEXT_BYTES = 1 << 19
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 3 << 20
 #: Pieces whose bytes are indexed at a time.
 STEP = 1 << 14
 V = 7
@@ -227,6 +227,7 @@ def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
                 own, which = np.unique(doc[places], return_inverse=True)
                 for col, v in zip(out, (int(b), batch, pack([_gather_bytes(texts, start[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), ids[own].view(np.uint64), small(which), small(pos[places])])), strict=True):
                     col.append(v)
+        pa.default_memory_pool().release_unused()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "block": pa.array(out[2], pa.binary())})
 
     return run
@@ -360,6 +361,7 @@ def _bucket(length: int):
                     for s in np.unique(src[z]):
                         x = src[z] == s
                         out.append((got[s][0], pack([doc[z][x].astype(np.uint32), a[x].astype(np.uint32), e[x].astype(np.uint32)])))
+        pa.default_memory_pool().release_unused()
         return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "block": pa.array([x for _, x in out], pa.binary())})
 
     return run
