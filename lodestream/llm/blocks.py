@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+#: Blocks are written once and moved several times.
+LEVEL = 6
+
 
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays as one compressed block."""
     raw = [np.array([len(arrays), *[x for a in arrays for x in (a.dtype.itemsize * 2 + (a.dtype.kind == "f"), len(a))]], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]
     data = b"".join(raw)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

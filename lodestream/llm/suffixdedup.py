@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestream.llm import textkernel as tk
-from lodestream.llm.blocks import pack, small, unpack
+from lodestream.llm.blocks import LEVEL, pack, small, unpack
 from lodestream.llm.common import Stored, pieces, require
 
 LENGTH, SEED = 50, 16
@@ -115,7 +115,7 @@ def _gather_bytes(buf: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         for b in batches:
             out.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -167,7 +167,7 @@ def _seed_pass(nb: int, id_at: int, text_at: int, length: int):
             _, low, several, cuts, _ = _seed_lists(seed, doc, nb)
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
                 x = slice(cuts[b], cuts[b + 1])
-                for col, v in zip(out, (batch, int(b), None, pack([low[x], np.packbits(several[x])])), strict=True):
+                for col, v in zip(out, (batch, int(b), None, pack([np.diff(low[x], prepend=np.uint32(0)), np.packbits(several[x])])), strict=True):
                     col.append(v)
             for c in _batches_of(out):
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], names=["batch", "bucket", "rows", "seeds"])
@@ -189,7 +189,7 @@ def _seed_pass(nb: int, id_at: int, text_at: int, length: int):
 
 def _live_seeds(table: pa.Table) -> pa.Table:
     """One bucket's seeds: of each block's list, which lie in several texts."""
-    lists = [unpack(x) for x in table["seeds"].to_pylist()]
+    lists = [(np.cumsum(gaps, dtype=np.uint32), flags) for gaps, flags in map(unpack, table["seeds"].to_pylist())]
     several = [np.unpackbits(y, count=len(x)).astype(bool) for x, y in lists]
     u, n = np.unique(np.concatenate([x for x, _ in lists]), return_counts=True)
     flagged = np.isin(u, np.concatenate([x[m] for (x, _), m in zip(lists, several, strict=True)]))
