@@ -2,15 +2,19 @@
 
 Equal vectors are one node.  A node's vector gets one more component, so that all have
 the length of the longest and the largest inner product is the nearest.  The graph
-starts from brute force within the cells of TREES random sign projections; then, ROUNDS
-times, each node's neighbours and reverse neighbours (DEGREE of each, the latter drawn by
-hash) meet at the node, and every pair of them may become neighbours: the neighbours of
-a neighbour are likely neighbours.  Queries search greedily: the WIDE best seen, of which
-the best AHEAD not yet expanded are expanded together in each of HOPS Spark joins.  The
+starts from brute force within the cells of TREES random sign projections; then each
+node's neighbours and reverse neighbours (DEGREE of each, of the latter new ones first)
+meet at the node, and every pair of them may become neighbours: the neighbours of a
+neighbour are likely neighbours.  Rounds end when SETTLED of the edges or fewer are new.
+
+A query searches greedily until all of its best `w` seen are expanded, w from START on;
+then w is doubled, until a doubling leaves its k best as they were, however far that is.
+Both ends follow the data, so that the same constants serve any number of vectors.  The
 best SURE are scored again in double precision on the original vectors.
 
-Every vector is in the graph.  No task holds more than a cell of CELL vectors, a node's
-neighbours, or a query's candidates of one hop.
+Every vector is in the graph.  Queries go in parts of about PART, whose vectors each task
+holds; besides, no task holds more than a cell of CELL vectors, a node's neighbours, the
+queries that look at a node at once, or a query's candidates of one hop.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, or
 aren't of the commonest length, take no part, nor do null ids; of several vectors of one
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import Stored, require
 
-DEGREE, TREES, CELL, ROUNDS = 32, 5, 400, 3
-WIDE, AHEAD, HOPS, SURE, SALTS = 300, 40, 7, 60, 64
+DEGREE, TREES, CELL, SETTLED = 32, 5, 400, 0.04
+START, AHEAD, SURE, SALTS, PART = 75, 64, 60, 64, 100_000
 
 
 def _whole_groups(batches, key: int = 0) -> Iterator[pa.Table]:
@@ -125,21 +129,60 @@ def _local_join(dim: int, emit: int):
     return run
 
 
-def _score(dim: int):
-    """Rows of one query: its own vector (v null) and candidates; their inner products."""
+def _score(dim: int, asked: np.ndarray, x: np.ndarray):
+    """Nodes with the queries that look at them: inner products. asked: the queries' ids, ascending; x: their vectors."""
+
+    def run(batches):
+        for b in batches:
+            vec, lists = _matrix(b.column("vec"), dim), b.column("qs")
+            n, q = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            row, at = np.repeat(np.arange(len(n)), n), np.searchsorted(asked, q)
+            ids = b.column("v").to_numpy()
+            for lo in range(0, len(q), 1 << 15):
+                r = row[lo : lo + (1 << 15)]
+                s = np.einsum("ij,ij->i", x[at[lo : lo + (1 << 15)]], vec[r])
+                yield pa.RecordBatch.from_arrays([pa.array(q[lo : lo + (1 << 15)]), pa.array(ids[r]), pa.array(s)], names=["q", "v", "s"])
+
+    return run
+
+
+def _advance(k: int):
+    """Each query's pool with what was found: duplicates go, and what is to be expanded next is marked.
+    state of a row: 0 seen, 1 expanded, 2 to be expanded now; w is 0 when the query has ended."""
+    sure = max(SURE, 2 * k)
+
+    def one(v, s, state, top, w):
+        o = np.lexsort((-s, -state, v))  # of a node's rows the one in the pool, if it is expanded, comes first
+        first = o[np.r_[True, v[o[1:]] != v[o[:-1]]]]
+        at = np.cumsum(np.r_[True, v[o[1:]] != v[o[:-1]]]) - 1
+        was = np.zeros(len(first), bool)
+        np.logical_or.at(was, at, top[o])
+        best = np.maximum.reduceat(s[o], np.flatnonzero(np.r_[True, v[o[1:]] != v[o[:-1]]]))
+        v, s, state, top = v[first], best, state[first], was
+        o = np.lexsort((v, -s))
+        v, s, state, top = v[o], s[o], np.minimum(state[o], 1), top[o]
+        while w:
+            open_ = np.flatnonzero(state[:w] == 0)
+            if len(open_):
+                state[open_[: max(AHEAD, w // 4)]] = 2
+                break
+            if top[: k + 1].all() or len(v) <= w:
+                w = 0
+            else:
+                top = np.arange(len(v)) <= k
+                w *= 2
+        n = max(2 * w, sure)
+        return v[:n], s[:n], state[:n], top[:n], w
 
     def run(batches):
         for t in _whole_groups(batches):
-            q, x = t["q"].to_numpy(), _matrix(t["vec"], dim)
-            own = t["v"].is_null().to_numpy()
+            q, v, s = t["q"].to_numpy(), t["v"].to_numpy(), t["s"].to_numpy()
+            state, top, w = t["state"].to_numpy(), t["top"].to_numpy(zero_copy_only=False), t["w"].to_numpy()
             at = _bounds(q)
-            lead = np.repeat(at[:-1], np.diff(at))
-            have = own[lead]
-            keep = np.flatnonzero(have & ~own)
-            qx = x[lead[keep]].copy()
-            qx[:, -1] = 0
-            s = np.einsum("ij,ij->i", qx, x[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(t["v"].to_numpy(zero_copy_only=False)[keep].astype(np.int64)), pa.array(s.astype(np.float32))], names=["q", "v", "s"])
+            got = [one(v[a:e], s[a:e], state[a:e], top[a:e], int(w[a:e].max())) for a, e in zip(at[:-1], at[1:], strict=True)]
+            n = [len(g[0]) for g in got]
+            cols = [np.concatenate([g[i] for g in got]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[at[:-1]], n)), *map(pa.array, cols), pa.array(np.repeat(np.array([g[4] for g in got], np.int32), n))], names=["q", "v", "s", "state", "top", "w"])
 
     return run
 
@@ -151,7 +194,7 @@ def _top(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
 class Index:
     """The graph over all nodes, as tables: nodes (id, vec), edges (u, v, s), links (u, v) both ways."""
 
-    def __init__(self, vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 11):
+    def __init__(self, vectors: DataFrame, degree: int = DEGREE, settled: float = SETTLED, seed: int = 11):
         require(vectors, "vec_id", "embedding")
         spark = vectors.sparkSession
         e = F.col("embedding")
@@ -176,9 +219,10 @@ class Index:
         found = cells.select("tree", "cell", "part", "id", "vec").groupBy("tree", "cell", "part").applyInArrow(_cell(d, degree), "u long, v long, s float")
         best = lambda x: _top(x, "u", [F.desc("s"), "v"], degree)
         edges = Stored(best(found.groupBy("u", "v").agg(F.max("s").alias("s"))).withColumn("fresh", F.lit(True)), "ann-edges")
-        for _ in range(rounds):
+        self.rounds, fresh = 0, 1.0
+        while fresh > settled:
             e = edges.df
-            back = _top(e.select(F.col("v").alias("center"), F.col("u").alias("member"), "fresh").withColumn("o", F.xxhash64("center", "member")), "center", ["o"], degree).drop("o")
+            back = _top(e.select(F.col("v").alias("center"), F.col("u").alias("member"), "fresh").withColumn("o", F.xxhash64("center", "member")), "center", [F.desc("fresh"), "o"], degree).drop("o")
             meet = e.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh").union(back).groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
             least = e.groupBy("u").agg(F.min("s").alias("m"), F.count("*").alias("c")).select(F.col("u").alias("member"), F.when(F.col("c") >= degree, F.col("m")).otherwise(F.lit(-9.0)).cast("float").alias("least"))
             rows = meet.join(vec.withColumnRenamed("id", "member").join(least, "member"), "member").select("center", "member", "least", "fresh", "vec")
@@ -187,33 +231,40 @@ class Index:
             merged = both.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
             nxt = Stored(best(merged), "ann-edges")
             edges.drop()
-            edges = nxt
+            edges, self.rounds = nxt, self.rounds + 1
+            fresh = nxt.df.agg(F.avg(F.col("fresh").cast("int"))).first()[0] or 0.0
         self.edges = edges
         e = edges.df
         back = _top(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), "u", [F.desc("s"), "v"], degree)
-        self.links = Stored(e.select("u", "v").union(back.select("u", "v")).distinct(), "ann-links")
+        self.links = Stored(e.select("u", "v").union(back.select("u", "v")).groupBy("u").agg(F.collect_set("v").alias("vs")), "ann-links")
         self.spark = spark
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """queries: q (a node's id). The nodes found best for each: q, v, s; SURE or k of them."""
-        vec, links = self.nodes.df.select("id", "vec"), self.links.df
-        own = queries.join(vec.withColumnRenamed("id", "q"), "q").select("q", F.lit(None).cast("long").alias("v"), "vec")
-        wide, sure = max(WIDE, 3 * k), max(SURE, 2 * k)
-
-        def scored(cand: DataFrame) -> DataFrame:
-            rows = cand.join(vec.withColumnRenamed("id", "v"), "v").select("q", "v", "vec").unionByName(own)
-            return rows.repartition("q").sortWithinPartitions("q", F.asc_nulls_first("v")).mapInArrow(_score(self.d), "q long, v long, s float")
-
-        begin = queries.select("q", F.col("q").alias("u")).join(links, "u").select("q", "v").union(queries.select("q", F.col("q").alias("v"))).distinct()
-        pool = Stored(scored(begin).withColumn("done", F.expr("q = v")), "ann-pool")
-        for _ in range(HOPS):
-            open_ = _top(pool.df.where("not done"), "q", [F.desc("s"), "v"], AHEAD).select("q", F.col("v").alias("u"))
-            new = open_.join(links, "u").select("q", "v").distinct().join(pool.df.select("q", "v"), ["q", "v"], "left_anti")
-            marked = pool.df.join(open_.select("q", F.col("u").alias("v"), F.lit(True).alias("now")), ["q", "v"], "left").select("q", "v", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-            nxt = Stored(_top(marked.unionByName(scored(new).withColumn("done", F.lit(False))), "q", [F.desc("s"), "v"], wide), "ann-pool")
+        """queries: q (a node's id). The nodes found best for each: q, v; SURE or 2 * k of them."""
+        own = queries.join(self.nodes.df.select(F.col("id").alias("q"), "vec"), "q")
+        parts = max(1, math.ceil(queries.count() / PART))
+        found = None
+        for i in range(parts):
+            part = self._search(own.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i), k)
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def _search(self, own: DataFrame, k: int) -> DataFrame:
+        vec, links = self.nodes.df.select(F.col("id").alias("v"), "vec"), self.links.df
+        held = own.toArrow().sort_by("q")
+        asked = held["q"].to_numpy()
+        x = _matrix(held["vec"], self.d)
+        x[:, -1] = 0
+        kinds = "q long, v long, s float, state int, top boolean, w int"
+        pool = Stored(self.spark.createDataFrame(pa.table({"q": asked, "v": asked, "s": (x * x).sum(1), "state": np.full(len(asked), 2, np.int32), "top": np.zeros(len(asked), bool), "w": np.full(len(asked), START, np.int32)}), kinds), "ann-pool")
+        while not (now := pool.df.where("state = 2")).isEmpty():
+            cand = now.select("q", F.col("v").alias("u")).join(links, "u").select("q", F.explode("vs").alias("v")).groupBy("v").agg(F.collect_set("q").alias("qs"))
+            new = cand.join(vec, "v").select("v", "qs", "vec").mapInArrow(_score(self.d, asked, x), "q long, v long, s float")
+            new = new.select("q", "v", "s", F.lit(0).alias("state"), F.lit(False).alias("top"), F.lit(0).alias("w"))
+            nxt = Stored(pool.df.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(_advance(k), kinds), "ann-pool")
             pool.drop()
             pool = nxt
-        return _top(pool.df, "q", [F.desc("s"), "v"], sure).select("q", "v")
+        return _top(pool.df, "q", [F.desc("s"), "v"], max(SURE, 2 * k)).select("q", "v")
 
     def drop(self) -> None:
         for s in (self.nodes, self.edges, self.links):

@@ -112,6 +112,17 @@ def test_nearest_neighbours_and_ties(spark):
     assert nndescent.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_goes_on_until_nothing_changes(spark):
+    x = np.random.default_rng(3).normal(size=(6000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = nndescent.Index(d, degree=4)  # a graph so poor that a fixed number of hops ends too early
+    got = index.search(d.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q")), 20).toPandas()
+    index.drop()
+    hit = sum(len(set(np.argsort(-(x @ x[q]))[:20]) & set(got[got.q == q].v)) for q in range(0, 6000, 100))
+    assert hit >= 0.9 * 20 * 60, hit / 1200
+
+
 def test_pipeline_stages_follow_each_other(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(6)
