@@ -5,9 +5,12 @@ REGISTERS buckets; a bucket keeps its least hash compressed to a leading-zero co
 bits) and MANTISSA bits after the leading one.  Empty buckets borrow from a pseudo-
 random full one, alike in every document.  BANDS bands of ROWS registers give
 candidates: two sets of similarity 0.8 share no band with probability (1 - 0.8^5)^51,
-below 2e-9.  A candidate's similarity is estimated from all registers, corrected for
-chance collisions; only what lies six standard errors below the threshold is let go,
-and the rest is decided on the full shingle sets.
+below 2e-9, where the registers are independent.  Those that small sets borrow aren't, so
+a pair whose smaller set has SMALL shingles or fewer is found exactly: the rarest shingles
+of each such set, so many that linked sets must share one, are keys beside the bands.
+A candidate's similarity is estimated from all registers, corrected for chance
+collisions; of larger sets only what lies six standard errors below the threshold is let
+go, and the rest is decided on the full shingle sets.
 
 Documents with equal sets are one class and are compared once, through the smallest
 id.  Links needn't all be found to know the components, so a band's members are first
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm import textkernel as tk
@@ -32,6 +35,8 @@ from lodestream.llm.common import Stored, require
 from lodestream.llm.graph import components
 
 REGISTERS, ROWS, BANDS, MANTISSA, HUB_ROUNDS = 256, 5, 51, 10, 2
+#: Shingles of the smaller set up to which candidates are exact.
+SMALL = 32
 #: Members of a block when what the hubs left apart is compared.
 BLOCK = 512
 _SHORT = tk.mix(np.arange(64, dtype=np.uint64) + tk.U(0xABCDEF))
@@ -108,7 +113,7 @@ def registers(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(k: int):
+def _signatures(k: int, few: int):
     def run(batches):
         for b in batches:
             for i, j, buf, off in tk.text_blocks(b.column(1)):
@@ -118,7 +123,7 @@ def _signatures(k: int):
                 # two sums over the set tell sets apart, with the size
                 sa, sb = np.r_[tk.U(0), np.cumsum(tk.mix(x + tk.U(1)))], np.r_[tk.U(0), np.cumsum(tk.mix(x ^ tk.U(0x9E3779B97F4A7C15)))]
                 fa, fb = (sa[at[1:]] - sa[at[:-1]]).view(np.int64), (sb[at[1:]] - sb[at[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(fa), pa.array(fb), pa.array([r.tobytes() for r in reg], pa.binary())], names=["doc_id", "n_shingles", "fa", "fb", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(fa), pa.array(fb), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array([x[at[r] : at[r + 1]].view(np.int64) if n[r] <= few else None for r in range(j - i)], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fa", "fb", "regs", "few"])
 
     return run
 
@@ -153,7 +158,7 @@ def _likely(percent: int):
                 est = estimate(np.frombuffer(ra[i], np.uint16), np.frombuffer(rb[i], np.uint16), int(n[i]), int(m[i]))
                 used = REGISTERS * (1 - np.exp(-min(n[i], m[i]) / REGISTERS))
                 p = percent / 100
-                keep[i] = est >= p - 6 * np.sqrt(p * (1 - p) / used) - 0.02
+                keep[i] = min(n[i], m[i]) <= SMALL or est >= p - 6 * np.sqrt(p * (1 - p) / used) - 0.02
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -192,7 +197,7 @@ def _block_links(percent: int):
                 chance = REGISTERS * 0.1699 * 4 * ratio / (1 + ratio) ** 2 / (1 << MANTISSA)
                 est = (same - chance) / (REGISTERS - chance)
                 used = REGISTERS * (1 - np.exp(-np.minimum(n[b], n[a]) / REGISTERS))
-                ok = est >= p - 6 * np.sqrt(p * (1 - p) / used) - 0.02
+                ok = (np.minimum(n[b], n[a]) <= SMALL) | (est >= p - 6 * np.sqrt(p * (1 - p) / used) - 0.02)
                 found += [(-e, a, x) for e, x in zip(est[ok].tolist(), b[ok].tolist(), strict=True)]
         up: dict[int, int] = {}
 
@@ -227,16 +232,24 @@ def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return full.select("a", "b", "xa", "xb").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
+    """rep, key: the rarest shingles of each set of few; without them too little is left for a link."""
+    x = reps.where("few is not null").select("rep", "fa", "fb", "n_shingles", F.explode("few").alias("x"))
+    rare = F.row_number().over(Window.partitionBy("fa", "fb", "n_shingles").orderBy("n", "x"))
+    ranked = x.join(x.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "x", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", rare)
+    return ranked.where(F.expr(f"i <= n_shingles - (n_shingles * {percent} + 99) div 100 + 1")).select("rep", F.xxhash64(F.lit(BANDS), "x").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; linked: 100 * intersection >= percent * union."""
     require(docs, "doc_id", "text")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = Stored(d.mapInArrow(_signatures(k), "doc_id long, n_shingles long, fa long, fb long, regs binary"), "sig")
+    sig = Stored(d.mapInArrow(_signatures(k, 100 * SMALL // percent), "doc_id long, n_shingles long, fa long, fb long, regs binary, few array<long>"), "sig")
     known = sig.df.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("fa", "fb", "n_shingles")
-    reps = Stored(classes.agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "reps")
+    reps = Stored(classes.agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("few").alias("few")), "reps")
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)]))
-    bands = reps.df.select("rep", band.alias("i", "key")).drop("i")
+    bands = reps.df.select("rep", band.alias("i", "key")).drop("i").unionByName(_prefixes(reps.df, percent))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
     live = Stored(bands.join(shared, "key"), "bands")
     # of a base and its copies the base shares most bands with the others, so it makes the best hub
@@ -245,7 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     ids = live.df.select(F.col("rep").alias("doc_id")).distinct()
     sets = Stored(d.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(k), "id long, x binary"), "sets")
-    cand_reps = Stored(reps.df.join(ids.withColumnRenamed("doc_id", "rep"), "rep"), "cand")
+    cand_reps = Stored(reps.df.drop("few").join(ids.withColumnRenamed("doc_id", "rep"), "rep"), "cand")
     reps.drop()
 
     def labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -293,7 +306,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = found.join(comp.select(F.col("u").alias("rep"), "component"), "rep", "left").select("fa", "fb", "n_shingles", F.coalesce("component", "rep").alias("component"))
     else:
         found = found.withColumnRenamed("rep", "component")
-    out = sig.df.drop("regs").join(found, ["fa", "fb", "n_shingles"], "left")
+    out = sig.df.drop("regs", "few").join(found, ["fa", "fb", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", own)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

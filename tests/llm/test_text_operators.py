@@ -109,6 +109,17 @@ def test_near_duplicates_match_brute_force(docs, k):
     assert sorted(i for i in ids if i is not None) == sorted({find(i) for i in sets}) and ids.count(None) == 1
 
 
+def test_short_texts_that_share_no_band_are_linked(spark):
+    alone = [81, 82, 149, 446, 449, 968, 1228, 1260]  # four of five shingles alike, and no band of the registers
+    rows = []
+    for n, i in enumerate(alone):
+        w = [f"w{i}x{j}" for j in range(6)]
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(w[:5]))]
+    rows += [(100 + n, f"w81x0 w81x1 z{n} y{n} v{n} u{n}") for n in range(30)]  # one common shingle links nothing
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i - i % 2 if i < 100 else i for i, _ in rows}
+
+
 def test_a_star_of_near_copies_is_one_component(spark):
     """Copies that are near their base but not near each other, the base's id not the smallest."""
     r = random.Random(3)
