@@ -97,7 +97,7 @@ def structure_status(smiles: Column, parser: Column | None = None) -> Column:
     count = lambda c: F.length(smiles) - F.length(F.replace(smiles, F.lit(c), F.lit("")))
     last = F.lit("not_configured") if parser is None else F.when(parser, "valid").otherwise("invalid")
     return (
-        F.when(smiles == MISSING, "not_applicable").when(smiles.rlike(r"\*|(^|[^A-Za-z0-9])R\d*\b|(^|[^A-Za-z0-9])Ar\b"), "generic_scaffold")
+        F.when(smiles == MISSING, "not_applicable").when(smiles.rlike(r"(?U)\*|(^|[^A-Za-z0-9])R\d*\b|(^|[^A-Za-z0-9])Ar\b"), "generic_scaffold")
         .when(smiles.rlike(r"(?U)\s") | (count("(") != count(")")) | (count("[") != count("]")), "invalid").otherwise(last)
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
 from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, validate
-from lodestream.spec import MISSING, DomainSpec, Term
+from lodestream.spec import MISSING, UNIT_TOKEN, DomainSpec, Term
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,10 +171,7 @@ def assay_entity_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "line_no", "record_no", F.md5("r.compound_id").alias("compound"), "r.target_type", "r.target_relation", F.length("r.target_value").alias("digits"), "r.target_units", "r.bacteria")
 
 
-_UNITS = r"[µμu]mol\s*/?\s*mL\s*(?:[-−]\s*1)?|[µμu]g\s*/?\s*mL\s*(?:[-−]\s*1)?|mg\s*/?\s*L\s*(?:[-−]\s*1)?|mM|[µμu]M"
-
-
-@_query(rf"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){_UNITS}') THEN trim(regexp_replace(regexp_extract(text, '(?i){_UNITS}'), '\s+', ' ', 'g'), ' ') ELSE 'NOT_DETECTED' END AS unit FROM documents")
+@_query(rf"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i){UNIT_TOKEN}') THEN trim(regexp_replace(regexp_extract(text, '(?i){UNIT_TOKEN}'), '\s+', ' ', 'g'), ' ') ELSE 'NOT_DETECTED' END AS unit FROM documents")
 def unit_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unit that a text states; inside words too, as the rules have it."""
     return _read(spark, sf_dir, "documents").select("doc_id", rules.unit_of(F.col("text")).alias("unit"))
@@ -504,8 +501,14 @@ def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"SELECT doc_id, CASE WHEN regexp_matches(t, '\*|(^|[^A-Za-z0-9])R[0-9]*([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)|(^|[^A-Za-z0-9])Ar([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)') THEN 'generic_scaffold' WHEN regexp_matches(t, '\s') OR (length(t) - length(replace(t, '(', ''))) <> (length(t) - length(replace(t, ')', ''))) OR (length(t) - length(replace(t, '[', ''))) <> (length(t) - length(replace(t, ']', ''))) THEN 'invalid' ELSE 'not_configured' END AS status FROM (SELECT doc_id, regexp_extract(coalesce(text, ''), '^\S{0,12}\s?') AS t FROM documents)"
+    r"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+')) AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN t = 'NOT_DETECTED' THEN 'not_applicable' WHEN regexp_matches(t, '\*|(^|[^A-Za-z0-9])R\p{Nd}*([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)|(^|[^A-Za-z0-9])Ar([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)') THEN 'generic_scaffold'
+  WHEN regexp_matches(t, '[\x{85}\p{Z}]') OR (length(t) - length(replace(t, '(', ''))) <> (length(t) - length(replace(t, ')', ''))) OR (length(t) - length(replace(t, '[', ''))) <> (length(t) - length(replace(t, ']', ''))) THEN 'invalid' ELSE 'not_configured' END AS status FROM w)
+SELECT doc_id, status, CAST(count(*) AS BIGINT) AS n_words FROM s GROUP BY doc_id, status
+"""
 )
 def structure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The structure check over each text's beginning, as if it were a structure."""
-    return _read(spark, sf_dir, "documents").select("doc_id", validate.structure_status(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\S{0,12}\s?", 0)).alias("status"))
+    """The structure check of every word of the whole texts, counted by document and status."""
+    w = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")).alias("w"))
+    return w.groupBy("doc_id", validate.structure_status(F.col("w")).alias("status")).agg(F.count("*").alias("n_words"))
