@@ -11,8 +11,8 @@ Words are 64-bit hashes.  A map task packs the pairs of some MAX_TOKENS tokens,
 and counted, with the texts that hold them, into one block for each bucket of words;
 the bucket of a word so sees all its pairs, hence its count, adds up the parts of each
 text's score that these decide, and the parts of each history's sums.  Discounts and
-histories are added at the end.  Words with over 1 / (4 buckets) of all tokens (so 4 a
-bucket at most) are counted beforehand and spread over all buckets by pair; pairs that
+histories are added at the end.  Words with over 1 / (4 buckets) of all tokens (over
+1 / HEAVY, where there are many buckets, so HEAVY at most) are counted beforehand and spread over all buckets by pair; pairs that
 frequent are counted beforehand too and scored where they are read.
 
 Unigram counts and history weights are written as tables of the shared folder.
@@ -34,7 +34,9 @@ from lodestream.llm.blocks import pack, small, unpack
 from lodestream.llm.common import Stored, crc_mod, pieces, require
 
 K, RESERVE = 5, 1 / 1024
-MAX_TOKENS = 1_500_000
+#: Words counted beforehand, at most.
+HEAVY = 16_384
+MAX_TOKENS = 600_000
 BUCKET_BYTES = 10 << 20
 END, BOS = np.uint64(0x0E0D), np.uint64(0x0B05)
 _M = [f"m{r}" for r in range(1, K + 1)]
@@ -93,8 +95,10 @@ def _streams(batches):
     ids, held, parts, base, size = [], [], [], 0, 0
 
     def flush():
-        w, h, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return ids, np.array(held, np.int8), w, h, d
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        pa.default_memory_pool().release_unused()
+        return ids, np.array(held, np.int8), *cols
 
     for b in batches:
         bi, bh = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -191,21 +195,19 @@ def _blocks(nb: int, uni: Unigrams, hw: np.ndarray, hc: np.ndarray, pk: np.ndarr
             iw, ip = _find(hw, w), _find(pk, _pair_key(w, h))
             fw, fp = iw >= 0, ip >= 0
             c, r = hc[iw[fw]], pc[ip[fp]]
-            zero = np.zeros(len(w))
-            base, known, s = zero.copy(), zero.copy(), zero
-            base[fw], known[fw] = uni.log_base(c), c > 0
-            s[fw] -= np.where((c > 0) & (w[fw] != END), np.log10(np.maximum(c, 1)), 0)
-            s[fp] += np.where(r > 0, _seen(r), uni.log_p(hc[iw[fp]]))
-            few = [np.zeros(len(w)) for _ in range(K)]
-            for k in range(K):
-                few[k][fp] = r == k + 1
+            of = lambda at, x: np.bincount(d[at], x, n)
+            s = of(fp, np.where(r > 0, _seen(r), uni.log_p(hc[iw[fp]]))) - of(fw, np.where((c > 0) & (w[fw] != END), np.log10(np.maximum(c, 1)), 0))
+            sums = [of(fw, uni.log_base(c)), of(fw, c > 0), s, *[of(fp, r == k + 1) for k in range(K)]]
+            del iw, ip, fw
             idx = np.array([0 if x is None else x for x in ids], np.int64)
             none = np.array([x is None for x in ids], np.uint8)
             table = [idx.view(np.uint64), none, held.astype(np.uint8), tk.counts(d, n).astype(np.uint64)]
-            block = pack([*table, *_per_doc(d, n, [base, known, s, *few])])
+            block = pack([*table, np.arange(n, dtype=np.uint32), *sums])
             out = [(batch % nb, batch, True, block)]
+            del sums, table
             o = np.lexsort((h, w)) if not fp.any() else (k := np.flatnonzero(~fp))[np.lexsort((h[k], w[k]))]
             x, y, e = w[o], h[o], d[o] * 4 + held[d[o]]
+            del w, h, d, o, fp
             entry = _runs(x, y, e)
             cnt, e = np.diff(np.r_[entry, len(x)]), e[entry]
             pair = _runs(x[entry], y[entry])
@@ -316,7 +318,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), modulus) == held).alias("held"), F.col("text").cast("string").alias("text"))
     nb = pieces(docs, BUCKET_BYTES)
-    share = 1 / (4 * nb)
+    share = max(1 / (4 * nb), 1 / HEAVY)
 
     counted = Stored(d.mapInArrow(_count(share), "w long, h long, c long").groupBy("h", "w").agg(F.sum("c").alias("c")), "katz-unigrams")
     words = counted.df.where("h is null")
@@ -338,7 +340,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         for i, c in d.mapInArrow(_count_pairs(pk), "i long, c long").groupBy("i").agg(F.sum("c")).collect():
             pc[i] = c
     blocks = d.mapInArrow(_blocks(nb, uni, hw, hc, pk, pc), "bucket int, batch long, whole boolean, block binary")
-    parts = Stored(blocks.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(uni, hw, hc), _OUT), "katz-parts")
+    parts = Stored(blocks.repartitionById(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(uni, hw, hc), _OUT), "katz-parts")
 
     hist = parts.df.where("kind = 'h'").select("h", "big", "n_big", *_N, "q")
     if len(pk):

@@ -46,18 +46,6 @@ V = 7
 #: A difference cover mod 7: every difference is one of two members.
 D = (0, 1, 3)
 _SHIFT = np.array([[next(d for d in range(V) if (a + d) % V in D and (b + d) % V in D) for b in range(V)] for a in range(V)])
-_INV = np.uint64(pow(int(tk._BASE), -1, 1 << 64))
-_inverse = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _inverse
-    p = tk.powers(n)
-    if len(_inverse) < n:
-        q = np.full(len(p), _INV, np.uint64)
-        q[0] = 1
-        _inverse = np.multiply.accumulate(q)
-    return p[:n], _inverse[:n]
 
 
 def _word(buf: np.ndarray, order: str = "<") -> np.ndarray:
@@ -72,10 +60,10 @@ def _seed_hash(buf: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 
 def cut(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Runs of heads with one seed: first byte, end, offset of the seed, text index, seed hash, content hash."""
+    """Runs of heads with one seed: first byte, end, offset of the seed, text index, seed hash."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64)
     h = _seed_hash(buf)
     w = length - SEED + 1
     m = (h & tk.U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -85,21 +73,15 @@ def cut(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
         span *= 2
     if span < w:
         m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
-    seed = (m & tk.U(0xFFFFFFFF)).astype(np.int64)
-    n_heads = np.maximum(np.diff(off) - length + 1, 0)
-    heads = np.repeat(off[:-1], n_heads) + np.arange(n_heads.sum()) - np.repeat(np.cumsum(n_heads) - n_heads, n_heads)
-    if not len(heads):
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    p = seed[heads]
-    new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-    a, p = heads[new], p[new]
-    e = heads[np.r_[new[1:], len(heads)] - 1] + length
-    pw, inv = _powers(len(buf))
-    s = np.empty(len(buf) + 1, np.uint64)
-    s[0] = 0
-    np.cumsum(tk.BYTE[buf] * pw, out=s[1:])
-    content = tk.mix((s[e] - s[a]) * inv[a] + (e - a).astype(np.uint64) * tk.U(0xD6E8FEB86659FD93))
-    return a, e, p - a, np.searchsorted(off, a, "right") - 1, h[p], content
+    seed = (m & tk.U(0xFFFFFFFF)).astype(np.uint32)
+    size = np.diff(off)
+    n_heads = np.maximum(size - length + 1, 0)
+    head = np.repeat(np.tile([True, False], len(size)), np.column_stack([n_heads, size - n_heads]).ravel())[: len(seed)]
+    turn = np.ones(len(seed) + 1, bool)  # no run goes on past this
+    turn[1:-1] = (seed[1:] != seed[:-1]) | ~head[1:] | ~head[:-1]
+    a, e = np.flatnonzero(head & turn[:-1]), np.flatnonzero(head & turn[1:]) + length
+    p = seed[a].astype(np.int64)
+    return a, e, p - a, np.searchsorted(off, a, "right") - 1, h[p]
 
 
 def _gather_bytes(buf: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -113,6 +95,47 @@ def _gather_bytes(buf: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _span_hashes(buf: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of pieces, a stretch of the buffer at a time where they ascend, else of what is gathered."""
+    out = np.empty(len(a), np.uint64)
+    for lo in range(0, len(a), STEP):
+        s, t = a[lo : lo + STEP], e[lo : lo + STEP]
+        base = int(s.min())
+        out[lo : lo + len(s)] = tk.span_hash(buf[base : int(t.max())], s - base, t - base, lower=False)
+    return out
+
+
+def _alike(buf: np.ndarray, start: np.ndarray, lens: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether pieces i and other[i], of one length each, are the same bytes."""
+    same = lens == lens[other]
+    w = _word(buf)
+    for k in range(0, int(lens.max()) if len(lens) else 0, 8):
+        i = np.flatnonzero(same & (lens > k))
+        x = start[i] + np.minimum(k, lens[i] - 8)
+        y = start[other[i]] + np.minimum(k, lens[i] - 8)
+        same[i] = w[x] == w[y]
+    return same
+
+
+def _classes(buf: np.ndarray, start: np.ndarray, lens: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of pieces such that equal ones (same keys, same bytes) are neighbours, and where each class starts.
+    The last key is a hash of the bytes, which decides nothing by itself."""
+    o = np.lexsort(keys[::-1])
+    first = _starts(*[k[o] for k in keys])
+    rep = np.repeat(o[first], np.diff(np.r_[first, len(o)]))
+    other = np.empty(len(o), np.int64)
+    other[o] = rep
+    odd = np.flatnonzero(~_alike(buf, start, lens, other))
+    if len(odd):  # unlike pieces under one hash: told by their bytes
+        seen: dict[tuple, int] = {}
+        number = np.zeros(len(o), np.int64)
+        for i in odd.tolist():
+            number[i] = seen.setdefault((*[int(k[i]) for k in keys], buf[start[i] : start[i] + lens[i]].tobytes()), len(seen) + 1)
+        o = np.lexsort((number, *keys[::-1]))
+        first = _starts(*[k[o] for k in keys], number[o])
+    return o, first
+
+
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
@@ -122,27 +145,30 @@ def _ipc(batches: list[pa.RecordBatch]) -> bytes:
 
 
 def _cut_all(rows: pa.Table, id_at: int, text_at: int, length: int) -> tuple[np.ndarray, ...]:
-    """Pieces of all rows: text, lengths, seed offset, text index, first byte in the text, seed and content hash."""
+    """Pieces of all rows: first byte and end in the rows' bytes, seed offset, text index, seed."""
     known = rows.column(id_at).is_valid().to_numpy()
+    buf, off = tk.column(rows.column(text_at))
     parts = []
-    for i, j, buf, off in tk.text_blocks(rows.column(text_at), TEXT_BYTES):
-        a, e, m, doc, seed, content = cut(buf, off, length)
+    for i, j in tk.blocks(off, TEXT_BYTES):
+        a, e, m, doc, seed = cut(buf[off[i] : off[j]], off[i : j + 1] - off[i], length)
         ok = known[i:j][doc]
-        a, e, m, doc, seed, content = a[ok], e[ok], m[ok], doc[ok], seed[ok], content[ok]
-        parts.append((_gather_bytes(buf, a, e - a), e - a, m, doc + i, a - off[doc], seed, content))
+        parts.append((a[ok] + off[i], e[ok] + off[i], m[ok], doc[ok] + i, seed[ok]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _seed_lists(seed: np.ndarray, doc: np.ndarray, nb: int):
-    """For each bucket the distinct low halves of its seeds, whether each lies in several texts, and each piece's index."""
-    bucket = ((seed >> tk.U(17)) % tk.U(nb)).astype(np.uint64)
+    """For each bucket the distinct low halves of its seeds, whether each lies in several texts, where it begins,
+    each piece's bucket and its place in the lists. Texts ascend."""
+    bucket = (seed >> tk.U(17)) % tk.U(nb)
     key = (bucket << tk.U(32)) | (seed & tk.U(0xFFFFFFFF))
-    u, inv = np.unique(key, return_inverse=True)
-    lo, hi = np.full(len(u), 1 << 60), np.full(len(u), -1)
-    np.minimum.at(lo, inv, doc)
-    np.maximum.at(hi, inv, doc)
+    o = np.argsort(key, kind="stable")
+    first = _starts(key[o])
+    u = key[o[first]]
+    last = np.r_[first[1:], len(o)] - 1
     cuts = np.searchsorted(u >> tk.U(32), np.arange(nb + 1, dtype=np.uint64))
-    return bucket.astype(np.int64), (u & tk.U(0xFFFFFFFF)).astype(np.uint32), lo < hi, cuts, inv
+    inv = np.empty(len(o), np.int64)
+    inv[o] = np.repeat(np.arange(len(u)), np.diff(np.r_[first, len(o)]))
+    return bucket.astype(np.int64), (u & tk.U(0xFFFFFFFF)).astype(np.uint32), doc[o[first]] < doc[o[last]], cuts, inv
 
 
 def _batches_of(rows: list[list]):
@@ -162,7 +188,7 @@ def _seed_pass(nb: int, id_at: int, text_at: int, length: int):
 
         def flush():
             batch = (part << 24) | seq
-            _, _, _, doc, _, seed, _ = _cut_all(pa.Table.from_batches(rows).combine_chunks(), id_at, text_at, length)
+            _, _, _, doc, seed = _cut_all(pa.Table.from_batches(rows).combine_chunks(), id_at, text_at, length)
             out = [[batch], [None], [_ipc(rows)], [None]]
             _, low, several, cuts, _ = _seed_lists(seed, doc, nb)
             for b in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -189,12 +215,19 @@ def _seed_pass(nb: int, id_at: int, text_at: int, length: int):
 
 def _live_seeds(table: pa.Table) -> pa.Table:
     """One bucket's seeds: of each block's list, which lie in several texts."""
-    lists = [(np.cumsum(gaps, dtype=np.uint32), flags) for gaps, flags in map(unpack, table["seeds"].to_pylist())]
-    several = [np.unpackbits(y, count=len(x)).astype(bool) for x, y in lists]
-    u, n = np.unique(np.concatenate([x for x, _ in lists]), return_counts=True)
-    flagged = np.isin(u, np.concatenate([x[m] for (x, _), m in zip(lists, several, strict=True)]))
-    live = u[(n > 1) | flagged]
-    return pa.table({"batch": table["batch"], "bucket": table["bucket"], "live": pa.array([np.packbits(np.isin(x, live)).tobytes() for x, _ in lists], pa.binary())})
+    lists = [(np.cumsum(gaps, dtype=np.uint32), np.unpackbits(flags, count=len(gaps)).astype(bool)) for gaps, flags in map(unpack, table["seeds"].to_pylist())]
+    every = np.sort(np.concatenate([x for x, _ in lists]))
+    twice = every[1:][every[1:] == every[:-1]]
+    live = np.unique(np.concatenate([twice, *[x[m] for x, m in lists]]))
+    bits = [np.packbits(_among(live, x)).tobytes() for x, _ in lists]
+    pa.default_memory_pool().release_unused()
+    return pa.table({"batch": table["batch"], "bucket": table["bucket"], "live": pa.array(bits, pa.binary())})
+
+
+def _among(ascending: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(x), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
 
 
 def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
@@ -207,16 +240,16 @@ def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
         if block is not None and got:
             batch = table["batch"][0].as_py()
             rows = pa.ipc.open_stream(block).read_all().combine_chunks()
-            texts, lens, m, doc, pos, seed, content = _cut_all(rows, id_at, text_at, length)
-            start = np.cumsum(lens) - lens
+            a, e, m, doc, seed = _cut_all(rows, id_at, text_at, length)
+            buf, off = tk.column(rows.column(text_at))
             bucket, low, _, cuts, inv = _seed_lists(seed, doc, nb)
             live = np.zeros(len(low), bool)
             for b, bits in got.items():
                 live[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cuts[b + 1] - cuts[b])).astype(bool)
             keep = np.flatnonzero(live[inv])
+            a, lens, m, doc, bucket = a[keep], (e - a)[keep], m[keep], doc[keep], bucket[keep]
             # one copy of each piece, with its places, bucket by bucket
-            o = keep[np.lexsort((content[keep], bucket[keep]))]
-            first = _starts(bucket[o], content[o])
+            o, first = _classes(buf, a, lens, bucket, _span_hashes(buf, a, a + lens))
             times, rep = np.diff(np.r_[first, len(o)]), o[first]
             at = np.searchsorted(bucket[rep], np.arange(nb + 1))
             ends = np.r_[0, np.cumsum(times)]
@@ -225,7 +258,7 @@ def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
                 u, t = rep[at[b] : at[b + 1]], times[at[b] : at[b + 1]]
                 places = o[ends[at[b]] : ends[at[b + 1]]]
                 own, which = np.unique(doc[places], return_inverse=True)
-                for col, v in zip(out, (int(b), batch, pack([_gather_bytes(texts, start[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), ids[own].view(np.uint64), small(which), small(pos[places])])), strict=True):
+                for col, v in zip(out, (int(b), batch, pack([_gather_bytes(buf, a[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), ids[own].view(np.uint64), small(which), small(a[places] - off[doc[places]])])), strict=True):
                     col.append(v)
         pa.default_memory_pool().release_unused()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "block": pa.array(out[2], pa.binary())})
@@ -326,9 +359,10 @@ def _bucket(length: int):
             live = np.flatnonzero((lo < hi)[seed])
             if len(live):
                 # equal pieces of different blocks
-                key = tk.mix(seed[live].astype(np.uint64)) ^ _piece_hash(text, start[live], lens[live])
-                _, at, same = np.unique(key, return_index=True, return_inverse=True)
-                u = live[at]
+                o, at = _classes(text, start[live], lens[live], seed[live], _span_hashes(text, start[live], (start + lens)[live]))
+                same = np.empty(len(live), np.int64)
+                same[o] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(o)]))
+                u = live[o[at]]
                 least = np.full(len(u), np.iinfo(np.int64).max)
                 np.minimum.at(least, same, piece_lo[live])
                 n_heads = lens[u] - length + 1
@@ -358,25 +392,17 @@ def _bucket(length: int):
                     end = np.r_[new[1:], len(who)] - 1
                     z = occ[who[new]]
                     a, e = pos[z] + j[new], pos[z] + j[end] + length
-                    for s in np.unique(src[z]):
-                        x = src[z] == s
-                        out.append((got[s][0], pack([doc[z][x].astype(np.uint32), a[x].astype(np.uint32), e[x].astype(np.uint32)])))
+                    by = np.argsort(src[z], kind="stable")
+                    ranges = [doc[z][by].astype(np.uint32), a[by].astype(np.uint32), e[by].astype(np.uint32)]
+                    cuts = np.r_[_starts(src[z][by]), len(by)]
+                    for lo, up in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                        out.append((got[src[z[by[lo]]]][0], pack([x[lo:up] for x in ranges])))
         pa.default_memory_pool().release_unused()
         return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "block": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
-def _piece_hash(text: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), np.uint64)
-    for lo in range(0, len(start), STEP):
-        s, n = start[lo : lo + STEP], lens[lo : lo + STEP]
-        rel = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        x = tk.BYTE[text[np.repeat(s, n) + rel]] * tk.powers(int(n.max()))[rel]
-        out[lo : lo + len(s)] = tk.mix(np.add.reduceat(x, np.cumsum(n) - n) + n.astype(np.uint64))
-    return out
-
-
 def merged(doc: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal ranges from overlapping or touching ones, by text."""
     if not len(doc):
@@ -415,10 +441,10 @@ def _run(docs: DataFrame, length: int, make, schema) -> DataFrame:
     t0 = Stored(docs.mapInArrow(_seed_pass(nb, id_at, text_at, length), _T0), "repeat-blocks").df
     rows = t0.where("rows is not null").select("batch", "rows")
     seeds = t0.where("seeds is not null").select("batch", "bucket", "seeds")
-    live = seeds.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_live_seeds, "batch long, bucket int, live binary")
+    live = seeds.repartitionById(nb, "bucket").groupBy("bucket").applyInArrow(_live_seeds, "batch long, bucket int, live binary")
     both = rows.select("batch", F.lit(None).cast("int").alias("bucket"), "rows", F.lit(None).cast("binary").alias("live")).unionByName(live.withColumn("rows", F.lit(None).cast("binary")))
     found = both.groupBy("batch").applyInArrow(_piece_pass(nb, id_at, text_at, length), "bucket int, batch long, block binary")
-    ranges = found.repartition(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(length), "batch long, block binary")
+    ranges = found.repartitionById(nb, "bucket").groupBy("bucket").applyInArrow(_bucket(length), "batch long, block binary")
     last = rows.withColumn("block", F.lit(None).cast("binary")).unionByName(ranges.withColumn("rows", F.lit(None).cast("binary")))
     return last.groupBy("batch").applyInArrow(_finish(make), schema)
 

@@ -1,7 +1,7 @@
 """Vectorised text kernels over Arrow string columns: words, word hashes, lines.
 
-All hashes are 64-bit: a polynomial over a fixed random byte table, finished by a
-mixing step.  Work goes in blocks of whole documents near `block_bytes`, so memory
+All hashes are 64-bit: each eight bytes are mixed non-linearly with their place, and the
+sum is mixed again, so that no family of texts collides by its algebra.  Work goes in blocks of whole documents near `block_bytes`, so memory
 follows the block (or the longest single text), never the partition."""
 
 from __future__ import annotations
@@ -31,18 +31,7 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-BYTE_LOWER = BYTE[LOWER]
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 256, 2 * len(_powers)), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def column(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,15 +80,20 @@ def spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_LOWER) -> np.ndarray:
-    """A 64-bit hash of each span; spans ascend and don't overlap."""
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span, A-Z lower-cased or as they are; spans may overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = LOWER[buf] if lower else buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
     n = ends - starts
-    at = np.zeros(len(n), np.int64)
-    np.cumsum(n[:-1], out=at[1:])
-    rel = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(at, n)
-    x = table[buf[np.repeat(starts, n) + rel]] * powers(int(n.max()))[rel]
+    k = np.maximum((n + 7) >> 3, 1)
+    at = np.cumsum(k) - k
+    rel = np.arange(int(k.sum())) - np.repeat(at, k)
+    left = np.minimum(np.repeat(n, k) - 8 * rel, 8)
+    salt = mix(np.arange(1, int(k.max()) + 1, dtype=np.uint64) * _BASE)
+    x = mix((eight[np.repeat(starts, k) + 8 * rel] & _MASK[left]) ^ salt[rel])
     return mix(np.add.reduceat(x, at) + n.astype(np.uint64))
 
 
