@@ -8,17 +8,17 @@ meet at the node, and every pair of them may become neighbours: the neighbours o
 neighbour are likely neighbours.  Rounds end when SETTLED of the edges or fewer are new.
 
 A query searches greedily until all of its best `w` seen are expanded, w from START on;
-then w is doubled, until a doubling leaves its k best as they were, however far that is.
-Both ends follow the data, so that the same constants serve any number of vectors.  The
+then w is doubled, until a doubling leaves its k best as they were but for ALIKE of them,
+however far that is.  A query's pool is one row, its candidates travel as lists.  Both ends follow the data, so that the same constants serve any number of vectors.  The
 best SURE are scored again in double precision on the original vectors.
 
 Every vector is in the graph.  Queries go in parts of about PART, whose vectors each task
 holds; besides, no task holds more than a cell of CELL vectors, a node's neighbours, the
 queries that look at a node at once, or a query's candidates of one hop.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, or
-aren't of the commonest length, take no part, nor do null ids; of several vectors of one
-id the least takes part; a node of more members than k gives its smallest ids."""
+Defined results: vectors that are null, zero, or hold null or non-finite components take
+no part, nor do null ids; shorter vectors count as filled up with zeros; of several vectors
+of one id the least takes part; a node of more members than k gives its smallest ids."""
 
 from __future__ import annotations
 
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Stored, require
 
 DEGREE, TREES, CELL, SETTLED = 32, 5, 400, 0.04
-START, AHEAD, SURE, SALTS, PART = 75, 64, 60, 64, 100_000
+START, AHEAD, SURE, SALTS, PART = 100, 64, 60, 64, 100_000
+#: A query ends when doubling its width changes this share of its k best or less.
+ALIKE = 0.05
 
 
 def _whole_groups(batches, key: int = 0) -> Iterator[pa.Table]:
@@ -129,64 +131,121 @@ def _local_join(dim: int, emit: int):
     return run
 
 
+def _spread(batches):
+    """Nodes to be expanded, with the queries that look at them and their links: each link once for each query, in lists."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        qs, vs = b.column("qs"), b.column("vs")
+        nq, nv = qs.value_lengths().to_numpy(), vs.value_lengths().to_numpy()
+        q, v = qs.flatten().to_numpy(), vs.flatten().to_numpy()
+        aq, av = np.r_[0, np.cumsum(nq)], np.r_[0, np.cumsum(nv)]
+        lo, pairs, size = 0, [], 0
+        for i in range(b.num_rows):
+            for j in range(0, int(nq[i]), 4096):
+                x = q[aq[i] + j : min(aq[i] + j + 4096, aq[i + 1])]
+                y = v[av[i] : av[i + 1]]
+                pairs.append((np.repeat(y, len(x)), np.tile(x, len(y))))
+                size += len(x) * len(y)
+                if size >= 1 << 20:
+                    yield _lists(pairs)
+                    pairs, size = [], 0
+        if pairs:
+            yield _lists(pairs)
+
+
+def _lists(pairs: list) -> pa.RecordBatch:
+    v, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    o = np.lexsort((q, v))
+    v, q = v[o], q[o]
+    new = np.r_[True, (v[1:] != v[:-1]) | (q[1:] != q[:-1])]
+    v, q = v[new], q[new]
+    at = _bounds(v)
+    return pa.RecordBatch.from_arrays([pa.array(v[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(q))], names=["v", "qs"])
+
+
 def _score(dim: int, asked: np.ndarray, x: np.ndarray):
-    """Nodes with the queries that look at them: inner products. asked: the queries' ids, ascending; x: their vectors."""
+    """Nodes with the queries that look at them: each query's inner products, packed.
+    asked: the queries' ids, ascending; x: their vectors."""
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             vec, lists = _matrix(b.column("vec"), dim), b.column("qs")
             n, q = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
             row, at = np.repeat(np.arange(len(n)), n), np.searchsorted(asked, q)
-            ids = b.column("v").to_numpy()
-            for lo in range(0, len(q), 1 << 15):
-                r = row[lo : lo + (1 << 15)]
-                s = np.einsum("ij,ij->i", x[at[lo : lo + (1 << 15)]], vec[r])
-                yield pa.RecordBatch.from_arrays([pa.array(q[lo : lo + (1 << 15)]), pa.array(ids[r]), pa.array(s)], names=["q", "v", "s"])
+            s = np.concatenate([np.einsum("ij,ij->i", x[at[lo : lo + (1 << 15)]], vec[row[lo : lo + (1 << 15)]]) for lo in range(0, len(q), 1 << 15)])
+            o = np.argsort(q, kind="stable")
+            q, v, s = q[o], b.column("v").to_numpy()[row[o]], s[o].astype(np.float32)
+            yield _packed(q, v, s)
 
     return run
 
 
+_STATE = "q long, v binary, s binary, state binary, top binary, w int, next array<long>"
+
+
+def _packed(q, v, s, state=None, top=None, w=None, ends=None) -> pa.RecordBatch:
+    """One row a query: nodes, inner products, whether each is expanded and was among the best, width, what to expand."""
+    at = _bounds(q) if ends is None else ends
+    ids = q[at[:-1]] if ends is None else q
+    cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+    z = np.zeros(len(v), np.uint8)
+    state, top = z if state is None else state, z if top is None else top
+    now = [v[i:j][state[i:j] == 2] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    width = np.zeros(len(ids), np.int32) if w is None else w
+    return pa.RecordBatch.from_arrays([pa.array(ids), cut(v), cut(s), cut(state), cut(top), pa.array(width), pa.array(now, pa.list_(pa.int64()))], names=["q", "v", "s", "state", "top", "w", "next"])
+
+
 def _advance(k: int):
     """Each query's pool with what was found: duplicates go, and what is to be expanded next is marked.
-    state of a row: 0 seen, 1 expanded, 2 to be expanded now; w is 0 when the query has ended."""
+    state of a node: 0 seen, 1 expanded, 2 to be expanded now; w is 0 when the query has ended."""
     sure = max(SURE, 2 * k)
 
     def one(v, s, state, top, w):
-        o = np.lexsort((-s, -state, v))  # of a node's rows the one in the pool, if it is expanded, comes first
-        first = o[np.r_[True, v[o[1:]] != v[o[:-1]]]]
-        at = np.cumsum(np.r_[True, v[o[1:]] != v[o[:-1]]]) - 1
-        was = np.zeros(len(first), bool)
-        np.logical_or.at(was, at, top[o])
-        best = np.maximum.reduceat(s[o], np.flatnonzero(np.r_[True, v[o[1:]] != v[o[:-1]]]))
-        v, s, state, top = v[first], best, state[first], was
+        o = np.lexsort((-state.astype(np.int8), v))  # of a node's rows the one in the pool, if it is expanded, comes first
+        new = np.r_[True, v[o[1:]] != v[o[:-1]]]
+        first, at = o[new], np.flatnonzero(new)
+        top = np.maximum.reduceat(top[o], at)
+        v, s, state = v[first], s[first], np.minimum(state[first], 1)
         o = np.lexsort((v, -s))
-        v, s, state, top = v[o], s[o], np.minimum(state[o], 1), top[o]
+        v, s, state, top = v[o], s[o], state[o], top[o]
         while w:
             open_ = np.flatnonzero(state[:w] == 0)
             if len(open_):
                 state[open_[: max(AHEAD, w // 4)]] = 2
                 break
-            if top[: k + 1].all() or len(v) <= w:
+            if int((top[: k + 1] == 0).sum()) <= ALIKE * k or len(v) <= w:
                 w = 0
             else:
-                top = np.arange(len(v)) <= k
+                top = (np.arange(len(v)) <= k).astype(np.uint8)
                 w *= 2
         n = max(2 * w, sure)
         return v[:n], s[:n], state[:n], top[:n], w
 
     def run(batches):
         for t in _whole_groups(batches):
-            q, v, s = t["q"].to_numpy(), t["v"].to_numpy(), t["s"].to_numpy()
-            state, top, w = t["state"].to_numpy(), t["top"].to_numpy(zero_copy_only=False), t["w"].to_numpy()
+            q, w = t["q"].to_numpy(), t["w"].to_numpy()
+            cols = [[np.frombuffer(x, kind) for x in t[name].to_pylist()] for name, kind in (("v", np.int64), ("s", np.float32), ("state", np.uint8), ("top", np.uint8))]
             at = _bounds(q)
-            got = [one(v[a:e], s[a:e], state[a:e], top[a:e], int(w[a:e].max())) for a, e in zip(at[:-1], at[1:], strict=True)]
-            n = [len(g[0]) for g in got]
-            cols = [np.concatenate([g[i] for g in got]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[at[:-1]], n)), *map(pa.array, cols), pa.array(np.repeat(np.array([g[4] for g in got], np.int32), n))], names=["q", "v", "s", "state", "top", "w"])
+            got = [one(*[np.concatenate(c[a:e]) for c in cols], int(w[a:e].max())) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            ends = np.r_[0, np.cumsum([len(g[0]) for g in got])]
+            v, s, state, top = (np.concatenate([g[i] for g in got]) for i in range(4))
+            yield _packed(q[at[:-1]], v, s, state, top, np.array([g[4] for g in got], np.int32), ends)
 
     return run
 
 
+def _best(batches):
+    """The pools' nodes as rows."""
+    for b in batches:
+        if b.num_rows:
+            v = [np.frombuffer(x, np.int64) for x in b.column("v").to_pylist()]
+            s = [np.frombuffer(x, np.float32) for x in b.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("q").to_numpy(), [len(x) for x in v])), pa.array(np.concatenate(v)), pa.array(np.concatenate(s))], names=["q", "v", "s"])
+
+
 def _top(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= n).drop("rn")
 
@@ -199,10 +258,14 @@ class Index:
         spark = vectors.sparkSession
         e = F.col("embedding")
         fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
-        ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
-        sizes = ok.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-        self.dim = sizes["n"] if sizes else 1
-        one = ok.where(F.size("embedding") == self.dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        kind = "array<float>" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "array<double>"
+        ok = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
+        least, most = ok.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+        self.dim = most or 1
+        if least != most:
+            zeros = F.array_repeat(F.lit(0).cast(kind[6:-1]), F.lit(self.dim) - F.size("embedding"))
+            ok = ok.withColumn("embedding", F.concat("embedding", zeros))
+        one = ok.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         self.members = Stored(one, "ann-members")
         self.reps = Stored(self.members.df.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "embedding", "n"), "ann-nodes")
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -255,16 +318,18 @@ class Index:
         asked = held["q"].to_numpy()
         x = _matrix(held["vec"], self.d)
         x[:, -1] = 0
-        kinds = "q long, v long, s float, state int, top boolean, w int"
-        pool = Stored(self.spark.createDataFrame(pa.table({"q": asked, "v": asked, "s": (x * x).sum(1), "state": np.full(len(asked), 2, np.int32), "top": np.zeros(len(asked), bool), "w": np.full(len(asked), START, np.int32)}), kinds), "ann-pool")
-        while not (now := pool.df.where("state = 2")).isEmpty():
-            cand = now.select("q", F.col("v").alias("u")).join(links, "u").select("q", F.explode("vs").alias("v")).groupBy("v").agg(F.collect_set("q").alias("qs"))
-            new = cand.join(vec, "v").select("v", "qs", "vec").mapInArrow(_score(self.d, asked, x), "q long, v long, s float")
-            new = new.select("q", "v", "s", F.lit(0).alias("state"), F.lit(False).alias("top"), F.lit(0).alias("w"))
-            nxt = Stored(pool.df.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(_advance(k), kinds), "ann-pool")
+        start = _packed(asked, asked, (x * x).sum(1).astype(np.float32), np.full(len(asked), 2, np.uint8), None, np.full(len(asked), START, np.int32), np.arange(len(asked) + 1))
+        pool = Stored(self.spark.createDataFrame(pa.Table.from_batches([start]), _STATE), "ann-pool")
+        self.hops = 0
+        while not (now := pool.df.where(F.size("next") > 0)).isEmpty():
+            ask = now.select("q", F.explode("next").alias("u")).groupBy("u").agg(F.collect_list("q").alias("qs"))
+            cand = ask.join(links, "u").select("qs", "vs").mapInArrow(_spread, "v long, qs array<long>")
+            new = cand.join(vec, "v").select("v", "qs", "vec").mapInArrow(_score(self.d, asked, x), _STATE)
+            nxt = Stored(pool.df.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(_advance(k), _STATE), "ann-pool")
             pool.drop()
-            pool = nxt
-        return _top(pool.df, "q", [F.desc("s"), "v"], max(SURE, 2 * k)).select("q", "v")
+            pool, self.hops = nxt, self.hops + 1
+        best = pool.df.select("q", "v", "s").mapInArrow(_best, "q long, v long, s float")
+        return _top(best, "q", [F.desc("s"), "v"], max(SURE, 2 * k)).select("q", "v")
 
     def drop(self) -> None:
         for s in (self.nodes, self.edges, self.links):

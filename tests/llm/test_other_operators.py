@@ -98,13 +98,14 @@ def test_nearest_neighbours_and_ties(spark):
     x[100:400] = x[100]  # a third of the vectors is one
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0]), (None, [1.0] * 16), (7, x[7].tolist())]
     got = nndescent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 20).toPandas()
-    hit, d = 0, x.astype(np.float64)
+    hit, d, ids = 0, np.vstack([x, np.eye(1, 16)]).astype(np.float64), np.r_[np.arange(900), 904]  # 904 is filled up with zeros
+    at = {v: i for i, v in enumerate(ids.tolist())}
     for q in range(0, 900, 20):
         s = d @ d[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(900), -s))[:20]
+        want = ids[np.lexsort((ids, -s))[:20]]
         g = got[got.query_id == q].sort_values("rank")
-        assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, s[g.vec_id], rtol=1e-12)
+        assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, s[[at[v] for v in g.vec_id]], rtol=1e-12)
         hit += len(set(want) & set(g.vec_id))
     assert hit >= 0.95 * 20 * 45 and not set(got.query_id) & {900, 920}
     few = nndescent.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 20)
