@@ -36,7 +36,7 @@ from lodestream.llm.common import Stored, crc_mod, pieces, require
 K, RESERVE = 5, 1 / 1024
 #: Words counted beforehand, at most.
 HEAVY = 16_384
-MAX_TOKENS = 600_000
+MAX_TOKENS = 900_000
 BUCKET_BYTES = 10 << 20
 END, BOS = np.uint64(0x0E0D), np.uint64(0x0B05)
 _M = [f"m{r}" for r in range(1, K + 1)]
@@ -102,7 +102,7 @@ def _streams(batches):
 
     for b in batches:
         bi, bh = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for i, j, buf, off in tk.text_blocks(b.column(2)):
+        for i, j, buf, off in tk.text_blocks(b.column(2), 1 << 20):
             h, doc = tk.words(buf, off)
             w, hist, d = _tokens(h, doc, j - i)
             parts.append((w, hist, d + base))
