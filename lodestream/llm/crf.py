@@ -114,18 +114,25 @@ class LinearChainCRF:
         s = np.exp(s)
         return s / s.sum(1, keepdims=True)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """What each row's features say for each state."""
+        return self._x(x) @ self.w
+
     def viterbi(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The likeliest state sequence of each chain."""
-        if not len(x):
+        return self.decode(self.scores(x) if len(x) else np.zeros((0, self.k)), off)
+
+    def decode(self, d: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The same from scores(), which are overwritten."""
+        if not len(d):
             return np.zeros(0, np.int64)
-        d = self._x(x) @ self.w
-        back = np.zeros((len(x), self.k), np.int64)
+        back = np.zeros((len(d), self.k), np.int8)
         steps = _steps(off)
         for rows in steps[1:]:
             c = d[rows - 1][:, :, None] + self.t
             back[rows] = c.argmax(1)
             d[rows] += c.max(1)
-        out = np.zeros(len(x), np.int64)
+        out = np.zeros(len(d), np.int64)
         full = off[1:][np.diff(off) > 0] - 1
         out[full] = d[full].argmax(1)
         for rows in steps[:0:-1]:

@@ -115,7 +115,19 @@ class _Page:
         body = "".join(out)
         return self.pick(*[f"<article>{body}</article>"] * 3, f"<main>{body}</main>", f"<main><article>{body}</article></main>", f"<div{self.attr('content', 'article', 'post', 'entry-content', 'story', 'article-body', 'main', 'text', 'post-body')}>{body}</div>", f'<div role="main">{body}</div>', f"<section{self.attr('content', 'article')}>{body}</section>", f"<td{self.attr('content', 'body')}>{body}</td>", f"<div{self.attr('wrapper', 'container', 'page')}><div{self.attr('content', 'post')}>{body}</div></div>", f"<div>{body}</div>")
 
+    def table_page(self) -> str:
+        """All in one table: rows of links, a cell of links beside the cell of the article, a last row of small print."""
+        flat = lambda n, sep: REST + sep.join(f'<a href="{i}.html">{self.words(1, 3).capitalize()}</a>' for i in range(n))
+        cell = lambda n, sep, *names: f"<td{self.maybe(0.4, self.attr(*names))}>{flat(n, sep)}</td>"
+        body = f"{self.maybe(0.8, f'<h2>{MAIN}{self.words(2, 8).capitalize()}</h2>')}" + "".join(f"<p>{self.paragraph()}{self.maybe(0.4, '</p>')}" for _ in range(self.r.randint(1, 9)))
+        main = f"<td{self.maybe(0.5, self.attr('content', 'main', 'text', 'body'))}>{body}</td>"
+        rows = [self.maybe(0.8, f"<tr>{cell(self.r.randint(2, 7), self.pick(' | ', ' - ', ' '), 'nav', 'menu', 'top')}</tr>"), "<tr>" + self.maybe(0.8, cell(self.r.randint(2, 9), self.pick("<br>", "<br>", " | "), "menu", "side", "nav", "left")) + main + self.maybe(0.2, cell(4, "<br>", "right", "links", "ads")) + "</tr>"]
+        rows.append(self.maybe(0.7, f"<tr><td>{REST}{self.pick('&copy; 1999 ', '')}{self.sentence()}</td></tr>"))
+        return f"<html><head><title>{self.words(2, 5)}</title></head><body>{self.maybe(0.3, self.advert())}<table width=100%>{''.join(rows)}</table></body></html>"
+
     def page(self) -> str:
+        if self.r.random() < 0.12:
+            return self.table_page()
         before = [f() for f, p in ((self.notice, 0.25), (self.header, 0.4), (self.menu, 0.75), (self.advert, 0.4), (self.form, 0.12), (self.sidebar, 0.15)) if self.r.random() < p]
         after = [f() for f, p in ((self.share, 0.15), (self.comments, 0.35), (self.sidebar, 0.3), (self.advert, 0.25), (self.form, 0.2), (self.menu, 0.15), (self.footer, 0.8), (self.notice, 0.15)) if self.r.random() < p]
         if self.r.random() < 0.2:
