@@ -76,6 +76,23 @@ def test_word_hashes_follow_words():
     assert sliced.tolist() == [x for (i, _), x in zip(flat, h.tolist(), strict=True) if 7 <= i < 27]
 
 
+def test_word_hashes_of_thue_morse_words(spark):
+    """Words that a polynomial hash cannot tell apart."""
+    import pyarrow as pa
+
+    t = "a"
+    for _ in range(12):
+        t += t.translate(str.maketrans("ab", "ba"))
+    for n in (512, 1024, 2048, 4096):
+        x, y = t[:n], t[:n].translate(str.maketrans("ab", "ba"))
+        h, _ = tk.words(*tk.column(pa.array([x, y, x + "c"])))
+        assert len(set(h.tolist())) == 3
+    rows = [(1, t[:2048]), (2, t[:2048].translate(str.maketrans("ab", "ba"))), (7, "z")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(d, k=2).collect()} == {1: 1, 2: 2, 7: 7}
+    assert {r.doc_id: r.n_known for r in katz.katz_scores(d, modulus=2, held=9).collect()} == {1: 2, 2: 2, 7: 2}
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates_match_brute_force(docs, k):
     rows = [r for r in docs.collect() if r.doc_id is not None]
@@ -248,22 +265,60 @@ def test_decontamination_matches_brute_force(spark, docs):
     assert one_by_one.count() == len(got)
 
 
-def test_multi_index_finds_all_within_radius():
+@pytest.mark.parametrize("n", [50, 6000])
+def test_multi_index_finds_all_within_radius(n):
+    """By passing over few keys, and by flipping bits where keys are many."""
     rng = np.random.default_rng(4)
-    of = rng.integers(0, 2**63, 50, dtype=np.int64).astype(np.uint64)
-    it = decontam.Items(np.arange(50), [np.array([x]) for x in of], np.full(50, 5), 5)
-    it.prints, it.bytes = of, of.view(np.uint8).reshape(-1, 8)
-    probes = []
+    of = rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)
+    probes = of[:50].copy()
     for i in range(50):
-        flips = rng.choice(64, decontam.RADIUS, replace=False)
-        x = int(of[i])
-        for f in flips:
-            x ^= 1 << int(f)
-        probes.append(x)
-    probes = np.array(probes, np.uint64)
-    pairs = {(int(a), int(b)) for w, i in it.near(probes, np.arange(50)) for a, b in zip(w, i, strict=True)}
-    want = {(a, b) for a in range(50) for b in range(50) if bin(int(probes[a]) ^ int(of[b])).count("1") <= decontam.RADIUS}
-    assert pairs == want and all((i, i) in pairs for i in range(50))
+        for f in rng.choice(64, decontam.RADIUS, replace=False):
+            probes[i] ^= np.uint64(1) << np.uint64(f)
+    index = decontam.Index(of, np.arange(n))
+    assert (len(index.keys[0]) > len(decontam._FLIPS)) == (n == 6000)
+    got = list(zip(*(x.tolist() for x in index.near(probes)), strict=True))
+    d = np.bitwise_count(probes[:, None] ^ of[None, :])
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in np.nonzero(d <= decontam.RADIUS)), strict=True)) and {(i, i) for i in range(50)} <= set(got)
+    close = np.zeros((50, n), bool)
+    for b in range(decontam.BLOCKS):
+        close |= np.bitwise_count((probes.view(np.uint16).reshape(-1, 4)[:, b, None] ^ of.view(np.uint16).reshape(-1, 4)[None, :, b])) <= decontam.FLIP
+    assert close.mean() < 0.2  # what the index lets through of random pairs
+
+
+def test_decontamination_recall_by_brute_force(spark):
+    """Items changed in some words, so that the best window lies about the threshold: all that reach it are found."""
+    r = random.Random(12)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [[r.choice(vocab) for _ in range(r.choice([40, 60]))] for _ in range(120)]
+    docs_, want = [], set()
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for d in range(240):
+        i = d % 120
+        w = list(items[i])
+        at = r.randrange(3, len(w) - 3)
+        w[at] = "changed"
+        if d >= 120:
+            w[0] = "another"
+        words_ = [r.choice(vocab) for _ in range(50)] + w + [r.choice(vocab) for _ in range(30)]
+        docs_.append((d, " ".join(words_)))
+        for k, it in enumerate(items):
+            g = grams(it)
+            for s in range(len(words_) - len(it) + 1):
+                x = grams(words_[s : s + len(it)])
+                if sum((g & x).values()) >= 0.8 * sum((g | x).values()):
+                    want.add((d, k))
+    got = decontam.matches(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert found <= want and len(want) > 100 and len(found) >= 0.99 * len(want), (len(found), len(want))
+
+
+def test_decontamination_edges(spark):
+    item = " ".join(f"b{i}" for i in range(25))
+    rows = [(1, "x " * 400_000 + item, "k"), (2, item + " . " + item, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string")  # a clashing name
+    got = {x.doc_id: x for x in decontam.matches(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got[1].first_word == 400_000 and got[2].first_word == 0 and got[2].n_words == 25
+    assert decontam.drop_contaminated(d, spark.createDataFrame([(5, "no such words at all here")], "item_id long, text string")).columns == d.columns
 
 
 def test_quality_learns_and_ignores_held_out_labels(spark):
