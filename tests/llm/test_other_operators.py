@@ -38,6 +38,23 @@ PAGE = """<!doctype html><html><head><title>T</title><script>var a="</p>";</scri
 <div id="comments"><h3>Comments</h3><p>I like that. Great post.</p></div><aside><p>Related things to read on.</p></aside><form><label>Mail</label><input></form><footer>&copy; 2024 some site</footer></body></html>"""
 
 
+def test_many_nested_rules_match_brute_force(spark):
+    """Rules as a table, nested in hosts and paths, in chunks that break a host's rules."""
+    r = random.Random(9)
+    hosts = ["", "org", "example.org", "a.example.org", "b.a.example.org", "xexample.org", "com", "x.com"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/a/b/c", "/ab", "/b", "a", "/ä/"]
+    rules = [(r.choice(hosts), r.choice(paths), r.choice(["allow", "block"])) for _ in range(120)] + [(None, "/q", "block")]
+    urls = [f"http://{r.choice(hosts)}{r.choice(['', '', '.', ':80'])}{r.choice(paths)}{r.choice(['', 'b', '/c', '?a=/a', 'x' * 30_000])}" for _ in range(400)] + [None, "", "no scheme/a"]
+    d = spark.createDataFrame([(i % 390, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")  # a clashing name
+    got = [urlfilter.judge(d, spark.createDataFrame(rules, "host string, path string, verdict string"), "none", chunk=c).collect() for c in (1000, 17)]
+    got.append(urlfilter.judge(d, rules, "none").collect())
+    assert all(sorted(map(str, g)) == sorted(map(str, got[0])) for g in got) and len(got[0]) == len(urls)
+    for x in got[0]:
+        fit = [(len(h or "") + len(p), len(h or ""), v == "block", (h or "") + p, v) for h, p, v in rules if (not h or x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.rule, x.verdict) == (max(fit)[3:] if fit else (None, "none")), x
+    assert urlfilter.judge(d, []).where("verdict <> 'allow' or rule is not null").count() == 0 and urlfilter.judge(d.limit(0), rules).count() == 0
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain <"), (5, "u", "<p>unclosed <!-- never"), (1, "u", PAGE)]
     got = sorted(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)
