@@ -10,11 +10,15 @@ A leaf's budget is whole epochs and a rest.  Each epoch is a seeded permutation
 of seed, epoch and doc_id); the rest is that epoch's longest prefix within it.  The
 prefix is found without sorting the leaf: tokens are summed per slot of the leading
 SLOT_DIGITS hash digits, and only the one slot that straddles the cut is ordered by row.
+Texts are read for their tokens once: where these aren't given, the rows are written with
+them, and sums and slots then read a few short columns.
 
 Defined results: null domains, languages and sources are nodes named `unknown`;
-weights that aren't given are the default, negative ones count as 0; columns of docs
-whose names begin with `mix_` give way to those added here; texts without
-words are never selected; an empty table gives no rows; repeated rows count as rows."""
+weights that aren't given are the default, negative ones count as 0; of docs' columns
+mix_domain, mix_tokens and mix_copies alone give way to those added here, other names
+that begin with `mix_` stay; texts without words (null, empty) are never selected, very
+long ones count whole; an empty table gives no rows; repeated rows count as rows; rows
+of one hash (null or repeated ids) come in the order of doc_id and tokens."""
 
 from __future__ import annotations
 
@@ -60,6 +64,10 @@ def _hash(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
+def token_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     domain: Column,
@@ -70,14 +78,20 @@ def mix(
     max_epochs: int = 2,
     seed: int = 17,
     default_weight: float = 1.0,
+    tokens: Column | None = None,
 ) -> DataFrame:
     """The selected rows with all columns of docs, and mix_domain, mix_tokens and mix_copies
-    (how often the row is drawn).  The budget is `fraction` of all tokens there are."""
-    require(docs, "doc_id", "text", "lang", "source")
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
+    (how often the row is drawn).  The budget is `fraction` of all tokens there are.
+    tokens: those of a row, where docs has them (it is read several times); else words of `text`."""
+    require(docs, "doc_id", "lang", "source", *(["text"] if tokens is None else []))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_domain", "mix_tokens", "mix_copies")])
+    plain = docs.columns
+    own = {c: f"own_{i}_{c}" for i, c in enumerate(plain) if c.lower().startswith("mix_")}
     named = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"mix_domain": named(domain), "mix_lang": named(F.col("lang")), "mix_source": named(F.col("source")), "mix_tokens": tokens})
+    added = {"mix_domain": named(domain), "mix_lang": named(F.col("lang")), "mix_source": named(F.col("source")), "mix_tokens": token_count("text") if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")}
+    rows = docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in plain], *[v.alias(k) for k, v in added.items()])
+    if tokens is None:
+        rows = Stored(rows, "mix-rows").df
     leaves = Stored(rows.groupBy(*_LEVELS).agg(F.sum("mix_tokens").alias("tokens")), "mix-leaves")
 
     leaf = leaves.df.withColumn("cap", F.col("tokens") * max_epochs)
@@ -115,4 +129,4 @@ def mix(
     edge = edge.withColumn("mix_copies", F.col("mix_epochs") + F.when(F.col("mix_run") <= F.col("mix_rest"), 1).otherwise(0)).drop("mix_run")
     for s in (leaves, plan):
         s.drop()
-    return easy.unionByName(edge).where("mix_copies > 0").select(*docs.columns, "mix_domain", "mix_tokens", "mix_copies")
+    return easy.unionByName(edge).where("mix_copies > 0").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in plain], "mix_domain", "mix_tokens", "mix_copies")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontam, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
-from lodestream.llm.common import read
+from lodestream.llm.common import Stored, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +53,8 @@ MIX = {"domain_weights": {"web": 5, "books": 3, "code": 2}, "lang_weights": {"en
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.mix(read(spark, sf_dir, "documents"), mix_domain(), **MIX)
+    d = Stored(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.token_count("text").alias("n")), "mix-tokens").df
+    got = mixing.mix(d, mix_domain(), **MIX, tokens=F.col("n"))
     return got.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
 
@@ -108,7 +109,7 @@ q AS (
   FROM p),
 c AS (SELECT page_id, etag, n, base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM q),
 j AS (SELECT r.page_id, r.canonical, r.etag, r.page_id + 500 AS ts, f.page_id AS response_page_id, f.etag AS f_etag, f.n AS f_n
-  FROM c r ASOF LEFT JOIN c f ON r.canonical = f.canonical AND r.page_id + 500 > f.page_id)
+  FROM c r ASOF LEFT JOIN (SELECT * FROM c WHERE canonical <> '') f ON r.canonical = f.canonical AND r.page_id + 500 > f.page_id)
 SELECT page_id, canonical, s AS state, response_page_id,
   CASE WHEN s IN ('resolved', 'unverified') THEN 'cache-control=max-age=60;content-length=' || f_n || ';content-type=text/html;date=' || ts END AS headers
 FROM (SELECT *, CASE WHEN response_page_id IS NULL THEN 'missing' WHEN etag IS NULL OR f_etag IS NULL THEN 'unverified' WHEN etag = f_etag THEN 'resolved' ELSE 'mismatch' END AS s FROM j)

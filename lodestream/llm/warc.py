@@ -1,13 +1,17 @@
 """Operator 9: WARC records, and not-modified revisits resolved by an as-of join.
 
 A revisit (304) stands for the latest earlier full response of the same canonical
-url.  The join is by url and time slot: each (url, slot) keeps its last response by a
-map-side maximum, a window over a url's slots (SLOTS at most) carries it forward, and
-only revisits and responses of one slot meet row by row.  One url with a third of all
-records is so spread over its slots.
-
-Defined results: a null url is canonically empty; null times are never joined (state
-`missing`); only responses of status 200 are full; of responses of one time the
+url: of the one that a revisit refers to, where it names it.  The join is by url and time
+slot: each (url, slot) keeps its last response by a map-side maximum, a window over a
+url's slots (SLOTS at most) carries it forward, and only revisits and responses of one
+slot meet row by row.  Slots hold equal parts of all records (approximate quantiles of
+the times), so that one url with a third of all records is spread over them, and a few
+odd times don't bring all others into one.
+
+Defined results: a url that is null or has no `://` is canonically empty and never
+joined, nor are null times (state `missing`); very long urls and header values are taken
+whole; other columns of the table are neither read nor returned; repeated revisits each
+get their row; only responses of status 200 are full; of responses of one time the
 greatest record_id is the latest; a response of the revisit's own time isn't earlier.
 States: `resolved` (entity tags agree, or without them the modification dates),
 `unverified` (no validator on both sides), `mismatch`, `missing`.  Headers are merged
@@ -15,9 +19,9 @@ where resolved or unverified: those a 304 may carry replace the stored ones."""
 
 from __future__ import annotations
 
-import gzip
 import io
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,16 +52,30 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _slot(ts: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are ts or less, by halving; null times are in slot 0."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(ts < F.lit(cuts[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return F.when(ts.isNull(), 0).otherwise(among(0, len(cuts)))
+
+
 def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """records: record_id, url, ts (long), kind (`response` or `revisit`), status, etag, last_modified,
-    headers map<string,string>.  One row per revisit: record_id, canonical, state, response_id, headers."""
+    headers map<string,string>, and refers_url, if there is such a column.  One row per revisit: record_id, canonical, state, response_id, headers."""
     require(records, "record_id", "url", "ts", "kind", "status", "etag", "last_modified", "headers")
     head = F.array_sort(F.map_entries(F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))))
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", head.alias("head"))
-    low, high = r.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // slots + 1)
-    r = r.withColumn("slot", F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)))
-    full = F.when((F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "head"))
+    url = F.col("url")
+    if "refers_url" in records.columns:
+        url = F.coalesce(F.when(F.col("kind") == "revisit", F.col("refers_url")), url)
+    r = records.select("record_id", canonical_url(url).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", head.alias("head"))
+    cuts = r.agg(F.percentile_approx("ts", [i / slots for i in range(1, slots)])).first()[0] if slots > 1 else None
+    r = r.withColumn("slot", _slot(F.col("ts"), sorted(set(cuts or []))))
+    full = F.when((F.col("canonical") != "") & (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "head"))
     r = r.withColumn("full", full).where(F.col("full").isNotNull() | (F.col("kind") == "revisit"))
     last = r.groupBy("canonical", "slot").agg(F.max("full").alias("last"))
     carry = last.withColumn("carried", F.max("last").over(Window.partitionBy("canonical").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
@@ -92,11 +110,39 @@ def captures(pages: DataFrame, later: int = 500) -> DataFrame:
     return p.select("record_id", "url", "ts", "kind", "status", "etag", F.lit(None).cast("string").alias("last_modified"), F.map_concat(own, stamp).alias("headers"))
 
 
+class _Members(io.RawIOBase):
+    """The content of gzip members one after the other, some at a time; it ends where one is broken."""
+
+    def __init__(self, data: bytes):
+        self.rest, self.z = memoryview(data), zlib.decompressobj(31)
+        self.held = b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.held and len(self.rest):
+            try:
+                step = bytes(self.rest[: 1 << 16])
+                self.held = self.z.decompress(step, 1 << 20)
+            except zlib.error:
+                self.rest = self.rest[:0]
+                break
+            left = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.rest = self.rest[len(step) - len(left) :]
+            if self.z.eof:
+                self.z = zlib.decompressobj(31)
+            elif not len(self.rest) and not self.held:
+                break
+        n = min(len(out), len(self.held))
+        out[:n] = self.held[:n]
+        self.held = self.held[n:]
+        return n
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
     """Records of a WARC file, gzip members or plain; broken tails end the iteration."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    f = io.BytesIO(data)
+    f = io.BufferedReader(_Members(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -111,14 +157,15 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         status = lines[0].split(" ")[1] if lines and len(lines[0].split(" ")) > 1 else ""
         fields = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]))
         yield {
-            "record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "kind": head.get("warc-type"),
+            "record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "refers_url": head.get("warc-refers-to-target-uri"), "date": head.get("warc-date"), "kind": head.get("warc-type"),
             "status": int(status) if status.isdigit() else None, "etag": fields.get("etag"), "last_modified": fields.get("last-modified"), "headers": fields, "payload": rest if lines else body,
         }
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under path, read by Spark. A file is held in one task's memory (they are 1 GB by custom)."""
-    kinds = "record_id string, url string, date string, kind string, status int, etag string, last_modified string, headers map<string,string>, payload binary"
+    """Records of all WARC files under path, read by Spark. A file as it is stored is held in one task's memory (they are 1 GB by
+    custom, and Spark reads none over 2 GB); its content is unpacked some at a time."""
+    kinds = "record_id string, url string, refers_url string, date string, kind string, status int, etag string, last_modified string, headers map<string,string>, payload binary"
 
     def run(frames):
         for f in frames:

@@ -89,6 +89,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], rec)).count() == 0
 
 
+def test_revisit_edges(spark):
+    rec = "record_id long, url string, refers_url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>, canonical string, slot string"
+    long = "http://a.org/" + "x" * 100_000
+    rows = [
+        (1, None, None, 1, "response", 200, None, None, {}, "c", "s"), (2, None, None, 5, "revisit", 304, None, None, {}, "c", "s"), (3, "no scheme", None, 6, "revisit", 304, None, None, {}, "c", "s"),
+        (4, "http://b.org/", None, -10**12, "response", 200, "e", None, {}, "c", "s"), (5, "http://c.org/", "http://b.org", 7, "revisit", 304, "e", None, {}, "c", "s"), (5, "http://c.org/", "http://b.org", 7, "revisit", 304, "e", None, {}, "c", "s"),
+        (6, long, None, 8, "response", 200, None, None, None, None, None), (7, long, None, 9, "revisit", 304, None, None, {"ETag": "y" * 50_000}, None, None), (8, long, None, None, "revisit", 304, None, None, None, None, None),
+    ]
+    got = sorted((r.record_id, r.state, r.response_id) for r in warc.resolve_revisits(spark.createDataFrame(rows, rec)).collect())
+    assert got == [(2, "missing", None), (3, "missing", None), (5, "resolved", 4), (5, "resolved", 4), (7, "unverified", 6), (8, "missing", None)]
+
+
+def test_broken_gzip_tails_end_the_iteration():
+    one = warc.write_record("response", "<r1>", "http://a.org/", "d", 200, {"ETag": "x"}, b"p" * 300_000)
+    two = warc.write_record("response", "<r2>", "http://a.org/", "d", 200, {}, b"q")
+    whole = gzip.compress(one) + gzip.compress(two)
+    assert [(r["record_id"], len(r["payload"])) for r in warc.parse_warc(whole)] == [("<r1>", 300_000), ("<r2>", 1)]
+    assert [r["record_id"] for r in warc.parse_warc(whole[:-9])][:1] == ["<r1>"]
+    assert [r["record_id"] for r in warc.parse_warc(gzip.compress(one) + b"\x1f\x8bgarbage")] == ["<r1>"]
+    assert list(warc.parse_warc(b"\x1f\x8b")) == list(warc.parse_warc(b"")) == []
+
+
 def test_revisits_of_a_hot_url_match_brute_force(spark):
     r = random.Random(4)
     rows = [(i, "http://hot.org/" if r.random() < 0.6 else f"http://u{r.randint(0, 5)}.org/", r.randint(0, 300), r.choice(["response", "revisit"]), 200, str(r.randint(0, 3)), None, {}) for i in range(400)]

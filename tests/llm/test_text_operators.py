@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import decontam, katz, mixing, neardup, quality, suffixdedup
 from lodestream.llm import textkernel as tk
@@ -364,6 +365,20 @@ def test_mixing_shares_and_prefixes(spark):
     assert {r.doc_id: r.mix_copies for r in got} == {r.doc_id: r.mix_copies for r in mixing.mix(df.repartition(7), F.col("source"), {"src0": 1, "src1": 1, "src2": 2}, {"en": 3, "de": 1}, {}, fraction=0.9, max_epochs=2).collect()}
 
 
+def test_mixing_edges(spark, monkeypatch):
+    """Clashing names, a very long text, nulls and repeated rows; leaves joined over salts give the same."""
+    rows = [(i % 50 if i % 9 else None, "w " * (i % 13), None if i % 5 == 0 else "en", f"s{i % 3}", i, "t", "x") for i in range(120)] + [(1000, "word " * 200_000, "de", "s0", 0, "t", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_rest long, mix_tokens string, mix_salt string")
+    args = {"domain": F.lit("d"), "domain_weights": {}, "lang_weights": {"en": 2}, "source_weights": {}, "fraction": 0.6}
+    got = mixing.mix(d, **args)
+    assert got.columns == ["doc_id", "text", "lang", "source", "mix_rest", "mix_salt", "mix_domain", "mix_tokens", "mix_copies"]
+    first = sorted(map(str, got.collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_LEAVES", 0)
+    assert sorted(map(str, mixing.mix(d, **args).collect())) == first and first
+    again = mixing.mix(d.withColumn("n", mixing.token_count("text")).drop("text"), **args, tokens=F.col("n"))
+    assert sorted(str((r.doc_id, r.mix_rest, r.mix_copies)) for r in again.collect()) == sorted(str((r.doc_id, r.mix_rest, r.mix_copies)) for r in got.collect())
+
+
 def test_mixing_moves_shortages_to_siblings_first(spark):
     from pyspark.sql import functions as F
 
