@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_SCRATCH
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
@@ -59,6 +63,20 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+_open: list[list[Stored]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[Stored]]:
+    """The tables stored while it is open, which may be dropped as soon as what was made of them is written."""
+    made: list[Stored] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open[:] = [m for m in _open if m is not made]
+
+
 class Stored:
     """A DataFrame written to the shared folder and read back: its lineage is cut,
     and the loss of any executor leaves it readable.  drop() frees the disk."""
@@ -68,6 +86,8 @@ class Stored:
         root = scratch_root(self.spark)
         _roots.add(root)
         self.path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+        for made in _open:
+            made.append(self)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -18,7 +18,8 @@ frequent are counted beforehand too and scored where they are read.
 Unigram counts and history weights are written as tables of the shared folder.
 
 Defined results: a null or empty text is the end token alone; rows without doc_id are
-scored and learnt from neither way (held_out null); repeated rows count as they come;
+scored but not learnt from (held_out null); repeated rows count as they come; other
+columns, whatever their names, are not read; very long texts are taken whole;
 without training rows every score is that of one unseen word per token."""
 
 from __future__ import annotations
@@ -329,6 +330,7 @@ def katz_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     heavy = sorted((np.uint64(w & (2**64 - 1)), c) for w, c in words.where(F.col("c") >= share * total).select("w", "c").collect()) if total else []
     hw, hc = np.array([w for w, _ in heavy], np.uint64), np.array([c for _, c in heavy], np.int64)
     cand = counted.df.where("h is not null").where(F.col("c") >= share / 2 * total).select("w", "h").collect() if total else []
+    counted.drop()
     # a pair is heavy only where its word is, so that its word's count is known too
     pw, ph = (np.array([x[i] for x in cand], np.int64).view(np.uint64) for i in (0, 1))
     ok = _find(hw, pw) >= 0

@@ -12,16 +12,23 @@ A candidate's similarity is estimated from all registers, corrected for chance
 collisions; of larger sets only what lies six standard errors below the threshold is let
 go, and the rest is decided on the full shingle sets.
 
-Documents with equal sets are one class and are compared once, through the smallest
-id.  Links needn't all be found to know the components, so a band's members are first
+Documents with equal sets are one class, named by a hash of the set, and are compared
+once.  Links needn't all be found to know the components, so a band's members are first
 compared with a hub, then with another; pairs already in one component need no further
 look.  Members of bands that are still apart after HUB_ROUNDS are compared in blocks
-of BLOCK by BLOCK within a task, where only links that join components come out.  No
-group of copies is expanded into its pairs.
+of BLOCK by BLOCK within a task, where only links that join components come out: those
+of bands that touch each other together, so that a pair in several bands is seen once,
+or band by band where these would be over TOGETHER blocks.  No group of copies is
+expanded into its pairs.
+
+Sets are of 64-bit hashes, and links are decided on full sets.
 
 Defined results: a text without words (null, empty, blank) has an empty set, is linked
-with nothing and kept; a text of fewer than k words is one shingle; rows without doc_id
-are kept, with no component; rows repeated under one doc_id stay rows of one class."""
+with nothing and kept; a text of fewer than k words is one shingle; a very long text is
+read whole (memory follows the longest one); rows without doc_id are kept, with no
+component; unlike texts under one doc_id are told apart by their sets, so each is linked
+by its own; links depend on no order, so ties and repeated rows change nothing; other
+columns, whatever their names, aren't looked at, and drop_near_duplicates() keeps them."""
 
 from __future__ import annotations
 
@@ -29,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestream.llm import textkernel as tk
 from lodestream.llm.common import Stored, require
@@ -39,6 +47,8 @@ REGISTERS, ROWS, BANDS, MANTISSA, HUB_ROUNDS = 256, 5, 51, 10, 2
 SMALL = 32
 #: Members of a block when what the hubs left apart is compared.
 BLOCK = 512
+#: Blocks of a group of touching bands, at most, that are compared together.
+TOGETHER = 8
 _SHORT = tk.mix(np.arange(64, dtype=np.uint64) + tk.U(0xABCDEF))
 
 
@@ -113,6 +123,13 @@ def registers(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _class_ids(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each set: of two sums over it and its size."""
+    sa, sb = np.r_[tk.U(0), np.cumsum(tk.mix(x + tk.U(1)))], np.r_[tk.U(0), np.cumsum(tk.mix(x ^ tk.U(0x9E3779B97F4A7C15)))]
+    n = np.diff(at).astype(np.uint64)
+    return tk.mix(tk.mix(sa[at[1:]] - sa[at[:-1]] + n) ^ (sb[at[1:]] - sb[at[:-1]])).view(np.int64)
+
+
 def _signatures(k: int, few: int):
     def run(batches):
         for b in batches:
@@ -120,10 +137,7 @@ def _signatures(k: int, few: int):
                 x, at = shingle_sets(buf, off, k)
                 reg = registers(x, at)
                 n = np.diff(at)
-                # two sums over the set tell sets apart, with the size
-                sa, sb = np.r_[tk.U(0), np.cumsum(tk.mix(x + tk.U(1)))], np.r_[tk.U(0), np.cumsum(tk.mix(x ^ tk.U(0x9E3779B97F4A7C15)))]
-                fa, fb = (sa[at[1:]] - sa[at[:-1]]).view(np.int64), (sb[at[1:]] - sb[at[:-1]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(fa), pa.array(fb), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array([x[at[r] : at[r + 1]].view(np.int64) if n[r] <= few else None for r in range(j - i)], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fa", "fb", "regs", "few"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(_class_ids(x, at)), pa.array([r.tobytes() for r in reg], pa.binary()), pa.array([x[at[r] : at[r + 1]].view(np.int64) if n[r] <= few else None for r in range(j - i)], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "regs", "few"])
 
     return run
 
@@ -133,7 +147,7 @@ def _sets(k: int):
         for b in batches:
             for i, j, buf, off in tk.text_blocks(b.column(1)):
                 x, at = shingle_sets(buf, off, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], names=["id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(_class_ids(x, at)), pa.array([x[at[r] : at[r + 1]].tobytes() for r in range(j - i)], pa.binary())], names=["id", "x"])
 
     return run
 
@@ -234,20 +248,24 @@ def _verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
 
 def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
     """rep, key: the rarest shingles of each set of few; without them too little is left for a link."""
-    x = reps.where("few is not null").select("rep", "fa", "fb", "n_shingles", F.explode("few").alias("x"))
-    rare = F.row_number().over(Window.partitionBy("fa", "fb", "n_shingles").orderBy("n", "x"))
+    x = reps.where("few is not null").select("rep", "n_shingles", F.explode("few").alias("x"))
+    rare = F.row_number().over(Window.partitionBy("rep").orderBy("n", "x"))
     ranked = x.join(x.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "x", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("i", rare)
     return ranked.where(F.expr(f"i <= n_shingles - (n_shingles * {percent} + 99) div 100 + 1")).select("rep", F.xxhash64(F.lit(BANDS), "x").alias("key"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; linked: 100 * intersection >= percent * union."""
+    return _near_duplicates(docs, k, percent).drop("cls")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     require(docs, "doc_id", "text")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = Stored(d.mapInArrow(_signatures(k, 100 * SMALL // percent), "doc_id long, n_shingles long, fa long, fb long, regs binary, few array<long>"), "sig")
+    sig = Stored(d.mapInArrow(_signatures(k, 100 * SMALL // percent), "doc_id long, n_shingles long, cls long, regs binary, few array<long>"), "sig")
     known = sig.df.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("fa", "fb", "n_shingles")
-    reps = Stored(classes.agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("few").alias("few")), "reps")
+    classes = known.groupBy(F.col("cls").alias("rep"))
+    reps = Stored(classes.agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"), F.first("few").alias("few")), "reps")
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)]))
     bands = reps.df.select("rep", band.alias("i", "key")).drop("i").unionByName(_prefixes(reps.df, percent))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
@@ -256,9 +274,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     size = live.df.groupBy("key").agg(F.count("*").alias("n"))
     weight = Stored(live.df.join(size, "key").groupBy("rep").agg(F.sum("n").alias("weight")), "weight")
 
-    ids = live.df.select(F.col("rep").alias("doc_id")).distinct()
-    sets = Stored(d.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(k), "id long, x binary"), "sets")
-    cand_reps = Stored(reps.df.drop("few").join(ids.withColumnRenamed("doc_id", "rep"), "rep"), "cand")
+    ids = live.df.select("rep").distinct()
+    cand_reps = Stored(reps.df.drop("few").join(ids, "rep"), "cand")
+    texts = d.join(cand_reps.df.select(F.col("first").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = Stored(texts.mapInArrow(_sets(k), "id long, x binary").dropDuplicates(["id"]), "sets")
+    first = Stored(reps.df.select("rep", "first"), "first")
     reps.drop()
 
     def labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -286,30 +306,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         comp = _all(edges, comp)
     # what is still apart: groups of keys that touch each other, all pairs of each, block by block
     now = Stored(labelled(live.df, comp), "apart")
-    keys = now.df.groupBy("key").agg(F.min("rep").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", "hub")
+    keys = now.df.groupBy("key").agg(F.min("rep").alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("key_parts"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", "hub", "key_parts")
     rest = now.df.join(keys, "key")
     group = Stored(components(rest.select(F.col("rep").alias("u"), F.col("hub").alias("v"))), "groups")
     size = group.df.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    member = rest.select("rep", "c").distinct().join(group.df.withColumnRenamed("u", "rep"), "rep").join(size, "component")
+    together = F.col("parts") <= TOGETHER
+    member = rest.join(group.df.withColumnRenamed("u", "rep"), "rep").join(size, "component")
+    member = member.select(together.alias("together"), F.when(together, F.col("component")).otherwise(F.col("key")).alias("unit"), F.when(together, F.col("parts")).otherwise(F.col("key_parts")).alias("parts"), "rep", "c").distinct()
     member = member.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = member.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
+    member = member.select("together", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c")
     held = cand_reps.df.select("rep", "n_shingles", "regs").join(sets.df.withColumnRenamed("id", "rep"), "rep")
-    blocks = member.join(held, "rep").groupBy("component", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    blocks = member.join(held, "rep").groupBy("together", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     edges.append(Stored(blocks, "edges"))
     if not edges[-1].df.isEmpty():
         comp = _all(edges, comp)
     group.drop()
     for s in (live, weight, sets, cand_reps, now, *tested):
         s.drop()
-    found = classes.agg(F.min("doc_id").alias("rep"))
-    if comp is not None:
-        found = found.join(comp.select(F.col("u").alias("rep"), "component"), "rep", "left").select("fa", "fb", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    else:
-        found = found.withColumnRenamed("rep", "component")
-    out = sig.df.drop("regs", "few").join(found, ["fa", "fb", "n_shingles"], "left")
+    out = sig.df.drop("regs", "few")
+    if comp is None:
+        found = first.df.select(F.col("rep").alias("cls"), F.col("first").alias("component"))
+    else:  # a component is named by its least doc_id
+        c = comp.select(F.col("u").alias("rep"), F.col("component").alias("label"))
+        named = c.join(first.df, "rep").groupBy("label").agg(F.min("first").alias("least"))
+        found = first.df.join(c.join(named, "label"), "rep", "left").select(F.col("rep").alias("cls"), F.coalesce("least", "first").alias("component"))
+    out = out.join(found, "cls", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", own)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "cls")
 
 
 def _all(edges: list[Stored], _: DataFrame | None) -> DataFrame | None:
@@ -319,12 +343,28 @@ def _all(edges: list[Stored], _: DataFrame | None) -> DataFrame | None:
     return components(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _with_class(at: int, k: int):
+    def run(batches):
+        for b in batches:
+            for i, j, buf, off in tk.text_blocks(b.column(at)):
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, pa.array(_class_ids(*shingle_sets(buf, off, k)))], names=[*b.schema.names, "near_cls"])
+
+    return run
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs: that of the smallest doc_id.
-    Rows repeated under one doc_id are copies too: one stays."""
-    found = Stored(near_duplicates(docs, k, percent).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    out = docs.join(found.df.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    twice = found.df.where("n > 1 and kept and doc_id is not null").select("doc_id")
+    Rows repeated under one doc_id are copies too, if their sets are the same: one stays."""
+    found = Stored(_near_duplicates(docs, k, percent), "kept")
+    by_id = Stored(found.df.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "kept-ids")
+    out = docs.join(by_id.df.where("doc_id is not null").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    twice = by_id.df.where("n > 1 and kept and doc_id is not null").select("doc_id")
     if twice.isEmpty():
         return out
-    return out.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(out.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.join(twice, "doc_id", "left_semi").select(docs.columns).toDF(*names)
+    schema = StructType([*rows.schema.fields, StructField("near_cls", LongType())])
+    mine = rows.withColumn(names[docs.columns.index("text")], F.col(names[docs.columns.index("text")]).cast("string")).mapInArrow(_with_class(docs.columns.index("text"), k), schema)
+    keep = found.df.where("kept").select(F.col("doc_id").alias(names[docs.columns.index("doc_id")]), F.col("cls").alias("near_cls")).distinct()
+    own = [names[docs.columns.index("doc_id")], "near_cls"]
+    return out.unionByName(mine.join(keep, own, "left_semi").dropDuplicates(own).select(names).toDF(*docs.columns))

@@ -6,7 +6,9 @@ marginals, put on a probability scale by a two-parameter logistic fit.
 
 Defined results: a null or empty text, or one of line ends alone, has no line and
 scores 0.0; a null doc_id is scored but never trained on (its crc32 is null, so
-held_out is null); repeated rows are scored alike; other columns are ignored.
+held_out is null); repeated rows are scored alike; very long texts are scored whole
+(memory follows the longest one); other columns, whatever their names, are ignored by
+quality() and kept by reject_bad(); a score of just the threshold is good.
 Labels are averaged per doc_id (0.5 and more is good); null labels are skipped.
 With no usable label of both kinds the score of every text with lines is 0.5."""
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -24,8 +26,8 @@ from lodestream.llm.crf import LinearChainCRF
 
 #: The fit uses this many labelled texts at most, the first by a hash of doc_id.
 MAX_TRAIN_DOCS = 6000
-#: A text with more lines than this is scored but not used for the fit.
-MAX_TRAIN_LINES = 2000
+#: A text with more lines than this is scored but not used for the fit, which takes this many lines of all texts at most.
+MAX_TRAIN_LINES, MAX_FIT_LINES = 2000, 400_000
 
 
 def _classes(*groups: str) -> list[np.ndarray]:
@@ -115,8 +117,12 @@ class Model:
         return np.where(np.isnan(z), 0.0, 1 / (1 + np.exp(-np.clip(np.nan_to_num(z), -500, 500))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed: int = 7) -> Model:
-    """Learn from labelled rows of which crc32(doc_id as text) mod 3 is not 1."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed: int = 7, max_lines: int = MAX_TRAIN_LINES, fit_lines: int = MAX_FIT_LINES) -> Model:
+    """Learn from labelled rows of which crc32(doc_id as text) mod 3 is not 1.
+
+    The sample is bounded: max_docs ids, the first by a hash; of their rows (2 * max_docs at most,
+    where ids repeat) those with max_lines lines or fewer, the first by a hash of id and features,
+    as long as they have fit_lines lines together.  No order of the input plays a part."""
     require(docs, "doc_id", "text")
     require(labels, "doc_id", "quality")
     chosen = (
@@ -125,18 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, seed
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs)
     )
     # limit() bounds the broadcast side
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("id_hash", F.xxhash64("doc_id"))
 
     def features(batches):
         for b in batches:
-            y = b.column("y").to_pylist()
+            y, ids = b.column("y").to_pylist(), b.column("id_hash").to_pylist()
             for i, j, buf, off in tk.text_blocks(b.column("text")):
                 x, size, lines = line_features(buf, off)
-                keep = [r for r in range(j - i) if 0 < lines[r + 1] - lines[r] <= MAX_TRAIN_LINES]
+                keep = [r for r in range(j - i) if 0 < lines[r + 1] - lines[r] <= max_lines]
                 cut = lambda a: [np.ascontiguousarray(a[lines[r] : lines[r + 1]]).tobytes() for r in keep]  # noqa: E731, B023
-                yield pa.RecordBatch.from_pydict({"y": pa.array([y[i + r] for r in keep], pa.int32()), "x": pa.array(cut(x.astype(np.float32)), pa.binary()), "size": pa.array(cut(size), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"y": pa.array([y[i + r] for r in keep], pa.int32()), "x": pa.array(cut(x.astype(np.float32)), pa.binary()), "size": pa.array(cut(size), pa.binary()), "n": pa.array([lines[r + 1] - lines[r] for r in keep], pa.int64()), "h": pa.array([ids[i + r] for r in keep], pa.int64())})
 
-    got = rows.mapInArrow(features, "y int, x binary, size binary").limit(2 * max_docs).toPandas()
+    key = F.xxhash64("h", "x", F.lit(seed))
+    first = rows.mapInArrow(features, "y int, x binary, size binary, n long, h long").withColumn("key", key).orderBy("key", "h").limit(2 * max_docs)
+    upto = F.sum("n").over(Window.orderBy("key", "h").rowsBetween(Window.unboundedPreceding, 0))  # 2 * max_docs rows
+    got = first.withColumn("upto", upto).where(F.col("upto") <= fit_lines).select("y", "x", "size").toPandas()
     got = got.sort_values(["y", "x"], ignore_index=True)  # the same fit whatever order the rows came in
     if got["y"].nunique() < 2:
         return Model(None)

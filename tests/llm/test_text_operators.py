@@ -127,6 +127,44 @@ def test_near_duplicates_match_brute_force(docs, k):
     assert sorted(i for i in ids if i is not None) == sorted({find(i) for i in sets}) and ids.count(None) == 1
 
 
+@pytest.mark.parametrize(("together", "block"), [(0, 5), (8, 5), (0, 512)])
+def test_ends_of_the_comparison_agree(spark, monkeypatch, together, block):
+    """Groups of bands compared together and band by band, in blocks of any size, with hubs that find little."""
+    r = random.Random(5)
+    rows, want = [], {}
+    for g in range(4):  # similar but unlinked families, whose members come in linked pairs
+        base = [f"g{g}w{i}" for i in range(100)]
+        for m in range(12):
+            w = list(base)
+            for j in r.sample(range(100), 12):
+                w[j] = f"v{g}_{m}_{j}"
+            for copy in range(2):
+                rows.append((g * 100 + 2 * m + copy, " ".join([*w[:-1], f"end{copy}"])))
+    monkeypatch.setattr(neardup, "TOGETHER", together)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(99)} for i, t in rows}
+    up = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                ra, rb = sorted((up[a], up[b]))
+                up = {i: ra if x == rb else x for i, x in up.items()}
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == up and len(set(up.values())) < len(up)
+
+
+def test_near_duplicates_at_the_edges(spark):
+    long = " ".join(f"w{i % 5000}x{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g h", "k1", 1), (1, "one two three four five six seven", "k2", 2), (2, "one two three four five six seven", "k3", 3), (3, long, "k4", 4), (4, long + " end", "k5", 5), (5, None, "k6", 6), (5, "", "k7", 7), (6, "a b c d e f g h", "k8", 8), (6, "a b c d e f g h", "k9", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, cls string, kept long")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(d, 2).collect())
+    assert got == [(1, 6, 1, True), (1, 7, 1, True), (2, 6, 1, False), (3, 59_999, 3, True), (4, 60_000, 3, False), (5, 0, 5, True), (5, 0, 5, True), (6, 7, 1, False), (6, 7, 1, False)]
+    left = neardup.drop_near_duplicates(d, 2)
+    assert left.columns == d.columns and sorted(r.cls for r in left.collect() if r.doc_id != 5) == ["k1", "k2", "k4"]  # both texts of id 1 stay
+
+
 def test_short_texts_that_share_no_band_are_linked(spark):
     alone = [81, 82, 149, 446, 449, 968, 1228, 1260]  # four of five shingles alike, and no band of the registers
     rows = []
@@ -398,3 +436,28 @@ def test_empty_tables(spark, empty):
     assert katz.katz_scores(empty).count() == 0
     assert decontam.matches(empty, bench).count() == 0
     assert mixing.mix(empty, F.col("source"), {}, {}, {}).count() == 0
+
+
+def test_quality_is_the_length_weighted_mean_of_marginals_by_enumeration():
+    """Whole texts against sums over all labellings of their lines."""
+    import itertools
+
+    import pyarrow as pa
+
+    from lodestream.llm.crf import LinearChainCRF
+
+    texts = ["One line here.\nAnother, longer line is here too.\n\nbuy buy buy", "alone", "a\nb\nc\nd", ""]
+    x, size, lines = quality.line_features(*tk.column(pa.array(texts)))
+    rng = np.random.default_rng(1)
+    crf = LinearChainCRF(2)
+    crf.mean, crf.scale, crf.w, crf.t = x.mean(0), x.std(0) + 1e-6, rng.normal(size=(x.shape[1] + 1, 2)) / 4, rng.normal(size=(2, 2))
+    raw, e = quality.Model(crf).raw(x, size, lines), crf.scores(x)
+    for d, (a, b) in enumerate(zip(lines[:-1], lines[1:], strict=True)):
+        if a == b:
+            assert np.isnan(raw[d])
+            continue
+        paths = list(itertools.product((0, 1), repeat=int(b - a)))
+        w = np.exp([sum(e[a + i, s] for i, s in enumerate(p)) + sum(crf.t[p[i], p[i + 1]] for i in range(len(p) - 1)) for p in paths])
+        good = [w[[p[i] == 1 for p in paths]].sum() / w.sum() for i in range(int(b - a))]
+        m = float(np.average(good, weights=size[a:b]))
+        assert math.isclose(raw[d], math.log(m / (1 - m)), rel_tol=1e-9)
