@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -31,3 +33,16 @@ def unpack(block: bytes) -> list[np.ndarray]:
 def small(a: np.ndarray) -> np.ndarray:
     top = int(a.max()) if len(a) else 0
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library keep goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm import textkernel as tk
-from lodestream.llm.blocks import pack, small, unpack
+from lodestream.llm.blocks import give_back, pack, small, unpack
 from lodestream.llm.common import Stored, crc_mod, pieces, require
 
 K, RESERVE = 5, 1 / 1024
 #: Words counted beforehand, at most.
 HEAVY = 16_384
-MAX_TOKENS = 900_000
+MAX_TOKENS = 800_000
 BUCKET_BYTES = 10 << 20
 END, BOS = np.uint64(0x0E0D), np.uint64(0x0B05)
 _M = [f"m{r}" for r in range(1, K + 1)]
@@ -98,7 +98,7 @@ def _streams(batches):
     def flush():
         cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
         parts.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         return ids, np.array(held, np.int8), *cols
 
     for b in batches:
@@ -290,6 +290,8 @@ def _bucket(uni: Unigrams, hw: np.ndarray, hc: np.ndarray):
                 lost = np.flatnonzero(rp == 0)
                 if len(lost):
                     out.append(_emit(len(lost), kind=["x"] * len(lost), batch=np.full(len(lost), batch), doc=doc[lost].astype(np.int32), h=np.repeat(gy, gn)[lost].view(np.int64), n=cnt[lost]))
+        del got
+        give_back()
         return pa.Table.from_batches(out, schema=_emit(0).schema)
 
     return run

@@ -9,12 +9,15 @@ neighbour are likely neighbours.  Rounds end when SETTLED of the edges or fewer
 
 A query searches greedily until all of its best `w` seen are expanded, w from START on;
 then w is doubled, until a doubling leaves its k best as they were but for ALIKE of them,
-however far that is.  A query's pool is one row, its candidates travel as lists.  Both ends follow the data, so that the same constants serve any number of vectors.  The
+however far that is.  In the search nodes and queries lie in parts: a hop joins what a
+part of the queries wants expanded with the links of each part of the nodes, the nodes so
+found with their vectors, and the inner products with the queries' pools, all as packed
+arrays, whose number follows the parts and not the candidates.  Both ends follow the data, so that the same constants serve any number of vectors.  The
 best SURE are scored again in double precision on the original vectors.
 
 Every vector is in the graph.  Queries go in parts of about PART, whose vectors each task
-holds; besides, no task holds more than a cell of CELL vectors, a node's neighbours, the
-queries that look at a node at once, or a query's candidates of one hop.
+holds; besides, no task holds more than a cell of CELL vectors, a node's neighbours, a part
+of the nodes with what looks at them in one hop, or a part of the queries with what they find.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do null ids; shorter vectors count as filled up with zeros; of several vectors
@@ -34,6 +37,8 @@ from lodestream.llm.common import Stored, require
 
 DEGREE, TREES, CELL, SETTLED = 32, 5, 400, 0.04
 START, AHEAD, SURE, SALTS, PART = 100, 64, 60, 64, 100_000
+#: Nodes of a part, and queries of a part.
+NODES, QUERIES = 4096, 256
 #: A query ends when doubling its width changes this share of its k best or less.
 ALIKE = 0.05
 
@@ -131,76 +136,104 @@ def _local_join(dim: int, emit: int):
     return run
 
 
-def _spread(batches):
-    """Nodes to be expanded, with the queries that look at them and their links: each link once for each query, in lists."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        qs, vs = b.column("qs"), b.column("vs")
-        nq, nv = qs.value_lengths().to_numpy(), vs.value_lengths().to_numpy()
-        q, v = qs.flatten().to_numpy(), vs.flatten().to_numpy()
-        aq, av = np.r_[0, np.cumsum(nq)], np.r_[0, np.cumsum(nv)]
-        lo, pairs, size = 0, [], 0
-        for i in range(b.num_rows):
-            for j in range(0, int(nq[i]), 4096):
-                x = q[aq[i] + j : min(aq[i] + j + 4096, aq[i + 1])]
-                y = v[av[i] : av[i + 1]]
-                pairs.append((np.repeat(y, len(x)), np.tile(x, len(y))))
-                size += len(x) * len(y)
-                if size >= 1 << 20:
-                    yield _lists(pairs)
-                    pairs, size = [], 0
-        if pairs:
-            yield _lists(pairs)
-
-
-def _lists(pairs: list) -> pa.RecordBatch:
-    v, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
+def _cat(col, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in col.to_pylist() if x is not None), kind)
+
+
+def _raw(arrays) -> pa.Array:
+    return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], pa.binary())
+
+
+_BLOCK = "part int, id binary, n binary, x binary"
+_PAIRS = "part int, v binary, q binary, s binary"
+_STATE = "qpart int, part int, v binary, q binary, s binary, state binary, top binary, w binary"
+
+
+def _vec_block(table: pa.Table) -> pa.Table:
+    """The vectors of one part of the nodes, by id."""
+    t = table.sort_by("id")
+    return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "id": _raw([t["id"].to_numpy()]), "n": pa.nulls(1, pa.binary()), "x": pa.array([b"".join(t["vec"].to_pylist())], pa.binary())})
+
+
+def _link_block(table: pa.Table) -> pa.Table:
+    """The links of one part of the nodes, by id."""
+    t = table.sort_by("id").combine_chunks()
+    vs = t["vs"].combine_chunks()
+    return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "id": _raw([t["id"].to_numpy()]), "n": _raw([vs.value_lengths().to_numpy()]), "x": _raw([vs.flatten().to_numpy()])})
+
+
+def _split(part: np.ndarray, *cols: np.ndarray) -> tuple[list[int], list[list[np.ndarray]]]:
+    """Columns cut up by part."""
+    o = np.argsort(part, kind="stable")
+    at = _bounds(part[o]) if len(o) else np.zeros(1, np.int64)
+    return part[o][at[:-1]].tolist(), [[c[o[i:j]] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for c in cols]
+
+
+def _once(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of node and query once."""
     o = np.lexsort((q, v))
     v, q = v[o], q[o]
-    new = np.r_[True, (v[1:] != v[:-1]) | (q[1:] != q[:-1])]
-    v, q = v[new], q[new]
-    at = _bounds(v)
-    return pa.RecordBatch.from_arrays([pa.array(v[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(q))], names=["v", "qs"])
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (q[1:] != q[:-1])
+    return v[new], q[new]
 
 
-def _score(dim: int, asked: np.ndarray, x: np.ndarray):
-    """Nodes with the queries that look at them: each query's inner products, packed.
-    asked: the queries' ids, ascending; x: their vectors."""
+def _pairs(name: str, part: np.ndarray, v: np.ndarray, q: np.ndarray, s: np.ndarray | None = None) -> pa.Table:
+    parts, (vs, qs, *ss) = _split(part, v, q, *([] if s is None else [s]))
+    return pa.table({name: pa.array(parts, pa.int32()), "v": _raw(vs), "q": _raw(qs), "s": _raw(ss[0]) if ss else pa.nulls(len(parts), pa.binary())})
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            vec, lists = _matrix(b.column("vec"), dim), b.column("qs")
-            n, q = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-            row, at = np.repeat(np.arange(len(n)), n), np.searchsorted(asked, q)
-            s = np.concatenate([np.einsum("ij,ij->i", x[at[lo : lo + (1 << 15)]], vec[row[lo : lo + (1 << 15)]]) for lo in range(0, len(q), 1 << 15)])
-            o = np.argsort(q, kind="stable")
-            q, v, s = q[o], b.column("v").to_numpy()[row[o]], s[o].astype(np.float32)
-            yield _packed(q, v, s)
+
+def _spread(parts: int):
+    """A part's nodes that queries want expanded, and its links: what these queries look at next."""
+
+    def run(asks: pa.Table, block: pa.Table) -> pa.Table:
+        u, q = _cat(asks["v"], np.int64), _cat(asks["q"], np.int32)
+        if not len(u) or not block.num_rows:
+            return _pairs("part", *[np.zeros(0, np.int64)] * 3)
+        ids, n, links = _cat(block["id"], np.int64), _cat(block["n"], np.int32).astype(np.int64), _cat(block["x"], np.int64)
+        at = np.searchsorted(ids, u)
+        ok = ids[np.minimum(at, len(ids) - 1)] == u  # a node without links asks for nothing
+        at, q = at[ok], q[ok]
+        m = n[at]
+        first = np.repeat((np.cumsum(n) - n)[at] - (np.cumsum(m) - m), m)
+        v, q = _once(links[first + np.arange(len(first))], np.repeat(q, m))
+        return _pairs("part", v % parts, v, q)
 
     return run
 
 
-_STATE = "q long, v binary, s binary, state binary, top binary, w int, next array<long>"
+def _score(dim: int, x: np.ndarray):
+    """A part's nodes that queries look at, and its vectors: inner products. x: the queries' vectors."""
 
+    def run(pairs: pa.Table, block: pa.Table) -> pa.Table:
+        v, q = _cat(pairs["v"], np.int64), _cat(pairs["q"], np.int32)
+        if not len(v):
+            return _pairs("qpart", *[np.zeros(0, np.int64)] * 3)
+        v, q = _once(v, q)
+        ids, vec = _cat(block["id"], np.int64), _cat(block["x"], np.float16).reshape(-1, dim)
+        at = np.searchsorted(ids, v)
+        s = np.empty(len(v), np.float32)
+        for lo in range(0, len(v), 1 << 15):
+            cut = slice(lo, lo + (1 << 15))
+            s[cut] = np.einsum("ij,ij->i", x[q[cut]], vec[at[cut]].astype(np.float32))
+        return _pairs("qpart", q // QUERIES, v, q, s)
+
+    return run
 
-def _packed(q, v, s, state=None, top=None, w=None, ends=None) -> pa.RecordBatch:
-    """One row a query: nodes, inner products, whether each is expanded and was among the best, width, what to expand."""
-    at = _bounds(q) if ends is None else ends
-    ids = q[at[:-1]] if ends is None else q
-    cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-    z = np.zeros(len(v), np.uint8)
-    state, top = z if state is None else state, z if top is None else top
-    now = [v[i:j][state[i:j] == 2] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    width = np.zeros(len(ids), np.int32) if w is None else w
-    return pa.RecordBatch.from_arrays([pa.array(ids), cut(v), cut(s), cut(state), cut(top), pa.array(width), pa.array(now, pa.list_(pa.int64()))], names=["q", "v", "s", "state", "top", "w", "next"])
 
+def _state(qpart: int, parts: int, v, q, s, state, top, w) -> pa.Table:
+    """One row with the pools of a part of the queries, and one for each part of the nodes that they want expanded."""
+    now = state == 2
+    ask, (us, qs) = _split(v[now] % parts, v[now], q[now])
+    none = [None] * len(ask)
+    cols = {"qpart": [qpart, *none], "part": [None, *ask], "v": [v, *us], "q": [q, *qs], "s": [s, *none], "state": [state, *none], "top": [top, *none], "w": [w, *none]}
+    kinds = {"qpart": pa.int32(), "part": pa.int32()}
+    return pa.table({c: pa.array(x, kinds[c]) if c in kinds else pa.array([None if y is None else np.ascontiguousarray(y).tobytes() for y in x], pa.binary()) for c, x in cols.items()})
 
-def _advance(k: int):
-    """Each query's pool with what was found: duplicates go, and what is to be expanded next is marked.
-    state of a node: 0 seen, 1 expanded, 2 to be expanded now; w is 0 when the query has ended."""
+
+def _advance(k: int, parts: int):
+    """The pools of a part of the queries with what was found: duplicates go, and what is to be expanded next is marked.
+    state of a node: 0 seen, 1 expanded, 2 to be expanded now; w (one a query) is 0 when the query has ended."""
     sure = max(SURE, 2 * k)
 
     def one(v, s, state, top, w):
@@ -224,26 +257,45 @@ def _advance(k: int):
         n = max(2 * w, sure)
         return v[:n], s[:n], state[:n], top[:n], w
 
-    def run(batches):
-        for t in _whole_groups(batches):
-            q, w = t["q"].to_numpy(), t["w"].to_numpy()
-            cols = [[np.frombuffer(x, kind) for x in t[name].to_pylist()] for name, kind in (("v", np.int64), ("s", np.float32), ("state", np.uint8), ("top", np.uint8))]
-            at = _bounds(q)
-            got = [one(*[np.concatenate(c[a:e]) for c in cols], int(w[a:e].max())) for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            ends = np.r_[0, np.cumsum([len(g[0]) for g in got])]
-            v, s, state, top = (np.concatenate([g[i] for g in got]) for i in range(4))
-            yield _packed(q[at[:-1]], v, s, state, top, np.array([g[4] for g in got], np.int32), ends)
+    def run(pool: pa.Table, found: pa.Table) -> pa.Table:
+        qpart = pool["qpart"][0].as_py()
+        v, q, s = (np.concatenate([_cat(pool[c], t), _cat(found[c], t)]) for c, t in (("v", np.int64), ("q", np.int32), ("s", np.float32)))
+        more = np.zeros(len(v) - len(pool["state"][0].as_py()), np.uint8)
+        state, top = (np.r_[_cat(pool[c], np.uint8), more] for c in ("state", "top"))
+        w = _cat(pool["w"], np.int32).copy()
+        o = np.argsort(q, kind="stable")
+        at = np.searchsorted(q[o], qpart * QUERIES + np.arange(len(w) + 1))
+        got = []
+        for i, (a, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            x = o[a:e]
+            if w[i]:
+                *cols, w[i] = one(v[x], s[x], state[x], top[x], int(w[i]))
+                got.append(cols)
+            else:
+                got.append([v[x], s[x], state[x], top[x]])
+        q = np.repeat(qpart * QUERIES + np.arange(len(w), dtype=np.int32), [len(g[0]) for g in got]).astype(np.int32)
+        v, s, state, top = (np.concatenate([g[i] for g in got]) for i in range(4))
+        return _state(qpart, parts, v, q, s, state, top, w)
 
     return run
 
 
-def _best(batches):
+def _best(asked: np.ndarray):
     """The pools' nodes as rows."""
-    for b in batches:
-        if b.num_rows:
-            v = [np.frombuffer(x, np.int64) for x in b.column("v").to_pylist()]
-            s = [np.frombuffer(x, np.float32) for x in b.column("s").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("q").to_numpy(), [len(x) for x in v])), pa.array(np.concatenate(v)), pa.array(np.concatenate(s))], names=["q", "v", "s"])
+
+    def run(batches):
+        for b in batches:
+            q, v, s = _cat(b.column("q"), np.int32), _cat(b.column("v"), np.int64), _cat(b.column("s"), np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(v), pa.array(s)], names=["q", "v", "s"])
+
+    return run
+
+
+def _prime(least: int) -> int:
+    n = max(1, least)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
 
 
 def _top(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
@@ -299,7 +351,12 @@ class Index:
         self.edges = edges
         e = edges.df
         back = _top(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"), "u", [F.desc("s"), "v"], degree)
-        self.links = Stored(e.select("u", "v").union(back.select("u", "v")).groupBy("u").agg(F.collect_set("v").alias("vs")), "ann-links")
+        links = e.select("u", "v").union(back.select("u", "v")).groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("vs"))
+        # for the search, nodes lie in parts of about NODES by their id
+        self.parts = _prime(math.ceil(max(1, n) / NODES))
+        part = F.pmod("id", F.lit(self.parts)).cast("int").alias("part")
+        self.vecs = Stored(vec.select(part, "id", "vec").groupBy("part").applyInArrow(_vec_block, _BLOCK), "ann-vecs")
+        self.links = Stored(links.select(part, "id", "vs").groupBy("part").applyInArrow(_link_block, _BLOCK), "ann-links")
         self.spark = spark
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
@@ -313,26 +370,29 @@ class Index:
         return found
 
     def _search(self, own: DataFrame, k: int) -> DataFrame:
-        vec, links = self.nodes.df.select(F.col("id").alias("v"), "vec"), self.links.df
         held = own.toArrow().sort_by("q")
         asked = held["q"].to_numpy()
         x = _matrix(held["vec"], self.d)
         x[:, -1] = 0
-        start = _packed(asked, asked, (x * x).sum(1).astype(np.float32), np.full(len(asked), 2, np.uint8), None, np.full(len(asked), START, np.int32), np.arange(len(asked) + 1))
-        pool = Stored(self.spark.createDataFrame(pa.Table.from_batches([start]), _STATE), "ann-pool")
+        parts, n = self.parts, len(asked)
+        if not n:
+            return self.spark.createDataFrame([], "q long, v long")
+        own_s, two, none, w = (x * x).sum(1).astype(np.float32), np.full(n, 2, np.uint8), np.zeros(n, np.uint8), np.full(n, START, np.int32)
+        cuts = [slice(lo, min(lo + QUERIES, n)) for lo in range(0, n, QUERIES)]
+        start = pa.concat_tables([_state(i, parts, asked[c], np.arange(n, dtype=np.int32)[c], own_s[c], two[c], none[c], w[c]) for i, c in enumerate(cuts)])
+        pool = Stored(self.spark.createDataFrame(start, _STATE), "ann-pool")
         self.hops = 0
-        while not (now := pool.df.where(F.size("next") > 0)).isEmpty():
-            ask = now.select("q", F.explode("next").alias("u")).groupBy("u").agg(F.collect_list("q").alias("qs"))
-            cand = ask.join(links, "u").select("qs", "vs").mapInArrow(_spread, "v long, qs array<long>")
-            new = cand.join(vec, "v").select("v", "qs", "vec").mapInArrow(_score(self.d, asked, x), _STATE)
-            nxt = Stored(pool.df.unionByName(new).repartition("q").sortWithinPartitions("q").mapInArrow(_advance(k), _STATE), "ann-pool")
+        while not (now := pool.df.where("part is not null").select("part", "v", "q")).isEmpty():
+            cand = now.groupBy("part").cogroup(self.links.df.groupBy("part")).applyInArrow(_spread(parts), _PAIRS)
+            new = cand.select("part", "v", "q").groupBy("part").cogroup(self.vecs.df.groupBy("part")).applyInArrow(_score(self.d, x), _PAIRS.replace("part", "qpart"))
+            nxt = Stored(pool.df.where("qpart is not null").groupBy("qpart").cogroup(new.groupBy("qpart")).applyInArrow(_advance(k, parts), _STATE), "ann-pool")
             pool.drop()
             pool, self.hops = nxt, self.hops + 1
-        best = pool.df.select("q", "v", "s").mapInArrow(_best, "q long, v long, s float")
+        best = pool.df.select("q", "v", "s").mapInArrow(_best(asked), "q long, v long, s float")
         return _top(best, "q", [F.desc("s"), "v"], max(SURE, 2 * k)).select("q", "v")
 
     def drop(self) -> None:
-        for s in (self.nodes, self.edges, self.links):
+        for s in (self.nodes, self.edges, self.vecs, self.links):
             s.drop()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestream.llm import textkernel as tk
-from lodestream.llm.blocks import LEVEL, pack, small, unpack
+from lodestream.llm.blocks import LEVEL, give_back, pack, small, unpack
 from lodestream.llm.common import Stored, pieces, require
 
 LENGTH, SEED = 50, 16
@@ -220,7 +220,7 @@ def _live_seeds(table: pa.Table) -> pa.Table:
     twice = every[1:][every[1:] == every[:-1]]
     live = np.unique(np.concatenate([twice, *[x[m] for x, m in lists]]))
     bits = [np.packbits(_among(live, x)).tobytes() for x, _ in lists]
-    pa.default_memory_pool().release_unused()
+    give_back()
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "live": pa.array(bits, pa.binary())})
 
 
@@ -260,7 +260,7 @@ def _piece_pass(nb: int, id_at: int, text_at: int, length: int):
                 own, which = np.unique(doc[places], return_inverse=True)
                 for col, v in zip(out, (int(b), batch, pack([_gather_bytes(buf, a[u], lens[u]), small(lens[u]), small(m[u]), small(t), own.astype(np.uint32), ids[own].view(np.uint64), small(which), small(a[places] - off[doc[places]])])), strict=True):
                     col.append(v)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "block": pa.array(out[2], pa.binary())})
 
     return run
@@ -397,7 +397,7 @@ def _bucket(length: int):
                     cuts = np.r_[_starts(src[z][by]), len(by)]
                     for lo, up in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                         out.append((got[src[z[by[lo]]]][0], pack([x[lo:up] for x in ranges])))
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "block": pa.array([x for _, x in out], pa.binary())})
 
     return run
