@@ -170,3 +170,42 @@ def article_summary(documents: DataFrame, summary: DataFrame, worst: DataFrame,
     """One row a document: counts, scores, rating and worst fields; documents carry status and error."""
     d = documents.join(summary, by, "left").join(worst, by, "left").join(report.select(by, "confidence", "should_run_model"), by, "left")
     return d.withColumn("worst_fields", F.coalesce("worst_fields", F.lit("")))
+
+
+def selected(audit: DataFrame | None, summary: DataFrame, include: DataFrame | None = None, by: str = "source_file", low: int = 5) -> DataFrame:
+    """The documents to look at: rows of an earlier audit (by, rows, row_bucket) where it has the document, else of the
+    summary (by, rows), bucketed here; those asked for in `include`, or else those with no or few rows."""
+    rows = summary.select(by, "rows", row_bucket(F.col("rows"), low).alias("row_bucket"))
+    if audit is not None:
+        rows = audit.select(by, "rows", "row_bucket").unionByName(rows.join(audit.select(by), by, "left_anti"))
+    if include is not None:
+        return rows.join(include.select(by).distinct(), by, "left_semi")
+    return rows.where(F.col("row_bucket").isin("zero-row", "low-row"))
+
+
+def artifacts(documents: DataFrame, files: DataFrame, by: str = "source_file") -> DataFrame:
+    """Each document's files (by, name, content), and how many blocks and tables its first parsed file
+    (`raw/*.json`, by name) has; 0 where there is none or it cannot be read."""
+    shape = "text_blocks array<string>, tables array<string>"
+    parsed = F.when(F.col("name").rlike(r"^raw/.*\.json$"), F.struct("name", F.when(F.try_parse_json("content").isNotNull(), F.from_json("content", shape)).alias("p")))
+    got = files.groupBy(by).agg(F.array_sort(F.collect_set("name")).alias("files"), F.min_by(parsed["p"], parsed["name"]).alias("p"))
+    count = lambda c: F.greatest(F.coalesce(F.size(F.col(f"p.{c}")), F.lit(0)), F.lit(0))
+    d = documents.join(got, by, "left")
+    return d.select(*documents.columns, F.coalesce("files", F.array().cast("array<string>")).alias("files"), count("text_blocks").alias("text_blocks"), count("tables").alias("tables"))
+
+
+def rejects(checked: DataFrame, preview: int = 300) -> DataFrame:
+    """Rejected rows (of validate.checked) with the fields and categories of their reason and the beginning of their evidence."""
+    d = checked.where("error is not null").withColumn("fields", rejection_fields(F.col("error")))
+    d = d.withColumn("categories", rejection_categories(F.col("error"), F.col("fields"), F.col("missing")))
+    return d.withColumn("preview", F.substring(F.coalesce("evidence_text", F.lit("")), 1, preview))
+
+
+def harness_report(articles: DataFrame, by: str = "source_file") -> DataFrame:
+    """One row of the harness summary: documents, how many ended well, answers and valid ones, mean score.
+    articles: by, status, responses, valid_responses, macro_f1."""
+    total = F.coalesce(F.sum("responses"), F.lit(0))
+    return articles.agg(
+        F.count(by).alias("articles"), F.count_if(F.col("status") == "ok").alias("ok"), total.alias("responses"), F.coalesce(F.sum("valid_responses"), F.lit(0)).alias("valid_responses"),
+        F.when(total > 0, F.sum("valid_responses") / total).alias("valid_json_ratio"), F.avg("macro_f1").alias("macro_f1"),
+    )

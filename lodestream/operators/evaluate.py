@@ -33,13 +33,17 @@ def document_key(c: Column, prefix: bool = False, keep_case: bool = False) -> Co
     return F.regexp_replace(t, r"^\d+_", "") if prefix else t
 
 
-def scope(truth: DataFrame, name: str | None = None, ids: set[str] | None = None) -> DataFrame:
-    """Gold rows of a document name if one is given, else of any id, else all."""
+def scope(truth: DataFrame, name: str | None = None, ids: set[str] | DataFrame | None = None) -> DataFrame:
+    """Gold rows of a document name if one is given, else of any id (a set, or a table with the column id), else all."""
     if name is not None:
         return truth.where(document_key(F.col("pdf")) == document_key(F.lit(name)))
     if ids is not None:
-        low = sorted(i.lower() for i in ids)
-        return truth.where(F.lower(T.clean(F.col("pdf"))).isin(low) | F.lower(T.clean(F.col("doi"))).isin(low))
+        table = ids if isinstance(ids, DataFrame) else truth.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")
+        asked = table.select(F.lower(T.clean(F.col("id"))).alias("asked_id")).distinct()
+        keyed = truth.withColumns({"by_pdf": F.lower(T.clean(F.col("pdf"))), "by_doi": F.lower(T.clean(F.col("doi")))})
+        first = keyed.join(asked, F.col("by_pdf") == F.col("asked_id"), "left_semi")
+        rest = keyed.join(asked, F.col("by_pdf").eqNullSafe(F.col("asked_id")), "left_anti").join(asked, F.col("by_doi") == F.col("asked_id"), "left_semi")
+        return first.unionByName(rest).drop("by_pdf", "by_doi")
     return truth
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import PurePath
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,28 @@ def parse_strict(responses: DataFrame, response: str = "response", text: str = "
     return d.select("*", F.posexplode_outer(F.when(F.col("valid"), items)).alias("item_index", "item"))
 
 
+def replay_file(folder: str | None, name: str, suffix: str = ".json") -> str | None:
+    """Where the recorded answer of a document lies: its name without folder and ending; none without a folder."""
+    if not folder:
+        return None
+    stem = PurePath(name.replace("\\", "/")).stem
+    return f"{folder.rstrip('/')}/{stem}{suffix}"
+
+
+def run_batches(answers: DataFrame, records: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Records of each batch, repaired against that batch's own evidence: of its payload where that can be
+    read, else those parsed before. answers: keys, payload; records: keys and an item's fields; evidence:
+    keys, evidence_id, source_text. `origin` says which; a batch without either gives no row."""
+    got = parse_lenient(answers.select(*keys, "payload"), "payload").where("item is not null").select(*keys, "item.*", F.lit("payload").alias("origin"))
+    rest = records.join(got.select(*keys).distinct(), keys, "left_anti").select(*got.columns[:-1], F.lit("records").alias("origin"))
+    here = lambda c: F.to_json(F.struct(*keys, c))  # noqa: E731  an evidence id counts within its batch only
+    own = evidence.select(here(F.col("evidence_id").alias("id")).alias("evidence_id"), "source_text")
+    d = got.unionByName(rest).withColumn("plain_id", F.coalesce("evidence_id", F.lit("")))
+    d = validate.repaired(d.withColumn("evidence_id", F.when(F.col("plain_id") != "", here(F.col("plain_id").alias("id")))), own)
+    shown = lambda w: F.when(w.startswith("unknown_evidence_id:"), F.concat(F.lit("unknown_evidence_id:"), F.when(F.col("plain_id") != "", F.col("plain_id")).otherwise(MISSING))).otherwise(w)
+    return d.withColumns({"warnings": F.transform("warnings", shown), "evidence_id": F.when(F.col("plain_id") != "", F.col("plain_id")).otherwise(MISSING)}).drop("plain_id")
+
+
 def select_by_index(chunks: DataFrame, replay: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Chunks at the recorded indexes (from 0), in the recorded order; those out of range are dropped.
     replay: by, indexes array<int>."""

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
 from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, validate
+from lodestream.plans.documents import parsed
+from lodestream.sources.readers import tolerant_json
 from lodestream.spec import MISSING, UNIT_TOKEN, DomainSpec, Term
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +58,11 @@ _LINES = "l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10)))
 
 @_query(f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, md5(line) AS line FROM l WHERE regexp_matches(line, '[0-9]{{2,}}')")
 def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that the domain finds interesting."""
-    return _lines(spark, sf_dir).where(F.col("line").rlike(DOCS.interesting)).select("doc_id", "line_no", F.md5("line").alias("line"))
+    """Lines that the domain finds interesting: a text is a table of one column, whose matching rows are evidence."""
+    d = _read(spark, sf_dir, "documents")
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.array(x))
+    e = evidence.chunks(parsed(d, F.col("doc_id").cast("string"), [], rows), DOCS)
+    return e.select(F.col("source_file").cast("long").alias("doc_id"), F.col("ord2").alias("line_no"), F.md5("text").alias("line"))
 
 
 @_query(
@@ -477,7 +482,7 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(json_extract_string(props, '$.k')) AS BIGINT) AS n_valid, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum FROM events GROUP BY event_type")
 def json_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties read tolerantly."""
-    k = F.when(F.try_parse_json("props").isNotNull(), F.from_json("props", "k long"))["k"]
+    k = tolerant_json(F.col("props"), "k long")["k"]
     return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("n_valid"), F.sum(k).alias("k_sum"))
 
 
