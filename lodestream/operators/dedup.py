@@ -15,10 +15,12 @@ def merged(records: DataFrame, order: list[str], by: list[str] | None = None) ->
     key = [*(by or []), *RECORD_COLUMNS, "evidence_id"]
     at = F.struct(*order)
     rest = [c for c in records.columns if c not in key and c != "warnings"]
-    noted = F.struct(at.alias("at"), F.col("warnings").alias("w"))
-    agg = records.groupBy(*key).agg(*[F.min_by(c, at).alias(c) for c in rest], F.array_sort(F.collect_list(noted)).alias("noted"), F.count("*").alias("duplicate_count"))
-    warnings = T.unique(F.flatten(F.transform("noted", lambda n: F.coalesce(n["w"], F.array().cast("array<string>")))))
-    return agg.withColumn("warnings", warnings).drop("noted")
+    agg = records.groupBy(*key).agg(*[F.min_by(c, at).alias(c) for c in rest], F.count("*").alias("duplicate_count"))
+    # each warning's first place comes before they are gathered, so that a row holds distinct ones alone
+    each = records.select(*key, at.alias("at"), F.posexplode("warnings").alias("pos", "w")).groupBy(*key, "w").agg(F.min(F.struct("at", "pos")).alias("first"))
+    noted = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "w"))).alias("noted"))
+    warnings = F.coalesce(F.transform("noted", lambda n: n["w"]), F.array().cast("array<string>"))
+    return _null_safe(agg, noted, key, "left").withColumn("warnings", warnings).drop("noted")
 
 
 def conflicts(records: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -62,13 +64,13 @@ def duplicate_status(rows: DataFrame, key: tuple[str, ...] = RECORD_COLUMNS, evi
     return d.withColumns({"duplicate_count": F.col("n_key").cast("string"), "duplicate_status": status}).drop("n_same", "n_key", "n_evidence")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     r = right.select(*[F.col(k).alias(f"r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     on = [left[k].eqNullSafe(r[f"r_{i}"]) for i, k in enumerate(keys)]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    return left.join(r, cond).drop(*[f"r_{i}" for i in range(len(keys))])
+    return left.join(r, cond, how).drop(*[f"r_{i}" for i in range(len(keys))])
 
 
 def duplicate_diagnostics(rows: DataFrame, key: tuple[str, ...] = RECORD_COLUMNS, evidence: str = "evidence_id", text: str = "source_text") -> DataFrame:

@@ -51,8 +51,11 @@ def score(terms: Column, spec: DomainSpec) -> Column:
 
 def scored(df: DataFrame, spec: DomainSpec, text: str = "source_text") -> DataFrame:
     """Adds matched_terms, score and confidence; keeps what has a term of the gate's categories."""
-    d = df.withColumn("matched_terms", tagged(F.col(text), spec))
-    d = d.where(F.arrays_overlap(categories(F.col("matched_terms"), spec), F.array(*map(F.lit, spec.gate))))
+    gate = F.lit(False)
+    for t in spec.terms:
+        if t.category in spec.gate:
+            gate = gate | F.col(text).rlike(t.pattern)
+    d = df.where(gate).withColumn("matched_terms", tagged(F.col(text), spec))  # only what passes is tagged
     s = score(F.col("matched_terms"), spec)
     return d.withColumn("score", s).withColumn("confidence", F.least(F.lit(0.95), F.lit(0.45) + F.col("score") / 10))
 
@@ -140,10 +143,12 @@ def sliced(df: DataFrame, by: list[str], order: list, spec: str | None) -> DataF
 
 def planned(df: DataFrame, spec: DomainSpec, by: str = "source_file", most: int = 40) -> DataFrame:
     """Chunks with a positive plan score, the best `most` per document; ids count all chunks."""
+    # scores come before the numbers, so that texts nobody asks for aren't carried to them
+    d = df.withColumn("matched_terms", F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p, _ in spec.plan_terms])))
+    weight = F.create_map(*[F.lit(x) for n, _, w in spec.plan_terms for x in (n, float(w))])
+    d = d.withColumn("score", F.aggregate("matched_terms", F.lit(0.0), lambda a, t: a + F.element_at(weight, t)))
     i = F.row_number().over(Window.partitionBy(by).orderBy("part", "ord1", "ord2")) - 1
-    d = df.withColumn("evidence_id", F.format_string("ev_%04d", i))
-    d = d.withColumn("matched_terms", F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p, _ in spec.plan_terms])))
-    d = d.withColumn("score", sum((F.when(F.col("text").rlike(p), w).otherwise(0.0) for _, p, w in spec.plan_terms), F.lit(0.0))).where("score > 0")
+    d = d.withColumn("evidence_id", F.format_string("ev_%04d", i)).where("score > 0")
     return d.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "evidence_id"))).where(F.col("rn") <= most).drop("rn")
 
 

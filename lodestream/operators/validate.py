@@ -37,11 +37,18 @@ def checked(records: DataFrame, fields: tuple[str, ...] = REQUIRED, strict_type:
     return records.withColumns({"missing": m, "error": error})
 
 
+def judged(records: DataFrame, order: list[str], by: list[str] | None = None, strict_type: bool = False) -> DataFrame:
+    """All rows with `missing`, `error` and, where rejected, `message`: `record {i}: ...`, counting all rows of a document from 0.
+    Errors come before the numbers, so that texts nobody asks for aren't carried to them."""
+    i = F.row_number().over(Window.partitionBy(*(by or ["source_file"])).orderBy(*order)) - 1
+    d = checked(records, strict_type=strict_type).withColumn("record_index", i)
+    return d.withColumn("message", F.when(F.col("error").isNotNull(), F.concat(F.lit("record "), "record_index", F.lit(": "), "error")))
+
+
 def split(records: DataFrame, order: list[str], by: list[str] | None = None, strict_type: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rejected ones with `record {i}: ...` counting all rows of a document from 0."""
-    d = checked(records, strict_type=strict_type).withColumn("record_index", F.row_number().over(Window.partitionBy(*(by or ["source_file"])).orderBy(*order)) - 1)
-    rejected = d.where("error is not null").withColumn("message", F.concat(F.lit("record "), "record_index", F.lit(": "), "error"))
-    return d.where("error is null").drop("error", "missing"), rejected
+    """Accepted rows, and rejected ones with their messages; who needs both in one pass takes judged()."""
+    d = judged(records, order, by, strict_type)
+    return d.where("error is null").drop("error", "missing", "message"), d.where("error is not null")
 
 
 _REPAIRED = ("compound_id", "smiles", "target_type", "target_relation", "target_value", "target_units", "bacteria", "evidence_id")

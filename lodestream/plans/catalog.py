@@ -259,8 +259,8 @@ k AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'missing required evidence-backe
 @_query(f"WITH {_CHECKED}, i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM k) SELECT doc_id, error IS NULL AS accepted, CASE WHEN error IS NOT NULL THEN md5('record ' || i || ': ' || error) END AS message FROM i")
 def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted and rejected records, each rejected one with its message."""
-    ok, bad = validate.split(_doc_records(spark, sf_dir), ["doc_id"])
-    return ok.select("doc_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("message")).unionByName(bad.select("doc_id", F.lit(False).alias("accepted"), F.md5("message").alias("message")))
+    d = validate.judged(_doc_records(spark, sf_dir), ["doc_id"])
+    return d.select("doc_id", F.col("error").isNull().alias("accepted"), F.md5("message").alias("message"))
 
 
 @_query(

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestream.functions import text as T
 from lodestream.operators.evidence import PARSED
+from lodestream.operators.validate import refuse_forbidden
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -48,6 +49,11 @@ def block_confidence(text: Column) -> Column:
     return F.when(T.strip(F.coalesce(text, F.lit(""))) == "", 0.1).otherwise(0.9)
 
 
+def _cell(c: str | None) -> str:
+    """clean_cell for a value in Python."""
+    return "\n".join(x for x in (" ".join(y.split()) for y in (c or "").split("\n")) if x)
+
+
 def _parse_pdf(name: str, data: bytes) -> dict:
     import pdfplumber  # a worker without it reports so in each row's error
 
@@ -59,16 +65,18 @@ def _parse_pdf(name: str, data: bytes) -> dict:
             text = page.extract_text() or ""
             blocks.append({"text": text, "source": src(p, None, "pdf.text", 0.9 if text.strip() else 0.1)})
             for t, rows in enumerate(page.extract_tables() or [], 1):
-                cells = [[" ".join((c or "").split()) if "\n" not in (c or "") else "\n".join(x for x in (" ".join(y.split()) for y in c.split("\n")) if x) for c in row] for row in rows]
+                cells = [[_cell(c) for c in row] for row in rows]
                 if cells := [r for r in cells if any(r)]:
                     tables.append({"table_id": f"p{p}_t{t}", "rows": cells, "source": src(p, f"p{p}_t{t}", "pdf.table", 0.75)})
         return {"source_file": name, "page_count": len(pdf.pages), "metadata": meta, "text_blocks": blocks, "tables": tables}
 
 
-def read_pdfs(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Parsed documents of a folder, one row a file, with status and error: a bad file fails alone."""
+def read_pdfs(spark: SparkSession, folder: str, stream: bool = False, fail_fast: bool = False) -> DataFrame:
+    """Parsed documents of a folder, one row a file, with status and error: a bad file fails alone, or with
+    fail_fast ends the job."""
+    refuse_forbidden(folder)
     files = _binary_stream(spark, folder) if stream else spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return parse_files(files, _parse_pdf)
+    return parse_files(files, _parse_pdf, fail_fast)
 
 
 def _binary_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +84,7 @@ def _binary_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
-def parse_files(files: DataFrame, parser) -> DataFrame:
+def parse_files(files: DataFrame, parser, fail_fast: bool = False) -> DataFrame:
     """files: path, content. parser: (name, bytes) to a parsed document's fields."""
 
     def run(frames):
@@ -87,6 +95,8 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
                 try:
                     rows.append(parser(name, bytes(data)) | {"status": "ok", "error": ""})
                 except Exception as x:  # one document's failure is a row, not the job's end
+                    if fail_fast:
+                        raise
                     rows.append({"source_file": name, "page_count": 0, "metadata": {}, "text_blocks": [], "tables": [], "status": "failed", "error": f"{type(x).__name__}: {x}"})
             yield pd.DataFrame(rows)
 
@@ -94,7 +104,8 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents stored as JSON, one document a file or a line."""
+    """Parsed documents stored as JSON, one document a file or a line. Gold data and earlier outputs are refused."""
+    refuse_forbidden(path)
     return spark.read.schema(PARSED).option("multiLine", True).json(path)
 
 
@@ -120,6 +131,11 @@ def all_strings(d: DataFrame) -> DataFrame:
     return d.select(*[T.clean(F.col(f"`{c}`")).alias(c) for c in d.columns])
 
 
+def read_review_rows(spark: SparkSession, pattern: str) -> DataFrame:
+    """All review rows of a glob of JSON files, every value a string."""
+    return all_strings(spark.read.option("multiLine", False).json(pattern))
+
+
 def first_available(key: str, *sources: DataFrame) -> DataFrame:
     """Rows of the first source that has any row of a key, key by key; sources have the same columns."""
     out, seen = None, None

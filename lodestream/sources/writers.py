@@ -68,3 +68,22 @@ def write_audit(audit: DataFrame, title: str, path: str, most: int = 50) -> str:
     flat = audit.select(*[F.concat_ws(";", c).alias(c) if t.startswith("array<string") else F.col(c) for c, t in audit.dtypes if not t.startswith(("struct", "map", "array<struct"))])
     flat.write.mode("overwrite").option("header", True).csv(f"{path}/audit.csv")
     return markdown(title, flat, most)
+
+
+def write_harness(articles: DataFrame, report: DataFrame, path: str) -> None:
+    """The harness's report over all documents as JSON, and its row of each document as JSON and CSV."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/harness_report.json")
+    articles.write.mode("overwrite").json(f"{path}/article_reports.json")
+    articles.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/harness_summary.csv")
+
+
+def write_missing(inventory: DataFrame, path: str) -> None:
+    """The names of an inventory that are listed but not there, as CSV."""
+    key = next(c for c in inventory.columns if c != "status")
+    inventory.where("status = 'missing'").select(key).orderBy(key).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_evidence(evidence: DataFrame, path: str) -> None:
+    """Selected evidence, a JSON row each, in the order of its places."""
+    order = [c for c in ("source_file", "part", "ord1", "ord2") if c in evidence.columns]
+    evidence.orderBy(*order).write.mode("overwrite").json(path)
