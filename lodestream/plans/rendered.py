@@ -423,7 +423,7 @@ def artifact_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'NOT_DETECTED' ELSE 'c' || l_partkey END AS c, CAST(l_suppkey AS VARCHAR) AS v, 'text of ' || repeat('x', CAST(l_quantity * 10 AS INTEGER)) AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'missing required evidence-backed values: compound_id' ELSE 'target_value is not supported by evidence text: ' || v END AS error, CASE WHEN l_linenumber = 1 THEN 'compound_id' ELSE 'target_value' END AS fields,
-  CASE WHEN l_linenumber = 1 THEN 'missing required field;compound_id parsing problem' ELSE 'invalid target value' END AS categories, length(substr(t, 1, 300)) AS preview FROM l
+  CASE WHEN l_linenumber = 1 THEN 'missing required field;compound_id parsing problem' ELSE 'invalid target value' END AS categories, CAST(length(substr(t, 1, 300)) AS INTEGER) AS preview FROM l
 """
 )
 def reject_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
