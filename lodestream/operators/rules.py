@@ -146,16 +146,17 @@ def labelled_table(text: Column) -> Column:
         return F.array_compact(F.array(*[_cell_record(F.get(cells, F.lit(k)), s["id"], F.lit("mg/mL"), F.lit(o), shown, "assays.rules.labelled_table_vertical", 0.8) for o, k in ((EC_STRAIN, 11), (MSSA_STRAIN, 8), (MRSA_STRAIN, 7))]))
 
     tall = F.flatten(F.transform(codes, of_code)).cast(_OUT)
-    return F.when(ok, F.when(F.size(wide) > 0, wide).otherwise(tall))
+    return F.when(ok, _first_full(wide, tall))
+
+
+def _first_full(*arrays: Column) -> Column:
+    """The first array that isn't empty, each looked at once; null if there is none."""
+    return F.get(F.filter(F.array(*arrays), lambda a: F.size(a) > 0), F.lit(0))
 
 
 def table_records(text: Column) -> Column:
     """Records of the first kind of table that gives any; else an empty array."""
-    out = F.array().cast(_OUT)
-    for kind in (labelled_table, pair_table, short_table, coded_table):
-        got = kind(text)
-        out = F.when(F.size(F.coalesce(got, F.array().cast(_OUT))) > 0, got).otherwise(out)
-    return out
+    return F.coalesce(_first_full(coded_table(text), short_table(text), pair_table(text), labelled_table(text)), F.array().cast(_OUT))
 
 
 def prose_records(text: Column, spec: DomainSpec) -> Column:
@@ -187,7 +188,8 @@ def suppress(chunks: DataFrame, by: DataFrame, keys: tuple[str, ...] = ("source_
 def extract(chunks: DataFrame, spec: DomainSpec) -> DataFrame:
     """Raw records with their evidence, in order: those of tables, then those of prose on other pages."""
     base = chunks.select("source_file", "part", "ord1", "ord2", "text", "row_id", F.col("source.page").alias("page"), F.col("source.section").alias("section"), F.col("source.table_id").alias("table_id"))
-    t = base.withColumn("r", table_records(F.col("text"))).where(F.size("r") > 0)
+    # out of a generator: what filters and reads the records can't bring them to be made again
+    t = base.select("*", F.explode(F.array(table_records(F.col("text")))).alias("r")).where(F.size("r") > 0)
     tables = t.select("source_file", F.lit(0).alias("stage"), "part", "ord1", "ord2", F.posexplode("r").alias("ord3", "r"), "page", "section", F.coalesce("table_id", F.lit(TABLE_LIKE)).alias("table_id"))
     tables = tables.select(*tables.columns[:6], F.col("r.compound_id"), F.lit(MISSING).alias("smiles"), F.lit("MIC").alias("target_type"), "r.target_relation", "r.target_value", "r.target_units", "r.bacteria", "page", "section", "table_id", "r.row_id", "r.evidence_text", "r.extraction_method", "r.confidence")
     p = suppress(base, t).select("source_file", F.lit(1).alias("stage"), "part", "ord1", "ord2", F.posexplode(prose_records(F.col("text"), spec)).alias("ord3", "r"), "page", "section", "table_id", "row_id", "text")
