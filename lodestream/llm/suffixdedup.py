@@ -42,6 +42,8 @@ BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 3 << 20
 #: Pieces whose bytes are indexed at a time.
 STEP = 1 << 14
+#: Heads of places that are judged at a time.
+HEADS = 1 << 20
 V = 7
 #: A difference cover mod 7: every difference is one of two members.
 D = (0, 1, 3)
@@ -342,12 +344,14 @@ def _bucket(length: int):
             lens = np.concatenate([g[1].astype(np.int64) for _, g in got])
             m = np.concatenate([g[2].astype(np.int64) for _, g in got])
             times = np.concatenate([g[3].astype(np.int64) for _, g in got])
-            src = np.repeat(np.arange(len(got)), [len(g[6]) for _, g in got])
-            doc = np.concatenate([g[4][g[6]].astype(np.int64) for _, g in got])
+            src = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[6]) for _, g in got])
+            doc = np.concatenate([g[4][g[6]] for _, g in got])
             ids = np.concatenate([g[5][g[6]].view(np.int64) for _, g in got])
-            pos = np.concatenate([g[7].astype(np.int64) for _, g in got])
+            pos = np.concatenate([g[7].astype(np.uint32) for _, g in got])
+            batches = [b for b, _ in got]
+            del got
             start = np.cumsum(lens) - lens
-            piece, _ = _spread(times)
+            piece = np.repeat(np.arange(len(times), dtype=np.int32), times)
             # seeds in one document alone have nothing to remove
             padded = np.concatenate([text, np.zeros(24, np.uint8)])
             _, seed = np.unique(_seed_hash(padded, start + m), return_inverse=True)
@@ -380,23 +384,34 @@ def _bucket(length: int):
                     best = np.full(cls.max() + 1, np.iinfo(np.int64).max)
                     np.minimum.at(best, cls, low[idx])
                     low[idx] = best[cls]
-                where = np.full(len(lens), -1)
+                where = np.full(len(lens), -1, np.int32)
                 where[live] = same
+                del own, k, same
                 occ = np.flatnonzero(where[piece] >= 0)
-                w = where[piece[occ]]
-                who, j = _spread(n_heads[w])
-                gone = low[off[w][who] + j] < ids[occ][who]
-                who, j = who[gone], j[gone]
-                if len(who):
-                    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)])
-                    end = np.r_[new[1:], len(who)] - 1
-                    z = occ[who[new]]
-                    a, e = pos[z] + j[new], pos[z] + j[end] + length
+                upto = np.cumsum(n_heads[where[piece[occ]]])
+                found: list[list[np.ndarray]] = [[], [], []]
+                lo = 0
+                while lo < len(occ):  # places some HEADS at a time, one at least
+                    hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HEADS, "right")))
+                    part = occ[lo:hi]
+                    lo = hi
+                    w = where[piece[part]]
+                    who, j = _spread(n_heads[w])
+                    gone = low[off[w][who] + j] < ids[part][who]
+                    who, j = who[gone], j[gone]
+                    if len(who):
+                        new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)])
+                        end = np.r_[new[1:], len(who)] - 1
+                        z = part[who[new]]
+                        for to, v in zip(found, (z, pos[z] + j[new], pos[z] + j[end] + length), strict=True):
+                            to.append(v)
+                if found[0]:
+                    z, a, e = map(np.concatenate, found)
                     by = np.argsort(src[z], kind="stable")
                     ranges = [doc[z][by].astype(np.uint32), a[by].astype(np.uint32), e[by].astype(np.uint32)]
                     cuts = np.r_[_starts(src[z][by]), len(by)]
                     for lo, up in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        out.append((got[src[z[by[lo]]]][0], pack([x[lo:up] for x in ranges])))
+                        out.append((batches[src[z[by[lo]]]], pack([x[lo:up] for x in ranges])))
         give_back()
         return pa.table({"batch": pa.array([x for x, _ in out], pa.int64()), "block": pa.array([x for _, x in out], pa.binary())})
 
