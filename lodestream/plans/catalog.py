@@ -427,24 +427,24 @@ def recall_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_LINES}, {_CHECKED},
 d AS (SELECT DISTINCT source FROM documents),
 c AS (SELECT source, count(*) AS chunks, count(CASE WHEN contains(line, ' | ') THEN 1 END) AS tchunks, count(DISTINCT doc_id) AS pages FROM l WHERE regexp_matches(line, '[0-9]{{2,}}') GROUP BY source),
-v AS (SELECT source, count(*) AS raw, count(CASE WHEN len(missing) > 0 THEN 1 END) AS gaps, count(CASE WHEN error IS NULL THEN 1 END) AS ok, count(CASE WHEN error IS NOT NULL THEN 1 END) AS bad, count(DISTINCT CASE WHEN error IS NULL THEN doc_id END) AS rpages FROM k GROUP BY source),
+v AS (SELECT source, count(*) AS raw, count(CASE WHEN len(missing) > 0 THEN 1 END) AS gaps, count(CASE WHEN error IS NULL THEN 1 END) AS ok, count(CASE WHEN error IS NOT NULL THEN 1 END) AS bad, count(DISTINCT CASE WHEN error IS NULL THEN doc_id END) AS rpages, avg(CASE WHEN error IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.6 END END) AS conf FROM k GROUP BY source),
 q AS (SELECT source, c, lang, count(DISTINCT v) AS n FROM k WHERE error IS NULL GROUP BY ALL),
 x AS (SELECT source, count(*) AS conflicts FROM q WHERE n > 1 GROUP BY source),
-s AS (SELECT d.source, coalesce(chunks, 0) AS chunks, coalesce(tchunks, 0) AS tchunks, coalesce(pages, 0) AS pages, raw, gaps, ok, bad, rpages, coalesce(conflicts, 0) AS conflicts, CASE WHEN ok > 0 THEN 0.6 ELSE 0 END AS conf FROM d LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
-i AS (SELECT *, list_filter([CASE WHEN chunks = 0 THEN 'no_evidence' END, 'no_parsed_tables', CASE WHEN tchunks > 0 THEN 'no_table_records' END, CASE WHEN pages > 0 AND rpages / pages < 0.35 AND conf < 0.75 THEN 'low_evidence_page_coverage' END, CASE WHEN conf < 0.7 AND ok > 0 THEN 'low_average_record_confidence' END,
+s AS (SELECT d.source, coalesce(chunks, 0) AS chunks, coalesce(tchunks, 0) AS tchunks, coalesce(pages, 0) AS pages, raw, gaps, ok, bad, rpages, coalesce(conflicts, 0) AS conflicts, coalesce(conf, 0) AS conf, CASE WHEN length(d.source) = 4 THEN 1 ELSE 0 END AS tables FROM d LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+i AS (SELECT *, list_filter([CASE WHEN chunks = 0 THEN 'no_evidence' END, CASE WHEN tables = 0 THEN 'no_parsed_tables' WHEN tchunks = 0 THEN 'no_table_evidence' END, CASE WHEN tchunks > 0 THEN 'no_table_records' END, CASE WHEN pages > 0 AND rpages / pages < 0.35 AND conf < 0.75 THEN 'low_evidence_page_coverage' END, CASE WHEN conf < 0.7 AND ok > 0 THEN 'low_average_record_confidence' END,
   CASE WHEN bad / (ok + bad) > 0.25 THEN 'high_validation_rejection_ratio' END, CASE WHEN gaps / raw > 0.25 THEN 'many_missing_required_fields' END, CASE WHEN conflicts > 0 THEN 'conflicting_rule_records' END, CASE WHEN ok = 0 AND chunks > 0 THEN 'no_validated_records' END], lambda y: y IS NOT NULL) AS issues FROM s)
 SELECT source, array_to_string(issues, ';') AS issues, CASE WHEN len(issues) >= 2 OR list_has_any(issues, ['no_evidence', 'high_validation_rejection_ratio', 'many_missing_required_fields', 'no_validated_records']) THEN 'low' WHEN len(issues) > 0 THEN 'medium' ELSE 'high' END AS confidence,
-  round(bad / (ok + bad), 3) AS rejection, round(CASE WHEN pages > 0 THEN rpages / pages ELSE 0 END, 3) AS coverage FROM i
+  round(bad / (ok + bad), 3) AS rejection, round(CASE WHEN pages > 0 THEN rpages / pages ELSE 0 END, 3) AS coverage, CAST(14 AS INTEGER) AS n_signals, round(tables + chunks + tchunks + raw + ok + bad + bad / (ok + bad) + conf + pages + rpages + CASE WHEN pages > 0 THEN rpages / pages ELSE 0 END + gaps / raw + conflicts, 1) AS signal_sum FROM i
 """
 )
 def confidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues and rating of each source: lines with numbers are its evidence, documents its pages."""
-    docs = _read(spark, sf_dir, "documents").select("source").distinct().select(F.col("source").alias("source_file"), F.lit(0).alias("tables"))
+    docs = _read(spark, sf_dir, "documents").select("source").distinct().select(F.col("source").alias("source_file"), F.when(F.length("source") == 4, 1).otherwise(0).alias("tables"))
     chunks = _lines(spark, sf_dir).where(F.col("line").rlike(DOCS.interesting)).select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), F.when(F.col("line").contains(" | "), "t").alias("table_id"))
     raw = _doc_records(spark, sf_dir)
-    checked = validate.checked(raw).select("*", F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("table_id"), F.lit("docs.rules.prose").alias("extraction_method"), F.lit(0.6).alias("confidence"))
+    checked = validate.checked(raw).select("*", F.col("doc_id").alias("page"), F.lit(None).cast("string").alias("table_id"), F.lit("docs.rules.prose").alias("extraction_method"), F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.6).alias("confidence"))
     d = diagnose.confidence_report(docs, chunks, raw, checked)
-    return d.select(F.col("source_file").alias("source"), F.array_join(F.transform("issues", lambda i: i["code"]), ";").alias("issues"), "confidence", F.round("validation_rejection_ratio", 3).alias("rejection"), F.round("evidence_page_coverage_ratio", 3).alias("coverage"))
+    return d.select(F.col("source_file").alias("source"), F.array_join(F.transform("issues", lambda i: i["code"]), ";").alias("issues"), "confidence", F.round("validation_rejection_ratio", 3).alias("rejection"), F.round("evidence_page_coverage_ratio", 3).alias("coverage"), F.size("signals").alias("n_signals"), F.round(F.aggregate(F.map_values("signals"), F.lit(0.0), lambda a, x: a + x), 1).alias("signal_sum"))
 
 
 _STAGES = (
