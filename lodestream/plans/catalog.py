@@ -320,18 +320,22 @@ def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """
-WITH c AS (SELECT conv_id, turn, role, md5(coalesce(text, '')) AS t, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations),
+WITH c AS (SELECT conv_id, turn, role, CAST(length(coalesce(text, '')) AS VARCHAR) AS t, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations),
 f AS (SELECT *, min(i) OVER (PARTITION BY role, t) AS f FROM c),
 d AS (SELECT 'duplicate' AS kind, CAST(f AS VARCHAR) || ',' || CAST(i AS VARCHAR) AS indexes, t || '|MIC|=|NOT_DETECTED|' || 'u' || '|' || role AS key FROM f WHERE i > f)
 SELECT kind, indexes, md5(key) AS key FROM d
 """
 )
 def candidate_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each repeated turn with the index of the first like it."""
-    c = _read(spark, sf_dir, "conversations").select(F.md5(F.coalesce("text", F.lit(""))).alias("compound_id"), F.lit("MIC").alias("target_type"), F.lit("=").alias("target_relation"), F.lit(MISSING).alias("target_value"), F.lit("u").alias("target_units"), F.col("role").alias("bacteria"), "conv_id", "turn")
+    """Each turn of a role and length that came before, with the index of the first like it."""
+    c = _read(spark, sf_dir, "conversations").select(F.length(F.coalesce("text", F.lit(""))).cast("string").alias("compound_id"), F.lit("MIC").alias("target_type"), F.lit("=").alias("target_relation"), F.lit(MISSING).alias("target_value"), F.lit("u").alias("target_units"), F.col("role").alias("bacteria"), "conv_id", "turn")
     per = c.groupBy("conv_id").agg(F.count("*").alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.join(per.withColumn("start", start).drop("n"), "conv_id").withColumn("candidate_index", F.col("start") + F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    # numbers run on over blocks of a thousand ids, whose sums alone meet in one task, and within each
+    per = per.withColumn("block", F.floor(F.col("conv_id") / 1000))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = per.groupBy("block").agg(F.sum("n").alias("n")).select("block", before("block").alias("first"))
+    per = per.withColumn("inside", before("block", "conv_id")).join(blocks, "block").select("conv_id", (F.col("first") + F.col("inside")).alias("start"))
+    c = c.join(per, "conv_id").withColumn("candidate_index", F.col("start") + F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
     d = dedup.candidate_conflicts(c).where("kind = 'duplicate'")
     return d.select("kind", F.array_join("indexes", ",").alias("indexes"), F.md5("key").alias("key"))
 
