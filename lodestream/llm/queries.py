@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
+from lodestream.llm import audit, decontam, exact, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
 from lodestream.llm.common import Stored, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,42 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 """
 
 ORACLES |= {"op3_hyperminhash": OP3_SQL, "op7_suffix_dedup": OP7_SQL}
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op12_filter_audit": op12_filter_audit, "op13_exact_dedup": op13_exact_dedup}
+
+#: Every row's five flags, every order's steps beside them, and the counts.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(substr(filter_order, step, 1)) - 64 AS own, list_transform(string_split(left(filter_order, step - 1), ''), lambda x: ascii(x) - 64) AS gone FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+j AS (SELECT n.*, s.filter_order, s.step, s.own, fails[s.own] AS hit, step > 1 AND len(list_filter(gone, lambda g: fails[g])) > 0 AS late, len(list_filter(fails, lambda x: x)) = 1 AS single FROM n, steps s),
+c AS (
+  SELECT part, filter_order, step, own, CAST(sum(CASE WHEN NOT hit AND NOT late THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN hit AND NOT late THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN hit AND late THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN hit AND single THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN hit AND NOT late THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN hit AND NOT late THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM j GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d
+"""
+
+ORACLES |= {"op12_filter_audit": OP12_SQL, "op13_exact_dedup": OP13_SQL}
