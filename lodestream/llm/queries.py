@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import audit, decontam, exact, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, warc
+from lodestream.llm import audit, decontam, exact, htmltext, katz, mixing, neardup, nndescent, quality, suffixdedup, urlfilter, variants, warc
 from lodestream.llm.common import Stored, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,3 +216,34 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 ORACLES |= {"op12_filter_audit": OP12_SQL, "op13_exact_dedup": OP13_SQL}
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_spelling_variants"] = op11_spelling_variants
+
+#: CRC-32 by its table; words that become alike by deleting one letter of either or of both at one place; forms followed to their end.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS c FROM r WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT w, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END)) AS bytes FROM g),
+h AS (SELECT w, c, xor(list_reduce(bytes, lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, crc),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h),
+n AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM n)),
+p AS (
+  SELECT a.word, b.word AS other, b.n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, n.word, n.n FROM x JOIN n ON x.less = n.word
+  UNION SELECT n.word, x.word, x.n FROM x JOIN n ON x.less = n.word),
+q AS (SELECT word, count(*) AS n_near, max(n) AS best_n FROM p GROUP BY word),
+o AS (SELECT p.word, min(other) AS best FROM p JOIN q ON p.word = q.word AND p.n = q.best_n GROUP BY p.word),
+f AS (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n.n THEN best END AS form, CASE WHEN best_n >= 10 * n.n THEN best_n END AS form_n FROM n LEFT JOIN q USING (word) LEFT JOIN o USING (word)),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL),
+e AS (SELECT c.word, c.at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word
+"""
+
+ORACLES["op11_spelling_variants"] = OP11_SQL

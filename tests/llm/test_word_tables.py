@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 
-from lodestream.llm import audit, exact
+from lodestream.llm import audit, exact, variants
 
 SCHEMA = "doc_id long, text string, lang string, slot long, tag string, digest string, m long, word string, h string"
 
@@ -107,3 +109,80 @@ def test_exact_groups_of_an_empty_table_and_without_python(spark):
     d = exact.groups(frame(spark, [(1, "a", "b"), (2, "a", "b")]))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and [x.kept for x in d.orderBy("doc_id").collect()] == [True, False]
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    if len(a) < len(b):
+        a, b = b, a
+    return len(a) - len(b) == 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def grouped(words):
+    """What group_variants() must give of {word: n}."""
+    out = {}
+    for w, n in words.items():
+        near = sorted((-words[v], v) for v in words if v != w and one_edit(w, v))
+        form = near[0][1] if near and -near[0][0] >= 10 * n else None
+        out[w] = [form, n, len(near), words[form] if form else None]
+    for w, x in out.items():
+        root = w
+        while out[root][0]:
+            root = out[root][0]
+        x.insert(1, root)
+    return {w: tuple(x) for w, x in out.items()}
+
+
+def counted(rows, least=7, damage=31):
+    words = Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % damage == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            words[w] += len(w) >= least
+    return {w: n for w, n in words.items() if n >= 2}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_trie_finds_all_words_one_edit_away(seed, monkeypatch):
+    r = random.Random(seed)
+    letters = "ab" if seed % 3 else "abcdéÿ"
+    words = sorted({"".join(r.choices(letters, k=r.randint(seed % 5 > 0, 7))) for _ in range(r.randint(1, 60))}, key=lambda w: (len(w), w))
+    n = np.array([r.randint(2, 5) for _ in words])
+    asked = sorted({"".join(r.choices(letters, k=r.randint(1, 8))) for _ in range(40)} | set(words[:20]))
+    flat, starts = variants._flat(asked)
+    cut = r.randint(0, len(words))
+    tries = [variants.Trie.unpacked(variants.Trie.of(w, m).packed()) for w, m in ((words[:cut], n[:cut]), (words[cut:], n[cut:])) if w]
+    monkeypatch.setattr(variants, "BLOCK", r.choice([1, 7, 100]))
+    got = {asked[i]: (c, m, b) for i, c, m, b in variants._best(asked, flat, starts, tries)}
+    for a in asked:
+        near = sorted((-int(n[j]), b) for j, b in enumerate(words) if a != b and one_edit(a, b))
+        assert got.get(a) == ((len(near), -near[0][0], near[0][1]) if near else None), a
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_spelling_variants_match_brute_force(spark, monkeypatch, small):
+    if small:  # many shards, a round each, and blocks of a few words
+        for k, v in {"SHARD_WORDS": 9, "ROUND_BYTES": 1, "TASK_WORDS": 20, "BLOCK": 4}.items():
+            monkeypatch.setattr(variants, k, v)
+    r = random.Random(3)
+    base = ["colourful", "Wirtschaft", "Élèvement", "aaaaaaa", "aaaaaaaa", "abababab", "×÷×÷×÷×", "maßnahme", "MASSNAHME", "sevenle", "sixxxx"]
+    rows = [(i, " ".join(r.choices(base, k=80))) for i in range(60)] + [(None, "Wirtschaft, wirtschaft; Wirtschfat"), (None, None), (5, ""), (5, "1 2_3"), (6, " x-" * 50)]
+    rows += [(200 + i, "colorful colourfull Wirtschafft wirtschaf aaaaaaab aaaaaab " + "".join(r.choices("ab", k=8))) for i in range(12)] + [(900, "z" * 3000 + " " + "z" * 3001)] * 2
+    words = counted(rows)
+    got = variants.spelling_variants(spark.createDataFrame([(i, t, "w") for i, t in rows], "doc_id long, text string, word string").repartition(5)).collect()
+    assert {x.word: tuple(x)[1:] for x in got} == grouped(words) and len(got) == len(words)
+
+
+def test_forms_lead_to_their_root_and_empty_tables(spark):
+    words = {"aaaaaaaa": 2, "aaaaaaab": 20, "aaaaaabb": 200, "aaaaabbb": 2000, "aaaabbbb": 20_000, "other": 5, "others": 5}
+    words |= {f"{c}aaaaabbb": 2 for c in "abcdefg"} | {"tiebreakx": 50, "tiebreaky": 50, "tiebreakz": 2}
+    got = {x.word: x for x in variants.group_variants(spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    assert {w: tuple(x)[1:] for w, x in got.items()} == grouped(words)
+    assert got["aaaaaaaa"].root == "aaaabbbb" and got["tiebreakz"].form == "tiebreakx"
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    none = variants.spelling_variants(docs)
+    assert none.count() == 0 and none.columns == ["word", "form", "root", "n", "n_near", "form_n"]
