@@ -149,7 +149,9 @@ def safe_label(c: Column) -> Column:
 
 
 def lenient_int(c: Column, default: int | None = None) -> Column:
-    return F.coalesce(F.trim(c.cast("string")).try_cast("double").cast("int"), F.lit(default))
+    """The whole part of a number's text as a long; what is no number, or none that fits, is `default`."""
+    t = F.trim(c.cast("string"))
+    return F.coalesce(t.try_cast("long"), F.when(~F.isnan(t.try_cast("double")), t.try_cast("double").try_cast("long")), F.lit(default).cast("long"))
 
 
 def fixed(c: Column, places: int) -> Column:

@@ -7,12 +7,10 @@ from pathlib import PurePath
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions import text as T
+from lodestream.functions.json import fields, kind, plain_text, strict
 from lodestream.operators import dedup, validate
 from lodestream.spec import MISSING, RECORD_COLUMNS
 
-ITEM = ", ".join(f"{c} string" for c in (*RECORD_COLUMNS, "evidence_id"))
-
 
 def batches(evidence: DataFrame, size: int, by: list[str], order: list[str]) -> DataFrame:
     """Adds batch (from 0) of `size` rows each within a document."""
@@ -36,27 +34,77 @@ def combined_status(status: str = "status") -> Column:
     )
 
 
+#: What an item of an answer may say of type and relation.
+_ONE_OF = {"target_type": ("MIC", "pMIC", MISSING), "target_relation": ("=", "<", ">", MISSING)}
+
+
+def _items(v: Column) -> Column:
+    """Of an answer's JSON value, the items (array<variant>) where it is an array or an object that has one as `records`."""
+    held = F.coalesce(F.try_variant_get(v, "$.records", "variant"), v)
+    return F.when(kind(held) == "ARRAY", F.try_variant_get(held, "$", "array<variant>"))
+
+
+_FIELDS = (*RECORD_COLUMNS, "evidence_id")
+
+
+def _item(m: Column) -> Column:
+    """The known fields of an object (map<string,variant>) as texts."""
+    return F.struct(*[plain_text(F.try_element_at(m, F.lit(c))).alias(c) for c in _FIELDS])
+
+
+def _problem(name: Column, v: Column) -> Column:
+    """What is wrong with a field that an item has; null for a good one. target_value may be anything."""
+    out = F.when(~name.isin(*_FIELDS, "warnings"), F.concat(name, F.lit(": no such field")))
+    out = out.when(name == "warnings", F.when((kind(v) != "ARRAY") | ~F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda w: kind(w) == "STRING"), "warnings: not a list of texts"))
+    out = out.when((name != "target_value") & (kind(v) != "STRING"), F.concat(name, F.lit(": not a text")))
+    for c, allowed in _ONE_OF.items():
+        out = out.when((name == c) & ~F.try_variant_get(v, "$", "string").isin(*allowed), f"{c}: none of {', '.join(allowed)}")
+    return out
+
+
 def parse_lenient(responses: DataFrame, response: str = "response") -> DataFrame:
-    """Items of an array or of `{"records": [...]}`; an answer of another shape gives a warning row.
-    Columns: those of responses, item_index, item (struct; null with a warning), warning."""
-    r = F.col(response)
-    listed = F.from_json(r, f"array<struct<{ITEM.replace(' string', ':string')}>>")
-    held = F.from_json(r, f"records array<struct<{ITEM.replace(' string', ':string')}>>")["records"]
-    bad = F.try_parse_json(r).isNull()
-    kind = F.substring(T.strip(r), 1, 1)
-    items = F.when(kind == "[", listed).when(kind == "{", held)
-    warning = F.when(bad | r.isNull(), "Invalid JSON response").when(items.isNull(), "LLM response must be a JSON array.")
-    d = responses.withColumn("warning", warning).withColumn("items", F.when(F.col("warning").isNull(), items))
-    return d.select(*responses.columns, F.posexplode_outer("items").alias("item_index", "item"), "warning").where("item is not null or warning is not null")
+    """Items of an array or of `{"records": [...]}`, each judged by itself; an answer of another shape gives a warning row.
+
+    Columns: those of responses, item_index, item (struct of texts; null with a warning), warning, item_warnings (the item's own, and
+    `target_relation_missing` where it has a value without one).  A bad item (no object, an unknown field, a field that is no
+    text, a type or relation that isn't known) is a row with the warning `record {index}: ...`, and the others stay.
+    target_value may be anything: a number as Python writes it, nested values as JSON.  A field that an item lacks is null.
+    Objects that name a field twice are not JSON here."""
+    d = responses.withColumn("v", strict(F.col(response)))
+    d = d.withColumn("items", _items(F.col("v"))).withColumn("warning", F.when(F.col("v").isNull(), "Invalid JSON response").when(F.col("items").isNull(), "LLM response must be a JSON array."))
+    d = d.select(*responses.columns, "warning", F.posexplode_outer("items").alias("item_index", "x")).where("x is not null or warning is not null").withColumn("m", fields(F.col("x")))
+    bad = F.filter(F.transform(F.map_entries("m"), lambda e: _problem(e["key"], e["value"])), lambda p: p.isNotNull())
+    d = d.withColumn("problems", F.when(F.col("m").isNull(), F.array(F.lit("not an object"))).otherwise(bad))
+    d = d.withColumn("warning", F.coalesce("warning", F.when(F.size("problems") > 0, F.concat(F.lit("record "), "item_index", F.lit(": "), F.array_join("problems", "; ")))))
+    good = F.col("warning").isNull()
+    d = d.withColumn("item", F.when(good, _item(F.col("m"))))
+    said = F.coalesce(F.nullif(F.col("item.target_value"), F.lit("")), F.lit(MISSING)) != MISSING
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.try_variant_get(F.try_element_at("m", F.lit("warnings")), "$", "array<string>"), none)
+    bare = F.when(said & (F.coalesce(F.col("item.target_relation"), F.lit(MISSING)) == MISSING), F.array(F.lit("target_relation_missing"))).otherwise(none)
+    return d.select(*responses.columns, "item_index", "item", "warning", F.when(good, F.concat(own, bare)).alias("item_warnings"))
+
+
+def payload_items(answers: DataFrame, payload: str = "payload") -> DataFrame:
+    """The columns of answers, item_index and item (struct of texts, whatever they were) of each object among a payload's items;
+    item is null once for a payload that can be read and has none."""
+    d = answers.withColumn("v", strict(F.col(payload))).withColumn("objects", F.filter(_items(F.col("v")), lambda x: kind(x) == "OBJECT")).where("objects is not null")
+    d = d.select(*answers.columns, F.posexplode_outer("objects").alias("item_index", "x")).withColumn("m", fields(F.col("x")))
+    return d.select(*answers.columns, "item_index", F.when(F.col("m").isNotNull(), _item(F.col("m"))).alias("item"))
 
 
 def parse_strict(responses: DataFrame, response: str = "response", text: str = "text") -> DataFrame:
-    """Items of array answers whose every value is in the chunk's text; one bad item rejects its answer whole."""
-    items = F.from_json(F.col(response), f"array<struct<{ITEM.replace(' string', ':string')}>>")
-    good = F.try_parse_json(F.col(response)).isNotNull() & (F.substring(T.strip(F.col(response)), 1, 1) == "[")
-    held = F.forall(items, lambda i: F.coalesce((i["target_value"] != "") & F.contains(F.col(text), i["target_value"]), F.lit(False)))
-    d = responses.withColumn("valid", F.coalesce(good & held, F.lit(False)))
-    return d.select("*", F.posexplode_outer(F.when(F.col("valid"), items)).alias("item_index", "item"))
+    """Items of array answers whose every value is in the chunk's text; one bad item rejects its answer whole: one that is no
+    object, or has a field that is no text. A missing target_value is the text that stands for missing ones."""
+    d = responses.withColumn("v", strict(F.col(response))).withColumn("items", F.when(kind(F.col("v")) == "ARRAY", F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: fields(x))))
+
+    def fine(m: Column) -> Column:
+        texts = F.forall(F.map_entries(m), lambda e: ~e["key"].isin(*RECORD_COLUMNS) | (kind(e["value"]) == "STRING"))
+        value = F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit("target_value")), "$", "string"), F.lit(MISSING))
+        return F.coalesce(texts & (value != "") & F.contains(F.col(text), value), F.lit(False))
+
+    d = d.withColumn("valid", F.coalesce(F.forall("items", fine), F.lit(False)))
+    return d.select(*responses.columns, "valid", F.posexplode_outer(F.when(F.col("valid"), F.transform("items", lambda m: _item(m)))).alias("item_index", "item"))
 
 
 def replay_file(folder: str | None, name: str, suffix: str = ".json") -> str | None:
@@ -71,8 +119,9 @@ def run_batches(answers: DataFrame, records: DataFrame, evidence: DataFrame, key
     """Records of each batch, repaired against that batch's own evidence: of its payload where that can be
     read, else those parsed before. answers: keys, payload; records: keys and an item's fields; evidence:
     keys, evidence_id, source_text. `origin` says which; a batch without either gives no row."""
-    got = parse_lenient(answers.select(*keys, "payload"), "payload").where("item is not null").select(*keys, "item.*", F.lit("payload").alias("origin"))
-    rest = records.join(got.select(*keys).distinct(), keys, "left_anti").select(*got.columns[:-1], F.lit("records").alias("origin"))
+    read = payload_items(answers.select(*keys, "payload")).drop("payload")
+    got = read.where("item is not null").select(*keys, "item.*", F.lit("payload").alias("origin"))
+    rest = records.join(read.select(*keys).distinct(), keys, "left_anti").select(*got.columns[:-1], F.lit("records").alias("origin"))
     here = lambda c: F.to_json(F.struct(*keys, c))  # noqa: E731  an evidence id counts within its batch only
     own = evidence.select(here(F.col("evidence_id").alias("id")).alias("evidence_id"), "source_text")
     d = got.unionByName(rest).withColumn("plain_id", F.coalesce("evidence_id", F.lit("")))

@@ -10,6 +10,7 @@ from lodestream.functions import text as T
 from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, validate
 from lodestream.plans.catalog import _FAN, ORACLES, QUERIES, _query, _read
 from lodestream.plans.documents import parsed as _parsed
+from lodestream.sources import artifacts, readers, scratch, writers
 from lodestream.spec import ASSAYS, MISSING, UNIT_TOKEN
 
 _S = "string"
@@ -205,6 +206,31 @@ def answers_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("o_orderkey", "item_index", "item.compound_id", "item.target_value", "warning")
 
 
+@_query(
+    """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS v, o_orderkey % 3 = 0 AS held FROM orders),
+i AS (SELECT k, v, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS i FROM o)
+SELECT k AS o_orderkey, CAST((i + k) % 9 AS INTEGER) AS item_index,
+  CASE i WHEN 0 THEN 'c' || v WHEN 6 THEN 'd' || v END AS compound_id, CASE i WHEN 0 THEN v WHEN 6 THEN v || '.5' WHEN 8 THEN v END AS target_value, CASE i WHEN 0 THEN '=' END AS target_relation,
+  CASE i WHEN 1 THEN 'not an object' WHEN 2 THEN 'not an object' WHEN 3 THEN 'compound_id: not a text' WHEN 4 THEN 'colour: no such field; target_type: none of MIC, pMIC, NOT_DETECTED' WHEN 5 THEN 'not an object' WHEN 7 THEN 'warnings: not a list of texts' END AS problem,
+  CASE i WHEN 0 THEN 'seen' WHEN 6 THEN 'target_relation_missing' WHEN 8 THEN 'a|target_relation_missing' END AS item_warnings
+FROM i
+"""
+)
+def answers_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that mix good items with numbers, nulls, texts and nested values: each item or what is wrong with it."""
+    k, v = F.col("o_orderkey"), F.col("o_custkey").cast(_S)
+    items = [
+        _text('{"compound_id": "c', v, '", "target_value": "', v, '", "target_relation": "=", "warnings": ["seen"]}'), v, F.lit("null"), _text('{"compound_id": ["', v, '"]}'), _text('{"target_type": "IC50", "colour": ', v, "}"),
+        _text('[{"compound_id": "', v, '"}]'), _text('{"compound_id": "d', v, '", "target_value": ', v, ".50}"), _text('{"target_value": ', v, ', "warnings": [1]}'), _text('{"target_value": ', v, '.0, "warnings": ["a"]}'),
+    ]
+    n = len(items)
+    turned = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(F.array(*items), F.pmod(i - k, F.lit(n)).cast("int")))
+    array = _text("[", F.array_join(turned, ", "), "]")
+    d = replay.parse_lenient(_read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, _text('{"records": ', array, "}")).otherwise(array).alias("response")))
+    return d.select("o_orderkey", "item_index", "item.compound_id", "item.target_value", "item.target_relation", F.regexp_replace("warning", r"^record \d+: ", "").alias("problem"), F.nullif(F.array_join("item_warnings", "|"), F.lit("")).alias("item_warnings"))
+
+
 @_query(
     """
 WITH o AS (SELECT o_custkey % 100 AS source, o_orderkey, o_orderkey % 4 AS k FROM orders)
@@ -479,7 +505,7 @@ def text_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (k % 26 + 1).cast("int"), F.lit(1))
     doc = F.when(k % 2 == 0, _text('{"k": "', F.col("p_size"), '"}')).otherwise('{"k": broken')
     return _read(spark, sf_dir, "part").select(
-        "p_partkey", T.ellipsis(name, 18).alias("short"), F.reverse(F.trim(name)).alias("turned"), T.safe_label(F.trim(name)).alias("label"), T.lenient_int(_text(" ", F.col("p_size"), ".0 ")).alias("size"), T.fixed(F.col("p_retailprice"), 3).alias("price"),
+        "p_partkey", T.ellipsis(name, 18).alias("short"), F.reverse(F.trim(name)).alias("turned"), T.safe_label(F.trim(name)).alias("label"), T.lenient_int(_text(" ", F.col("p_size"), ".0 ")).cast("int").alias("size"), T.fixed(F.col("p_retailprice"), 3).alias("price"),
         T.letter_between(letter, F.lit("C"), F.lit("f")).alias("between_"), tolerant_json(doc, "k string")["k"].alias("k"),
     )
 
@@ -526,3 +552,56 @@ def strict_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = validate.checked(d, strict_type=True)
     return c.select("l_orderkey", "l_linenumber", F.col("error").isNull().alias("accepted"), "error")
+
+
+# artifacts of runs, written and read again -------------------------------------------------------
+_ARTICLE = 40
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """article, n, rows: the parts in groups of 40 at most, each row as (p_partkey, name, size)."""
+    k = F.col("p_partkey")
+    d = _read(spark, sf_dir, "part").select(F.floor(k / _ARTICLE).cast("int").alias("article"), F.struct("p_partkey", F.trim("p_name").alias("name"), "p_size").alias("r"))
+    return d.groupBy("article").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+
+
+def _left_by_runs(spark: SparkSession, sf_dir: str) -> str:
+    """A folder an article: an indented array, lines, one object over several lines, or a file cut off."""
+    path = scratch.folder(spark, "runs")
+    one = lambda r, gap, end: F.concat(F.lit("{"), F.lit(gap), F.lit('"pdf": "'), r["name"], F.lit('",'), F.lit(gap), F.lit('"page": '), r["p_size"].cast(_S), F.lit(","), F.lit(gap), F.lit('"key": '), r["p_partkey"].cast(_S), F.lit(end), F.lit("}"))
+    indented = F.concat(F.lit("[\n  "), F.array_join(F.transform("rows", lambda r: one(r, "\n    ", "\n  ")), ",\n  "), F.lit("\n]"))
+    lines, single = F.array_join(F.transform("rows", lambda r: one(r, " ", "")), "\n"), one(F.col("rows")[0], "\n  ", "\n")
+    text = F.when(F.col("article") % 4 == 0, indented).when(F.col("article") % 4 == 1, lines).when(F.col("article") % 4 == 2, single).otherwise(F.substring(indented, F.lit(1), F.length(indented) - 1))
+    _articles(spark, sf_dir).select(text.alias("value"), "article").write.partitionBy("article").text(path)
+    return path
+
+
+_RUNS = """p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 40) AS INTEGER) AS article, trim(p_name) AS name, p_size FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY k) AS n FROM p WHERE article % 4 < 3)"""
+
+
+@_query(
+    f"""WITH {_RUNS}
+SELECT article, k AS p_partkey, name, CAST(p_size AS VARCHAR) AS page, CAST(NULL AS VARCHAR) AS error FROM f WHERE article % 4 < 2 OR n = 1
+UNION ALL SELECT DISTINCT article, NULL, NULL, NULL, 'not JSON' FROM p WHERE article % 4 = 3"""
+)
+def artifact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of files of every form, each with its article, and what cannot be read."""
+    d = artifacts.typed(artifacts.read_artifacts(spark, _left_by_runs(spark, sf_dir)), "pdf string, page string, key long", "keep")
+    return d.select(F.regexp_extract("path", r"article=(\d+)", 1).cast("int").alias("article"), F.col("key").alias("p_partkey"), F.col("pdf").alias("name"), "page", "error")
+
+
+@_query(f"WITH {_RUNS} SELECT name AS pdf, CAST(p_size AS VARCHAR) AS page, CAST(k AS VARCHAR) AS key FROM f WHERE article % 4 < 2 OR n = 1")
+def review_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows of all runs, every value a text."""
+    return readers.read_review_rows(spark, f"{_left_by_runs(spark, sf_dir)}/article=*/*", ("pdf", "page", "key"))
+
+
+@_query("SELECT 'n' || p_partkey || '.pdf' AS source_file, CAST(2 AS INTEGER) AS page_count, trim(p_name) AS first_page, p_brand || '|' || p_type AS cells, CAST(0.9 AS DOUBLE) AS confidence FROM part")
+def parsed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed documents as a run stores them, read back."""
+    path = scratch.folder(spark, "parsed")
+    d = _read(spark, sf_dir, "part")
+    writers.write_parsed(_parsed(d, _text("n", F.col("p_partkey"), ".pdf"), [F.trim("p_name"), F.lit("second")], F.array(F.array("p_brand", "p_type"))), path)
+    got = readers.read_parsed(spark, path)
+    return got.select("source_file", "page_count", F.col("text_blocks")[0]["text"].alias("first_page"), F.array_join(F.col("tables")[0]["rows"][0], "|").alias("cells"), F.col("text_blocks")[1]["source"]["confidence"].alias("confidence"))

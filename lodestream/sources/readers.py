@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestream.functions import text as T
+from lodestream.functions.json import strict
 from lodestream.operators.evidence import PARSED
 from lodestream.operators.validate import refuse_forbidden
+from lodestream.sources import artifacts
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -103,10 +105,12 @@ def parse_files(files: DataFrame, parser, fail_fast: bool = False) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"{PARSED}, status string, error string")
 
 
-def read_parsed(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents stored as JSON, one document a file or a line. Gold data and earlier outputs are refused."""
+def read_parsed(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
+    """Parsed documents stored as JSON: an object or an array a file, or lines. A file or line that holds something else ends the
+    job, or with `keep` is a row with path and error, or with `drop` is left out. Gold data and earlier outputs are refused."""
     refuse_forbidden(path)
-    return spark.read.schema(PARSED).option("multiLine", True).json(path)
+    d = artifacts.typed(artifacts.read_artifacts(spark, path), PARSED, on_error)
+    return d if on_error == "keep" else d.drop("path")
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -124,16 +128,12 @@ def read_predictions(spark: SparkSession, pattern: str, columns: tuple[str, ...]
 
 def tolerant_json(c: Column, schema: str) -> Column:
     """A JSON text as a struct or array; null where it is missing or malformed."""
-    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+    return F.when(strict(c).isNotNull(), F.from_json(c, schema))
 
 
-def all_strings(d: DataFrame) -> DataFrame:
-    return d.select(*[T.clean(F.col(f"`{c}`")).alias(c) for c in d.columns])
-
-
-def read_review_rows(spark: SparkSession, pattern: str) -> DataFrame:
-    """All review rows of a glob of JSON files, every value a string."""
-    return all_strings(spark.read.option("multiLine", False).json(pattern))
+def read_review_rows(spark: SparkSession, pattern: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """All review rows of a glob of JSON files (arrays, objects or lines), every value a string; what is no object is left out."""
+    return artifacts.strings(artifacts.read_artifacts(spark, pattern), columns)
 
 
 def first_available(key: str, *sources: DataFrame) -> DataFrame:
