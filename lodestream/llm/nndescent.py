@@ -1,21 +1,24 @@
 """Operator 6: approximate nearest neighbours by inner product with NN-descent.
 
-Equal vectors are one node.  A node's vector gets one more component, so that all have
-the length of the longest and the largest inner product is the nearest.  The graph
+Equal vectors are one node.  A node's vector gets one more component, so that all would have
+the length of the longest and the largest inner product be the nearest; the component is kept as what it lacks of that length,
+and nodes are compared by distance, so that in float32 short vectors beside very long ones stay apart.  The graph
 starts from brute force within the cells of TREES random sign projections; then each
 node's neighbours and reverse neighbours (DEGREE of each, of the latter new ones first)
 meet at the node, and every pair of them may become neighbours: the neighbours of a
 neighbour are likely neighbours.  Rounds end when SETTLED of the edges or fewer are new.
 
-A query searches greedily until all of its best `w` seen are expanded, w from START on;
+A query searches greedily from its own node and the ENTRIES longest ones (whose products are large with whatever
+points their way, and which short nodes have no links to) until all of its best `w` seen are expanded, w from START on;
 then w is doubled, until a doubling leaves its k best as they were but for ALIKE of them,
 however far that is.  In the search nodes and queries lie in parts: a hop joins what a
 part of the queries wants expanded with the links of each part of the nodes, the nodes so
 found with their vectors, and the inner products with the queries' pools, all as packed
 arrays, whose number follows the parts and not the candidates.  Both ends follow the data, so that the same constants serve any number of vectors.  The
-best SURE are scored again in double precision on the original vectors.
+best SURE, and the LONGEST longest nodes, are scored again in double precision on the original vectors.  All lengths are taken
+against the longest but those LONGEST, which count as of that length until then, so that a few of any length leave the others as they are.
 
-Every vector is in the graph.  Queries go in parts of about PART, whose vectors each task
+Every vector is in the graph.  Queries go in parts of about PART or PART_BYTES, whose vectors each task
 holds; besides, no task holds more than a cell of CELL vectors, a node's neighbours, a part
 of the nodes with what looks at them in one hop, or a part of the queries with what they find.
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import Stored, require
 
 DEGREE, TREES, CELL, SETTLED = 32, 5, 400, 0.04
-START, AHEAD, SURE, SALTS, PART = 100, 64, 60, 64, 100_000
+START, AHEAD, SURE, SALTS, PART, PART_BYTES, LONGEST, ENTRIES = 100, 64, 60, 64, 100_000, 64 << 20, 64, 16
 #: Nodes of a part, and queries of a part.
 NODES, QUERIES = 4096, 256
 #: A query ends when doubling its width changes this share of its k best or less.
@@ -65,21 +68,36 @@ def _whole_groups(batches, key: int = 0) -> Iterator[pa.Table]:
 
 
 def _matrix(col, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minus half the squared distance of each row of x to each of y."""
+    return x @ y.T - (x * x).sum(1)[:, None] / 2 - (y * y).sum(1)[None, :] / 2
 
 
 def _bounds(k: np.ndarray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
 
 
+#: Lengths are held in this unit, so that none is beyond a double's range.
+UNIT = 2.0**20
+
+
 def _embed(dim: int, longest: float, planes: np.ndarray):
+    """longest: the length, in UNITs, that none counts beyond."""
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) / longest
-            rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-            v = np.column_stack([x, rest]).astype(np.float16)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            most = np.abs(x).max(1)
+            x = x / most[:, None]
+            own = np.sqrt((x * x).sum(1))
+            size = np.minimum(1, most / UNIT * own / longest)
+            x = x / own[:, None] * size[:, None]
+            v = np.column_stack([x, size**2 / (1 + np.sqrt(1 - size**2))]).astype(np.float32)
             cells = [((x @ p.T > 0) @ (1 << np.arange(len(p), dtype=np.int64))).astype(np.int64) for p in planes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in v], pa.binary()), pa.array(np.column_stack(cells).tolist(), pa.list_(pa.int64()))], names=["id", "vec", "cells"])
 
@@ -93,7 +111,7 @@ def _cell(dim: int, k: int):
         ids, x = table["id"].to_numpy(), _matrix(table["vec"], dim)
         us, vs, ss = [], [], []
         for lo in range(0, len(ids), 512):
-            g = x[lo : lo + 512] @ x.T
+            g = _near(x[lo : lo + 512], x)
             g[np.arange(len(g)), lo + np.arange(len(g))] = -np.inf
             n = min(k, len(ids) - 1)
             if n < 1:
@@ -119,7 +137,7 @@ def _local_join(dim: int, emit: int):
             for a, e in zip(at[:-1], at[1:], strict=True):
                 if e - a < 2 or not fresh[a:e].any():
                     continue
-                g = x[a:e] @ x[a:e].T
+                g = _near(x[a:e], x[a:e])
                 f = fresh[a:e]
                 g[~(f[:, None] | f[None, :])] = -np.inf  # these have met before
                 np.fill_diagonal(g, -np.inf)
@@ -210,12 +228,12 @@ def _score(dim: int, x: np.ndarray):
         if not len(v):
             return _pairs("qpart", *[np.zeros(0, np.int64)] * 3)
         v, q = _once(v, q)
-        ids, vec = _cat(block["id"], np.int64), _cat(block["x"], np.float16).reshape(-1, dim)
+        ids, vec = _cat(block["id"], np.int64), _cat(block["x"], np.float32).reshape(-1, dim)
         at = np.searchsorted(ids, v)
         s = np.empty(len(v), np.float32)
         for lo in range(0, len(v), 1 << 15):
             cut = slice(lo, lo + (1 << 15))
-            s[cut] = np.einsum("ij,ij->i", x[q[cut]], vec[at[cut]].astype(np.float32))
+            s[cut] = np.einsum("ij,ij->i", x[q[cut]], vec[at[cut]])
         return _pairs("qpart", q // QUERIES, v, q, s)
 
     return run
@@ -320,8 +338,11 @@ class Index:
         one = ok.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
         self.members = Stored(one, "ann-members")
         self.reps = Stored(self.members.df.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "embedding", "n"), "ann-nodes")
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        n, longest = self.reps.df.agg(F.count("*"), F.max(norm)).first()
+        n = self.reps.df.count()
+        most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+        own = F.aggregate(F.transform("embedding", lambda x: x.cast("double") / F.col("most")), F.lit(0.0), lambda a, x: a + x * x)
+        ends = self.reps.df.withColumn("most", most).select("id", (F.col("most") / UNIT * F.sqrt(own)).alias("size")).orderBy(F.desc("size"), "id").limit(LONGEST + 1).collect()
+        self.ends, longest = [r.id for r in ends[:LONGEST]], ends[-1]["size"] if ends else 1.0
         rng = np.random.default_rng(seed)
         depth = max(1, math.ceil(math.log2(max(2, n) / (CELL / 3))))
         planes = rng.normal(size=(TREES, depth, self.dim))
@@ -362,7 +383,7 @@ class Index:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """queries: q (a node's id). The nodes found best for each: q, v; SURE or 2 * k of them."""
         own = queries.join(self.nodes.df.select(F.col("id").alias("q"), "vec"), "q")
-        parts = max(1, math.ceil(queries.count() / PART))
+        parts = max(1, math.ceil(queries.count() / max(1, min(PART, PART_BYTES // (4 * self.d)))))
         found = None
         for i in range(parts):
             part = self._search(own.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == i), k)
@@ -372,14 +393,26 @@ class Index:
     def _search(self, own: DataFrame, k: int) -> DataFrame:
         held = own.toArrow().sort_by("q")
         asked = held["q"].to_numpy()
-        x = _matrix(held["vec"], self.d)
-        x[:, -1] = 0
+        x = _matrix(held["vec"], self.d).copy()
         parts, n = self.parts, len(asked)
         if not n:
             return self.spark.createDataFrame([], "q long, v long")
-        own_s, two, none, w = (x * x).sum(1).astype(np.float32), np.full(n, 2, np.uint8), np.zeros(n, np.uint8), np.full(n, START, np.int32)
+        x[:, -1] = 0
+        ends = self.nodes.df.where(F.col("id").isin(self.ends[:ENTRIES])).select("id", "vec").toArrow().sort_by("id")  # ENTRIES rows
+        own_s, end_s = (x * x).sum(1, dtype=np.float64), x.astype(np.float64) @ _matrix(ends["vec"], self.d).T
+        long = np.sqrt(np.maximum(own_s, np.finfo(np.float64).tiny))
+        x, own_s, end_s = (x / long[:, None]).astype(np.float32), long.astype(np.float32), (end_s / long[:, None]).astype(np.float32)
+        end_v = ends["id"].to_numpy()
         cuts = [slice(lo, min(lo + QUERIES, n)) for lo in range(0, n, QUERIES)]
-        start = pa.concat_tables([_state(i, parts, asked[c], np.arange(n, dtype=np.int32)[c], own_s[c], two[c], none[c], w[c]) for i, c in enumerate(cuts)])
+
+        def begin(i: int, c: slice) -> pa.Table:
+            q = np.arange(c.start, c.stop, dtype=np.int32)
+            v, s = np.column_stack([asked[c], np.broadcast_to(end_v, (len(q), len(end_v)))]), np.column_stack([own_s[c], end_s[c]])
+            new = np.column_stack([np.ones(len(q), bool), end_v[None, :] != asked[c][:, None]])  # a node once
+            m = int(new.sum())
+            return _state(i, parts, v[new], np.repeat(q, new.sum(1)), s[new], np.full(m, 2, np.uint8), np.zeros(m, np.uint8), np.full(len(q), START, np.int32))
+
+        start = pa.concat_tables([begin(i, c) for i, c in enumerate(cuts)])
         pool = Stored(self.spark.createDataFrame(start, _STATE), "ann-pool")
         self.hops = 0
         while not (now := pool.df.where("part is not null").select("part", "v", "q")).isEmpty():
@@ -402,7 +435,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     members, reps = index.members.df, index.reps.df
     node = reps.select(F.col("id").alias("node"), "embedding")
     asked = Stored(members.where(is_query).join(node, "embedding").select(F.col("vec_id").alias("query_id"), "node", F.col("embedding").alias("qe")), "ann-asked")
-    found = Stored(index.search(asked.df.select(F.col("node").alias("q")).distinct(), k), "ann-found")
+    nodes = asked.df.select(F.col("node").alias("q")).distinct()
+    always = nodes.select("q", F.explode(F.array(*map(F.lit, index.ends)).cast("array<bigint>")).alias("v"))
+    found = Stored(index.search(nodes, k).unionByName(always).distinct(), "ann-found")
     index.drop()
     # the k + 1 smallest ids of a node are all that can be needed; first within salted parts
     many = members.join(reps.where("n > 1").select(F.col("id").alias("node"), "embedding"), "embedding").select("node", "vec_id")

@@ -3,7 +3,7 @@
 A revisit (304) stands for the latest earlier full response of the same canonical
 url: of the one that a revisit refers to, where it names it.  The join is by url and time
 slot: each (url, slot) keeps its last response by a map-side maximum, a window over a
-url's slots (SLOTS at most) carries it forward, and only revisits and responses of one
+url's slots (MOST_SLOTS at most, as many as there are SLOT_ROWS records) carries it forward, and only revisits and responses of one
 slot meet row by row.  Slots hold equal parts of all records (approximate quantiles of
 the times), so that one url with a third of all records is spread over them, and a few
 odd times don't bring all others into one.
@@ -12,7 +12,8 @@ Defined results: a url that is null or has no `://` is canonically empty and nev
 joined, nor are null times (state `missing`); very long urls and header values are taken
 whole; other columns of the table are neither read nor returned; repeated revisits each
 get their row; only responses of status 200 are full; of responses of one time the
-greatest record_id is the latest; a response of the revisit's own time isn't earlier.
+greatest record_id is the latest; a response of the revisit's own time isn't earlier; of header fields
+whose names differ in case alone the one whose name is last in code-point order counts (lower case before upper).
 States: `resolved` (entity tags agree, or without them the modification dates),
 `unverified` (no validator on both sides), `mismatch`, `missing`.  Headers are merged
 where resolved or unverified: those a 304 may carry replace the stored ones."""
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import lower_ascii, require
 
-SLOTS = 256
+#: Records of a slot, and slots at most: a url with all of them has a share of this many rows to a task.
+SLOT_ROWS, MOST_SLOTS = 200_000, 10_000
 #: The header fields that a 304 response may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that don't name content.
@@ -54,26 +56,37 @@ def _weak(tag: Column) -> Column:
 
 def _slot(ts: Column, cuts: list[int]) -> Column:
     """How many of the ascending cuts are ts or less, by halving; null times are in slot 0."""
+    if not cuts:
+        return F.lit(0)
+    at, start = F.lit(cuts), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
-    def among(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ts < F.lit(cuts[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.floor((x["lo"] + x["hi"]) / 2).cast("int")
+        left = (x["lo"] < x["hi"]) & (ts < F.get(at, mid))
+        return F.struct(F.when(left | (x["lo"] >= x["hi"]), x["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(x["hi"]).alias("hi"))
 
-    return F.when(ts.isNull(), 0).otherwise(among(0, len(cuts)))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+    return F.when(ts.isNull(), 0).otherwise(F.aggregate(steps, start, halve, lambda x: x["lo"]))
 
 
-def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+def _head(headers: Column) -> Column:
+    """Header fields by lower-cased name, one value a name."""
+    each = F.array_sort(F.map_entries(headers))
+    names = F.array_sort(F.array_distinct(F.transform(each, lambda e: F.lower(e["key"]))))
+    one = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(each, lambda e: F.lower(e["key"]) == n), -1)["value"].alias("value")))
+    return F.coalesce(one, F.array().cast("array<struct<key:string,value:string>>"))
+
+
+def resolve_revisits(records: DataFrame, slots: int | None = None) -> DataFrame:
     """records: record_id, url, ts (long), kind (`response` or `revisit`), status, etag, last_modified,
     headers map<string,string>, and refers_url, if there is such a column.  One row per revisit: record_id, canonical, state, response_id, headers."""
     require(records, "record_id", "url", "ts", "kind", "status", "etag", "last_modified", "headers")
-    head = F.array_sort(F.map_entries(F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))))
     url = F.col("url")
     if "refers_url" in records.columns:
         url = F.coalesce(F.when(F.col("kind") == "revisit", F.col("refers_url")), url)
-    r = records.select("record_id", canonical_url(url).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", head.alias("head"))
-    cuts = r.agg(F.percentile_approx("ts", [i / slots for i in range(1, slots)])).first()[0] if slots > 1 else None
+    r = records.select("record_id", canonical_url(url).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", _head(F.col("headers")).alias("head"))
+    slots = slots or min(MOST_SLOTS, records.count() // SLOT_ROWS + 1)
+    cuts = records.agg(F.percentile_approx(F.col("ts").cast("long"), [i / slots for i in range(1, slots)], max(10_000, 4 * slots))).first()[0] if slots > 1 else None
     r = r.withColumn("slot", _slot(F.col("ts"), sorted(set(cuts or []))))
     full = F.when((F.col("canonical") != "") & (F.col("kind") == "response") & (F.col("status") == 200) & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "head"))
     r = r.withColumn("full", full).where(F.col("full").isNotNull() | (F.col("kind") == "revisit"))

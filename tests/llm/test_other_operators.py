@@ -89,6 +89,20 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], rec)).count() == 0
 
 
+def test_header_names_that_differ_in_case_and_odd_tables(spark):
+    kinds = "record_id long, url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>, slot string, head string, canonical string"
+    row = lambda i, ts, kind, headers, url="http://a.org/x": (i, url, ts, kind, 200 if kind == "response" else 304, '"t"', None, headers, "s", "h", "c")
+    rows = [row(1, 1, "response", {"Date": "1", "date": "2", "DATE": "0", "Server": "s"}), row(2, 2, "revisit", {"ETag": "a", "etag": "b", "Server": "other"}), row(3, 3, "revisit", None), row(4, None, "revisit", {}), row(5, 5, "revisit", {}, None)]
+    rows += [row(2, 2, "revisit", {"ETag": "a", "etag": "b", "Server": "other"}), row(None, 9, "revisit", {"x": None}), row(7, 7, None, {}), row(8, 8, "response", None, "x" * 100_000)]
+    for slots in (None, 2):
+        got = warc.resolve_revisits(spark.createDataFrame(rows, kinds), slots).collect()
+        by = {x.record_id: x for x in got}
+        assert len(got) == 6 and sum(x.record_id == 2 for x in got) == 2
+        assert by[2].state == "resolved" and by[2].headers == {"date": "2", "server": "s", "etag": "b"} and by[3].headers == {"date": "2", "server": "s"}
+        assert by[4].state == by[5].state == "missing" and by[None].state == "resolved"
+        assert warc.resolve_revisits(spark.createDataFrame([], kinds), slots).count() == 0
+
+
 def test_revisit_edges(spark):
     rec = "record_id long, url string, refers_url string, ts long, kind string, status int, etag string, last_modified string, headers map<string,string>, canonical string, slot string"
     long = "http://a.org/" + "x" * 100_000

@@ -40,3 +40,31 @@ def test_long_vectors(spark):
         s = d @ d[q]
         s[q] = -np.inf
         assert [v for a, _, v, _ in got if a == q] == np.lexsort((np.arange(60), -s))[:5].tolist()
+
+
+def recall(spark, x, k=20):
+    """Share of the truly nearest among those found, and whether every score is exact, for each 20th vector."""
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in nndescent.nearest(d, F.col("vec_id") % 20 == 0, k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, k + 1)) and np.allclose([m[2] for m in mine], s[[m[1] for m in mine]], rtol=1e-9)
+        hits += len({m[1] for m in mine} & set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()))
+    return hits / (k * len(range(0, len(x), 20)))
+
+
+def test_recall_whatever_the_lengths(spark):
+    r = np.random.default_rng(7)
+    unit = r.normal(size=(1200, 32))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    one_long, some_huge = unit.copy(), unit.copy()
+    one_long[17] *= 1e5
+    some_huge[::400] *= 1e140
+    decades = unit * 10 ** r.uniform(-5, 5, size=(1200, 1))
+    for x in (one_long, decades, some_huge):
+        assert recall(spark, x) >= 0.9
