@@ -95,6 +95,10 @@ class _Page:
             s = self.words(1, 3).capitalize() + "."
         if self.r.random() < 0.12:
             s = s.replace(" ", self.pick("!! ", "$$$ ", " | ", "%%% ")).upper() if self.r.random() < 0.5 else s + " &amp; &lt;x&gt; " + self.words(3, 9)
+        if self.r.random() < 0.06:  # a list or a table row, as text
+            s = s.replace(" ", self.pick(" | ", " | ", " · ", " - ")) + self.pick("", " |")
+        if self.r.random() < 0.06:
+            s = s.rstrip(".!?")
         if self.r.random() < 0.2:
             s = s.replace(" ", f' <a href="/{self.word()}">{self.word()}</a> ', 1)
         if self.r.random() < 0.15:
@@ -103,6 +107,8 @@ class _Page:
 
     def block(self) -> str:
         p = self.paragraph
+        if self.r.random() < 0.06:  # what stands in footers too
+            return f"<p>{MAIN}{self.pick('All rights reserved.', 'All rights reserved.', f'Copyright 2019 {self.word()}.', f'{self.sentence()} All rights reserved.', 'Terms of use apply.', f'Licensed under {self.words(1, 4)}.')}</p>"
         return self.pick(*[f"<p>{p()}</p>"] * 12, f"<p>{p()}", f"<p><b>{p()}<br>", f"<h2>{MAIN}{self.words(1, 6).capitalize()}</h2>", f"<ul><li>{p()}</li><li>{p()}</li></ul>", f"<blockquote>{p()}</blockquote>", f"<ol><li>{MAIN}{self.words(1, 5)}</li><li>{p()}</li></ol>", f"<div>{p()}</div>", f"<section><h3>{MAIN}{self.words(1, 4)}</h3><p>{p()}</p></section>", f"<pre>{MAIN}{self.words(3, 30)}</pre>", f"<table><tr><td>{MAIN}{self.words(1, 4)}</td><td>{MAIN}{self.words(1, 3)}</td></tr></table>", f"<figure><img src=x><figcaption>{MAIN}{self.sentence()}</figcaption></figure>", f"{p()}<br>{self.sentence()}<br><br>{self.sentence()}")
 
     def article(self) -> str:
@@ -125,9 +131,48 @@ class _Page:
         rows.append(self.maybe(0.7, f"<tr><td>{REST}{self.pick('&copy; 1999 ', '')}{self.sentence()}</td></tr>"))
         return f"<html><head><title>{self.words(2, 5)}</title></head><body>{self.maybe(0.3, self.advert())}<table width=100%>{''.join(rows)}</table></body></html>"
 
+    # pages and parts that no name or tag tells apart -------------------------------
+    def odd(self) -> str:
+        """A class or id that says nothing, or none."""
+        n = self.pick(self.word()[:3], "f", "ftr", "x1", "b", self.word(), "c-" + self.word())
+        return self.pick("", f" class={n}", f' id="{n}"')
+
+    def small_print(self) -> str:
+        names = ["Imprint", "Terms of use", "Terms", "Privacy", "Privacy policy", "Contact", "About", self.words(1, 2).capitalize()]
+        row = self.pick(" | ", " · ", " - ", " ").join(self.r.sample(names, self.r.randint(2, 4)))
+        owner = f"{self.words(1, 3).capitalize()}{self.pick('', ' Ltd.', ' Inc.')}"
+        inner = self.pick(row, row, f"{self.pick('&copy; ', '© ', 'Copyright ')}{self.pick('2020 ', '1999-2024 ', '')}{self.pick(owner, '', self.sentence())}", f"All rights reserved. {owner}", f"{owner}. All rights reserved.", f"{row} {self.pick('&copy;', '©')} {owner}")
+        tag = self.pick("div", "div", "p")
+        return f"<{tag}{self.odd()}>{REST}{inner}</{tag}>"
+
+    def small_menu(self) -> str:
+        names = [self.pick(self.word(), self.words(1, 2)).capitalize() for _ in range(self.r.randint(2, 7))]
+        sep = self.pick(" | ", " ", " · ")
+        return f"<div{self.odd()}>{REST}{sep.join(names) if sep != ' ' and self.r.random() < 0.4 else sep.join(f'<a href={i}>{n}</a>' for i, n in enumerate(names))}</div>"
+
+    def bare(self) -> str:
+        """An article and nothing else: blocks, one paragraph, or text without any tag."""
+        kind = self.r.random()
+        if kind < 0.3:
+            return self.pick("{}", "<body>{}</body>", "<html><head><title>t</title></head><body>{}</body></html>").format(MAIN + self.pick(self.prose(1, 6), self.words(2, 9).capitalize()))
+        blocks = [f"<p>{MAIN}{self.prose(1, 6)}</p>"] if kind < 0.55 else [self.block() for _ in range(self.r.randint(1, 5))]
+        title = self.maybe(0.4, f"<h1>{MAIN}{self.words(1, 7).capitalize()}</h1>")
+        return self.pick("{}", "<body>{}</body>", "<html><body>{}</body></html>", "<body><div>{}</div></body>", "<article>{}</article>").format(title + "".join(blocks))
+
+    def nameless(self) -> str:
+        """An article with parts around it that only their texts and places tell."""
+        art = "".join([self.maybe(0.8, f"<h1>{MAIN}{self.words(2, 8).capitalize()}</h1>"), *[f"<p>{self.paragraph()}</p>" for _ in range(self.r.randint(1, 7))]])
+        art = self.pick(f"<article>{art}</article>", f"<div{self.odd()}>{art}</div>", art)
+        return f"<html><body>{self.maybe(0.6, self.small_menu())}{art}{self.maybe(0.25, self.small_menu())}{self.maybe(0.85, self.small_print())}</body></html>"
+
     def page(self) -> str:
-        if self.r.random() < 0.12:
+        kind = self.r.random()
+        if kind < 0.12:
             return self.table_page()
+        if kind < 0.2:
+            return self.bare()
+        if kind < 0.3:
+            return self.nameless()
         before = [f() for f, p in ((self.notice, 0.25), (self.header, 0.4), (self.menu, 0.75), (self.advert, 0.4), (self.form, 0.12), (self.sidebar, 0.15)) if self.r.random() < p]
         after = [f() for f, p in ((self.share, 0.15), (self.comments, 0.35), (self.sidebar, 0.3), (self.advert, 0.25), (self.form, 0.2), (self.menu, 0.15), (self.footer, 0.8), (self.notice, 0.15)) if self.r.random() < p]
         if self.r.random() < 0.2:

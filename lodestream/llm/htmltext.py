@@ -3,7 +3,8 @@
 A page is read in one pass into leaf blocks: the texts between block-level tags, each
 with what its ancestors' tags, classes, ids and roles say, the share of linked text and
 features of the text itself.  The field is trained on labelled pages (html_pages.py
-makes TRAIN_PAGES of them; fit() takes any) and decoded by Viterbi over each page.
+makes TRAIN_PAGES of them, bare articles and pages whose parts have no telling names among them; fit() takes any)
+and decoded by Viterbi over each page.
 
 Defined results: null and empty pages give an empty text; scripts, styles, templates,
 inline frames, form controls and titles never give text; an end tag without a start is
@@ -30,7 +31,7 @@ from lodestream.llm.common import require
 from lodestream.llm.crf import LinearChainCRF
 from lodestream.llm.html_pages import MAIN, REST, training_pages
 
-TRAIN_PAGES = 700
+TRAIN_PAGES = 900
 #: Bytes of pages, and leaf blocks, that are handled at a time; a longer page by itself.
 PAGE_BYTES, STEP = 2 << 20, 8192
 
@@ -61,7 +62,7 @@ _N_BITS = len(_TAGS) + len(_NAMES) + len(_ROLES)
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/<>]*)([^<>\"']*(?:\"[^\"<>]*\"[^<>\"']*|'[^'<>]*'[^<>\"']*)*)>")
 _NAME, _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)"), re.compile(r"[^<>\"']*")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SAYS = ("cookie", "©", "copyright", "subscribe", "all rights", "sign up", "log in", "advert")
+_SAYS = ("cookie", "©", "copyright", "subscribe", "all rights", "sign up", "log in", "advert", "imprint", "terms of", "privacy")
 
 
 @functools.lru_cache(65536)
@@ -249,17 +250,17 @@ def features(page: list[tuple[str, int, int, int, float]], lo: int = 0, hi: int
     start, stop = max(lo - 1, 0), min(hi + 1, whole)
     blocks, n = page[start:stop], stop - start
     if hi <= lo:
-        return np.zeros((0, 2 * _N_BITS + 16 + 8))
+        return np.zeros((0, 2 * _N_BITS + 19 + 8))
     path = np.array([b[1] for b in blocks], np.uint64)
     near = np.array([b[2] for b in blocks], np.uint64)
     shift = np.arange(_N_BITS, dtype=np.uint64)
     bits = np.hstack([(path[:, None] >> shift) & np.uint64(1), (near[:, None] >> shift) & np.uint64(1)]).astype(np.float64)
-    num = np.empty((n, 16))
+    num = np.empty((n, 19))
     for i, (s, _, _, depth, linked) in enumerate(blocks):
         k = len(s)
         w = s.count(" ") + 1
         stops = s.count(".") + s.count("!") + s.count("?")
-        num[i] = (np.log1p(k), np.log1p(w), linked, linked > 0.6, min(depth, 12) / 12, stops / w, np.log1p(stops), s.count(",") / w, s[-1] in ".!?:;\"'”»", s[0].isupper(), k / w / 10, s.isupper(), any(map(s.lower().__contains__, _SAYS)), w <= 3, (start + i) / whole, start + i == 0)
+        num[i] = (np.log1p(k), np.log1p(w), linked, linked > 0.6, min(depth, 12) / 12, stops / w, np.log1p(stops), s.count(",") / w, s[-1] in ".!?:;\"'”»", s[0].isupper(), k / w / 10, s.isupper(), any(map(s.lower().__contains__, _SAYS)), w <= 3, (start + i) / whole, start + i == 0, start + i == whole - 1, whole == 1, np.log1p(whole))
     near_num = num[:, [0, 2, 6, 8]]
     prev, nxt = np.zeros((n, 4)), np.zeros((n, 4))
     prev[1:], nxt[:-1] = near_num[:-1], near_num[1:]

@@ -61,6 +61,21 @@ def test_hand_labelled_pages(page, inside, outside):
     assert [x for x in inside if x not in text] == [] and [x for x in outside if x in text] == [], text
 
 
+ONE = "A single paragraph that tells about one thing only, and does so at some length, so that nobody takes it for a label. It ends here."
+RIVER = "On rivers The river rose in spring, and the bridge was closed until engineers had looked at it. It fell again in June."
+ART = "<h1>On rivers</h1><p>The river rose in spring, and the bridge was closed until engineers had looked at it.</p><p>It fell again in June.</p>"
+WHOLE = [
+    (f"<body><p>{ONE}</p></body>", ONE), (ONE, ONE), (f"<html><head><title>t</title></head><body><div>{ONE}</div></body></html>", ONE), ("<body>Just a line</body>", "Just a line"), (f"<article>{ART}</article>", RIVER), (ART, RIVER),
+    (f"<article>{ART}</article><div id=ftr>Copyright 2020</div>", RIVER), (f"<article>{ART}</article><div class=f>Imprint | Terms of use | Privacy</div>", RIVER), (f"<body><div class=x1><a href=/>Home</a> <a href=/b>News</a></div><div class=c2>{ART}</div><div class=zz>All rights reserved. Some Company Ltd.</div></body>", RIVER),
+    (f"<body><p><a href=/>Home</a> | <a href=/2>Next</a></p>{ART}<p>&copy; 2020 River Times</p></body>", RIVER), (f"<article>{ART}<p>All rights reserved.</p></article><footer>&copy; 2020</footer>", f"{RIVER} All rights reserved."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE)
+def test_whole_texts_of_bare_and_nameless_pages(page, text):
+    assert htmltext.main_texts([page], htmltext.default_model()) == [text]
+
+
 def test_nothing_in_the_article_is_dropped():
     page = "<body><nav><a href=/>Home</a></nav><article><h1>On sums and their parts</h1><p>Take <math><mi>x</mi></math> as any number, and <svg><text>y</text></svg> as another one; both are kept as they are here.</p><noscript><p>Kept text, as long as a sentence should be in an article.</p></noscript><script>no()</script></article></body>"
     text = htmltext.main_texts([page], htmltext.default_model())[0]
@@ -89,6 +104,7 @@ def test_pages_of_any_kind(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     by = sorted(got.collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
     assert len(by) == 6 and by[0] == by[1] and by[2].text == "" and by[3].n_chars == 0 and all(r.n_chars == len(r.text) for r in by)
+    assert by[0].text.startswith("A slow loaf") and by[2].url is None and by[-1].text == "plain text only" and by[4].text == "y"
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
