@@ -7,7 +7,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from lodestream.spec import MISSING
 
@@ -113,20 +113,26 @@ def comma_decimal(c: Column) -> Column:
     return plain_decimal(F.replace(c, F.lit(","), F.lit(".")))
 
 
+def _six(v: str | None) -> str | None:
+    if v is None:
+        return None
+    t = v.replace(",", ".").strip()
+    try:
+        return f"{float(t):.6g}"
+    except ValueError:
+        return t
+
+
 @F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """Numbers to six significant digits (as `%.6g`), which no built-in writes; others unchanged."""
+    return values.map(_six)
 
-    def one(v: str | None) -> str | None:
-        if v is None:
-            return None
-        t = v.replace(",", ".").strip()
-        try:
-            return f"{float(t):.6g}"
-        except ValueError:
-            return t
 
-    return values.map(one)
+@F.pandas_udf(ArrayType(StringType()))
+def all_six_digits(lists: pd.Series) -> pd.Series:
+    """six_digits() of all values of an array."""
+    return lists.map(lambda x: None if x is None else [_six(v) for v in x])
 
 
 def has_number(text: Column, piece: Column) -> Column:

@@ -212,7 +212,7 @@ _E = r"(?:$|[^\p{L}\p{M}\p{Nd}\p{Pc}])"
 def method_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first method of the cascade that a text speaks of, and the first dictionary tag."""
     tags = ((r"\b(?:license|licensed)\b", "licence"), (r"\b(?:the|is)\b", "english"), (r"\b(?:der|die)\b", "german"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(combination.method(F.col("text")), F.lit("none")).alias("method"), F.coalesce(combination.tag_first(F.col("text"), tags), F.lit("other")).alias("tag"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(combination.method("text"), F.lit("none")).alias("method"), F.coalesce(combination.tag_first("text", tags), F.lit("other")).alias("tag"))
 
 
 @_query(

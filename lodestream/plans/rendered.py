@@ -131,8 +131,7 @@ def dictionary_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         " ug/disk; ", way, " was ", k % 70 + 1, ".5 µg/mL after ", k % 24 + 1, " h, a zone of ", k % 20 + 5, " mm, against ", _pick(k, _SP), ".",
     )
     names = ("NP", "bacteria", "drug", "method", "shape", "size_avg", "size_min", "size_max", "dose", "conc", "hours", "fic", "np_value", "both_value", "viability")
-    got = combination.detect(F.col("t"))
-    return _read(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", *[got[f].alias(n) for f, n in zip(combination.FIELDS, names, strict=True)])
+    return _read(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", combination.detect("t").alias("s")).selectExpr("p_partkey", *[f"s.f{i} AS {n}" for i, n in enumerate(names)])
 
 
 _ROWS_SQL = """

@@ -211,3 +211,29 @@ def test_queries_and_their_sql_are_registered_alike():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_dictionary_of_any_size(spark):
+    import time
+
+    from lodestream.functions import dictionary
+
+    names = [f"name{i}" for i in range(10_000)] + ["straße", "amikacin", "Δx"]
+    texts = {"Amikacin, name7; name77 name9999!": ["name7", "name77", "name9999", "amikacin"], "xname7 name7x name_7": [], "STRASSE Straße straße.": ["straße"], "δX and (AMIKACIN)": ["amikacin", "δx"], "": [], "name3 name3 name2": ["name2", "name3"]}
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.perf_counter()
+    got = d.select("t", dictionary.hits("t", names).alias("h"))
+    assert time.perf_counter() - began < 5
+    assert {r.t: r.h for r in got.collect()} == texts
+    assert spark.createDataFrame([(None,)], "t string").select(dictionary.hits("t", names).alias("h")).first().h is None
+    with pytest.raises(ValueError, match="single words"):
+        dictionary.hits("t", ["two words"])
+
+
+def test_snippets_of_odd_blanks(spark):
+    from lodestream.operators import combination
+
+    cases = {"A zone.  Then  more; MIC 4 .\n\n; end": ["A zone.", "A zone. Then more;", "Then more; MIC 4 .", "MIC 4 . ;"], None: [], "  ": [], "zone " * 100 + ". b": None}
+    for text, want in cases.items():
+        got = spark.createDataFrame([(text,)], "t string").select(combination.snippets(F.col("t")).alias("s")).first().s
+        assert got == want or want is None and len(got) == 2 and got[1].startswith("one zone") and len(got[1]) <= 353 and got[1].endswith("zone . b"), got
