@@ -272,28 +272,28 @@ def answers_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAND = """c AS (SELECT l_orderkey * 8 + l_linenumber AS candidate_index, CASE WHEN l_linenumber = 5 THEN 'NOT_DETECTED' ELSE CAST(l_partkey % 50 AS VARCHAR) END AS compound_id, l_returnflag AS target_type, '=' AS target_relation,
-  CAST(l_quantity AS INTEGER) % 3 AS q, CAST(CAST(l_quantity AS INTEGER) % 3 AS VARCHAR) AS target_value, CASE WHEN l_linenumber = 6 THEN 'NOT_DETECTED' ELSE 'µM' END AS target_units, CAST(l_suppkey % 20 AS VARCHAR) AS bacteria, 'ev-' || (l_partkey % 200) AS evidence_id, l_partkey % 200 AS e FROM lineitem)"""
+  CAST(l_quantity AS INTEGER) % 3 AS q, CAST(CAST(l_quantity AS INTEGER) % 3 AS VARCHAR) AS target_value, CASE WHEN l_linenumber = 6 THEN 'NOT_DETECTED' ELSE 'µM' END AS target_units, CAST(l_suppkey % 20 AS VARCHAR) AS bacteria, CASE WHEN l_partkey % 4 = 3 THEN 'gone-' ELSE 'ev-' END || l_partkey AS evidence_id, l_partkey AS e FROM lineitem)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = (F.col("l_quantity").cast("int") % 3).cast(_S)
     return _read(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("candidate_index"), F.when(F.col("l_linenumber") == 5, MISSING).otherwise((F.col("l_partkey") % 50).cast(_S)).alias("compound_id"), F.when(F.col("l_linenumber") % 3 == 0, "C1=CC").otherwise("*CC").alias("smiles"),
-        F.col("l_returnflag").alias("target_type"), F.lit("=").alias("target_relation"), q.alias("target_value"), F.when(F.col("l_linenumber") == 6, MISSING).otherwise("µM").alias("target_units"), (F.col("l_suppkey") % 20).cast(_S).alias("bacteria"), _text("ev-", F.col("l_partkey") % 200).alias("evidence_id"),
+        F.col("l_returnflag").alias("target_type"), F.lit("=").alias("target_relation"), q.alias("target_value"), F.when(F.col("l_linenumber") == 6, MISSING).otherwise("µM").alias("target_units"), (F.col("l_suppkey") % 20).cast(_S).alias("bacteria"), _text(F.when(F.col("l_partkey") % 4 == 3, "gone-").otherwise("ev-"), F.col("l_partkey")).alias("evidence_id"),
     )
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return _read(spark, sf_dir, "part").where(k < 150).select(_text("ev-", k).alias("evidence_id"), _text("value ", k % 2, " of it").alias("text"), F.lit("a.pdf").alias("source_file"), k.cast("int").alias("page"))
+    return _read(spark, sf_dir, "part").select(_text("ev-", k).alias("evidence_id"), _text("value ", k % 2, " of it").alias("text"), F.lit("a.pdf").alias("source_file"), k.cast("int").alias("page"))
 
 
 @_query(
     f"""WITH {_CAND}
-SELECT candidate_index, evidence_id, 'evidence_id' AS field, 'unknown_evidence' AS status FROM c WHERE NOT (e BETWEEN 0 AND 149)
-UNION ALL SELECT candidate_index, evidence_id, 'compound_id', 'missing_value' FROM c WHERE e BETWEEN 0 AND 149 AND compound_id = 'NOT_DETECTED'
-UNION ALL SELECT candidate_index, evidence_id, 'target_units', 'missing_value' FROM c WHERE e BETWEEN 0 AND 149 AND target_units = 'NOT_DETECTED'
-UNION ALL SELECT candidate_index, evidence_id, 'target_value', 'unsupported_value' FROM c WHERE e BETWEEN 0 AND 149 AND q <> e % 2"""
+SELECT candidate_index, evidence_id, 'evidence_id' AS field, 'unknown_evidence' AS status FROM c WHERE e % 4 = 3
+UNION ALL SELECT candidate_index, evidence_id, 'compound_id', 'missing_value' FROM c WHERE e % 4 <> 3 AND compound_id = 'NOT_DETECTED'
+UNION ALL SELECT candidate_index, evidence_id, 'target_units', 'missing_value' FROM c WHERE e % 4 <> 3 AND target_units = 'NOT_DETECTED'
+UNION ALL SELECT candidate_index, evidence_id, 'target_value', 'unsupported_value' FROM c WHERE e % 4 <> 3 AND q <> e % 2"""
 )
 def supervisor_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supervisor's replay: candidates without planned evidence, missing fields, values that their evidence lacks."""
@@ -374,18 +374,20 @@ def review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """
-WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'ev-' || (l_partkey % 500) WHEN l_linenumber % 3 = 1 THEN 'rule-' || (l_suppkey % 30) ELSE 'none' END AS evidence_id FROM lineitem),
-p AS (SELECT 'ev-' || p_partkey AS evidence_id, p_name AS t FROM part WHERE p_partkey < 400 UNION ALL SELECT 'rule-' || s_suppkey, s_name FROM supplier WHERE s_suppkey <= 20)
-SELECT l_orderkey, l_linenumber, t AS evidence_text FROM l LEFT JOIN p USING (evidence_id)
+WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_partkey % 5 = 0 THEN 'gone-' ELSE 'ev-' END || l_partkey WHEN l_linenumber % 3 = 1 THEN 'rule-' || (CASE WHEN l_suppkey % 4 = 0 THEN -1 ELSE 1 END * l_suppkey) ELSE 'none' END AS evidence_id,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'merged ' || l_suppkey END AS merged FROM lineitem),
+p AS (SELECT 'ev-' || p_partkey AS evidence_id, p_name AS t FROM part UNION ALL SELECT 'rule-' || s_suppkey, s_name FROM supplier)
+SELECT l_orderkey, l_linenumber, coalesce(t, merged) AS evidence_text FROM l LEFT JOIN p USING (evidence_id)
 """
 )
 def linked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record's evidence by id, or the N-th rule record's."""
-    n = F.col("l_linenumber") % 3
-    eid = F.when(n == 0, _text("ev-", F.col("l_partkey") % 500)).when(n == 1, _text("rule-", F.col("l_suppkey") % 30)).otherwise("none")
-    ev = _read(spark, sf_dir, "part").where("p_partkey < 400").select(_text("ev-", F.col("p_partkey")).alias("evidence_id"), F.col("p_name").alias("evidence_text"))
-    by_rule = _read(spark, sf_dir, "supplier").where("s_suppkey <= 20").select((F.col("s_suppkey") - 1).alias("rule_index"), F.col("s_name").alias("evidence_text"))
-    return dedup.link_evidence(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", eid.alias("evidence_id")), ev, by_rule).select("l_orderkey", "l_linenumber", "evidence_text")
+    """Each record's evidence by id, or the N-th rule record's, or the first of what was merged into it."""
+    n, p, u = F.col("l_linenumber") % 3, F.col("l_partkey"), F.col("l_suppkey")
+    eid = F.when(n == 0, _text(F.when(p % 5 == 0, "gone-").otherwise("ev-"), p)).when(n == 1, _text("rule-", F.when(u % 4 == 0, -u).otherwise(u))).otherwise("none")
+    merged = F.when(u % 2 == 0, F.array(F.struct(_text("merged ", u).alias("evidence_text")), F.struct(F.lit("a second one").alias("evidence_text"))))
+    ev = _read(spark, sf_dir, "part").select(_text("ev-", F.col("p_partkey")).alias("evidence_id"), F.col("p_name").alias("evidence_text"))
+    by_rule = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).alias("rule_index"), F.col("s_name").alias("evidence_text"))
+    return dedup.link_evidence(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", eid.alias("evidence_id"), merged.alias("merged_evidence")), ev, by_rule).select("l_orderkey", "l_linenumber", "evidence_text")
 
 
 _AUDIT_SQL = f"""
