@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
+from lodestream.operators import numbering
 from lodestream.spec import MISSING, NOT_AVAILABLE, RECORD_COLUMNS, TABLE_LIKE
 
 
@@ -155,8 +156,8 @@ def link_evidence(records: DataFrame, evidence: DataFrame, rules: DataFrame | No
 
 def as_rule_records(records: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     """Rule records as model records: ids `rule-1`, `rule-2` ... within each document, no warnings yet."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return records.withColumn("evidence_id", F.concat(F.lit("rule-"), n)).withColumn("warnings", F.array().cast("array<string>"))
+    d = numbering.running_index(records, by, order, "evidence_id")
+    return d.withColumn("evidence_id", F.concat(F.lit("rule-"), F.col("evidence_id") + 1)).withColumn("warnings", F.array().cast("array<string>"))
 
 
 def review_rows(records: DataFrame) -> DataFrame:

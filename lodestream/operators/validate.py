@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pathlib import PurePath
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
+from lodestream.operators import numbering
 from lodestream.spec import FORBIDDEN_INPUTS, MISSING, REQUIRED
 
 
@@ -39,9 +40,8 @@ def checked(records: DataFrame, fields: tuple[str, ...] = REQUIRED, strict_type:
 
 def judged(records: DataFrame, order: list[str], by: list[str] | None = None, strict_type: bool = False) -> DataFrame:
     """All rows with `missing`, `error` and, where rejected, `message`: `record {i}: ...`, counting all rows of a document from 0.
-    Errors come before the numbers, so that texts nobody asks for aren't carried to them."""
-    i = F.row_number().over(Window.partitionBy(*(by or ["source_file"])).orderBy(*order)) - 1
-    d = checked(records, strict_type=strict_type).withColumn("record_index", i)
+    The rows are written once on the way, so a document may have any number of them."""
+    d = numbering.running_index(checked(records, strict_type=strict_type), by or ["source_file"], order, "record_index")
     return d.withColumn("message", F.when(F.col("error").isNotNull(), F.concat(F.lit("record "), "record_index", F.lit(": "), "error")))
 
 

@@ -1,10 +1,13 @@
-"""Where a job leaves files for another job of the same application."""
+"""Where a job leaves files for another job of the same application; they go when the application ends."""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_roots: set[str] = set()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -15,4 +18,24 @@ def folder(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/checkpoints/lodestream"
-    return f"{root.rstrip('/')}/artifacts-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    top = f"{root.rstrip('/')}/artifacts-{sc.applicationId}"
+    _roots.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in such a folder: what they were made of need not be made again, whichever executor is lost."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sweep() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for root in _roots:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_sweep)
