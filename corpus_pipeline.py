@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_dedup", near_dedup), ("repeats", remove_repeats), ("decontaminate", decontaminate), ("mix", mix_sources)]
 
-#: The classifier, the similarity groups and the byte ranges have no SQL form; tests hold run() against brute force.
+#: The classifier, the similarity groups and the byte ranges have no SQL form; tests hold each stage over odd rows, and its operator against brute force.
 ORACLE_SQL = None
 
 
