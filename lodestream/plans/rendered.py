@@ -77,7 +77,8 @@ def table_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = F.array_join(F.array(*[F.lit(x) if isinstance(x, str) else x.cast(_S) for x in ["Antibacterial", "MSSA", "MRSA", "Code", "Entry", *cells, _text("1", letter), "1"]]), "\n")
     labelled = F.when(k % 16 == 11, tall).when(k % 8 == 7, turned).otherwise(upright)
     page = F.when(k % 4 == 0, coded).when(k % 4 == 1, short).when(k % 4 == 2, pair).otherwise(labelled)
-    return _read(spark, sf_dir, "part").select("p_partkey", F.posexplode(rules.table_records(page)).alias("record_no", "r")).select("p_partkey", "record_no", "r.compound_id", "r.target_relation", "r.target_value", "r.target_units", "r.bacteria", "r.extraction_method", "r.confidence")
+    d = rules.table_records(_read(spark, sf_dir, "part").select("p_partkey", page.alias("text")))
+    return d.select("p_partkey", F.posexplode("r").alias("record_no", "r")).select("p_partkey", "record_no", "r.compound_id", "r.target_relation", "r.target_value", "r.target_units", "r.bacteria", "r.extraction_method", "r.confidence")
 
 
 @_query(

@@ -81,6 +81,39 @@ def test_vertical_table(spark):
     assert [x.target_value for x in r] == ["64", "64", "128"] and {x.confidence for x in r} == {0.8}
 
 
+def tabled(spark, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "r long, text string")  # a column named as the output is
+    return [(x.text, [(y.compound_id, y.target_relation, y.target_value, y.bacteria) for y in x.r]) for x in rules.table_records(d).collect()]
+
+
+def test_header_in_mid_page_and_two_tables(spark):
+    head = "Compounds S.aureus B.subtilis E.coli"
+    page = f"Results of the assays\nBK-9 99 99 99\nMIC (µg/mL)\n{head}\nBK-1 12 20 30\nsome prose\nE.coli B.subtilis S.aureus Compounds\nBK-2 1 2 3 4\n{head}\n{head}\nBK-3 <7 8 -"
+    (_, got), = tabled(spark, page)
+    # before any header a row belongs to no table; a cell is read under the header nearest above it
+    assert got == [("BK-1", "=", "12", "S. aureus"), ("BK-1", "=", "30", "E. coli"), ("BK-2", "=", "2", "S. aureus"), ("BK-3", "<", "7", "S. aureus")]
+    short = "MIC (µg/mL)\nCompd. no\nBc Sa Pa Ec\n1a 1 2 3 4\nnote\nEc Pa Sa Bc\n1b 5 6 7 8"
+    (_, got), = tabled(spark, short)
+    assert got == [("1a", "=", "2", "S. aureus"), ("1a", "=", "4", "E. coli"), ("1b", "=", "5", "E. coli"), ("1b", "=", "7", "S. aureus")]
+
+
+def test_first_kind_with_records_wins(spark):
+    pair = "Entry MIC (µM) c of strains and MRSA MIC (µM) d\n12 1.2 ± 0.1 42.33 21.16 >100 55\nND, indicates\n13 1 2 3 4 5"
+    (_, got), = tabled(spark, "AB-1 is named here\n" + pair)  # looks like a coded table and gives no row
+    assert [x[0] for x in got] == ["12", "12"]
+    (_, got), = tabled(spark, CODED + "\n" + pair)
+    assert {x[0][:3] for x in got} == {"BK-"}
+
+
+def test_tables_of_odd_texts(spark):
+    assert tabled(spark, None, "", "MIC", "no table", "Compd. no MIC (µg/mL)") == []
+    assert len(tabled(spark, CODED, CODED)) == 2  # repeated rows give their records each
+    rows = "\n".join(f"BK-{i % 999 + 1} {i} 20 30 40 50 60" for i in range(30000))
+    (_, got), = tabled(spark, "\n".join([*CODED.split("\n")[:2], rows]))
+    assert len(got) == 60000 and got[-1][2] == "30"
+    assert rules.table_records(spark.createDataFrame([], "text string, x int")).columns == ["text", "x", "r"]
+
+
 def test_page_with_a_table_gives_no_prose(spark):
     both = raw(spark, [CODED, "Compound 9a: MIC = 3 ug/mL for E. coli"], [[["x", "MIC = 7 mg/L E. coli"]]]).collect()
     assert {x.page for x in both if x.stage == 0} == {1} and {x.page for x in both if x.stage == 1} == {2}
