@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
@@ -24,8 +24,20 @@ def merged(records: DataFrame, order: list[str], by: list[str] | None = None) ->
     return _null_safe(agg, noted, key, "left").withColumn("warnings", warnings).drop("noted")
 
 
+def conflict_members(records: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Each distinct row (`row`, with `n_same` copies) of every key (compound, type, organism; none missing)
+    that has more than one, and `n_rows`, how many distinct rows its key has.
+
+    Copies are summed on the map side, then distinct rows by key; the members take their key's number by a join
+    against one row a key. No list of a key's rows is ever made, so a key may hold any share of all rows."""
+    key = [*(by or []), "compound_id", "target_type", "bacteria"]
+    known = ~F.array_contains(F.array("compound_id", "target_type", "bacteria"), MISSING)
+    rows = records.where(known).groupBy(*key, F.concat_ws("|", *RECORD_COLUMNS).alias("row")).agg(F.count("*").alias("n_same"))
+    return _null_safe(rows, rows.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1"), key)
+
+
 def conflicts(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Keys (compound, type, organism; none missing) with more than one distinct row, and these rows."""
+    """conflict_members() as one row a key with a list of its rows, for reports on keys of few rows."""
     key = [*(by or []), "compound_id", "target_type", "bacteria"]
     known = ~F.array_contains(F.array("compound_id", "target_type", "bacteria"), MISSING)
     rows = F.array_sort(F.collect_set(F.concat_ws("|", *RECORD_COLUMNS)))
@@ -38,15 +50,27 @@ def conflict_count(records: DataFrame, by: list[str]) -> DataFrame:
     return one.where("n > 1").groupBy(*by).agg(F.count("*").alias("conflict_count"))
 
 
+def candidate_members(candidates: DataFrame, index: str = "candidate_index") -> DataFrame:
+    """kind, key, first, index: a `duplicate` row for each repeat beside the first like it, and a `conflict` row
+    for each member of a key (missing values included) whose measurements differ, beside the key's first.
+
+    Both come from grouped minima joined back, one row a key, so no key's members meet in a list or a window."""
+    key = ["compound_id", "target_type", "target_relation", "target_value", "target_units", "bacteria"]
+    wide = ["compound_id", "target_type", "bacteria"]
+    candidates = candidates.select(*key, index)
+    dup = _null_safe(candidates, candidates.groupBy(*key).agg(F.min(index).alias("first"), F.count("*").alias("n")).where("n > 1"), key).where(F.col(index) > F.col("first"))
+    unlike = candidates.groupBy(*wide).agg(F.min(index).alias("first"), F.count_distinct("target_relation", "target_value", "target_units").alias("n")).where("n > 1")
+    shown = lambda d, kind, k: d.select(F.lit(kind).alias("kind"), F.concat_ws("|", *k).alias("key"), "first", F.col(index).alias("index"))
+    return shown(dup, "duplicate", key).unionByName(shown(_null_safe(candidates, unlike, wide), "conflict", wide))
+
+
 def candidate_conflicts(candidates: DataFrame, index: str = "candidate_index") -> DataFrame:
-    """A `duplicate` row [first index, this index] for each repeat, and a `conflict` row with all
-    indexes of a key (missing values included) whose measurements differ."""
-    key = ("compound_id", "target_type", "target_relation", "target_value", "target_units", "bacteria")
-    first = F.min(index).over(Window.partitionBy(*key))
-    dup = candidates.withColumn("f", first).where(F.col(index) > F.col("f"))
-    dup = dup.select(F.lit("duplicate").alias("kind"), F.array("f", index).alias("indexes"), F.concat_ws("|", *key).alias("key"))
-    m = candidates.groupBy("compound_id", "target_type", "bacteria").agg(F.array_sort(F.collect_list(index)).alias("indexes"), F.count_distinct("target_relation", "target_value", "target_units").alias("n"))
-    return dup.unionByName(m.where("n > 1").select(F.lit("conflict").alias("kind"), "indexes", F.concat_ws("|", "compound_id", "target_type", "bacteria").alias("key")))
+    """candidate_members() as a supervisor's report has them: [first index, this index] for each repeat, and one
+    row with all indexes of a key whose measurements differ (for keys of few members)."""
+    wide = ["compound_id", "target_type", "bacteria"]
+    dup = candidate_members(candidates, index).where("kind = 'duplicate'").select("kind", F.array("first", "index").alias("indexes"), "key")
+    m = candidates.groupBy(*wide).agg(F.array_sort(F.collect_list(index)).alias("indexes"), F.count_distinct("target_relation", "target_value", "target_units").alias("n"))
+    return dup.unionByName(m.where("n > 1").select(F.lit("conflict").alias("kind"), "indexes", F.concat_ws("|", *wide).alias("key")))
 
 
 def duplicate_status(rows: DataFrame, key: tuple[str, ...] = RECORD_COLUMNS, evidence: str = "evidence_id", text: str = "source_text") -> DataFrame:

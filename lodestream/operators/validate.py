@@ -99,8 +99,45 @@ def schema_issues(candidates: DataFrame) -> DataFrame:
     return candidates.select("candidate_index", "evidence_id", F.explode(F.array_compact(F.array(*each))).alias("i")).select("candidate_index", "evidence_id", "i.*")
 
 
+# Symbols of the line notation for structures
+_ORGANIC = "Cl|Br|[BCNOPSFI]|[bcnops]|\\*"
+_BRACKET = r"\[\d*(?:[A-Z][a-z]?|[a-z][a-z]?|\*)(?:@{1,2})?(?:H\d*)?(?:\++|-+|\+\d+|-\d+)?(?::\d+)?\]"
+_RING, _BOND = r"%\d\d|\d", r"[-=#$:/\\]"
+# end of the fixed values
+_ATOM = rf"(?:{_BRACKET}|{_ORGANIC})"
+_TOKEN = rf"{_BRACKET}|{_ORGANIC}|{_RING}|{_BOND}|[().]"
+# classes of neighbours that can't be: what a bond, a branch, a dot or a ring number can't follow or precede
+_MISPLACED = r"^[^A]|[B(.]$|B[^AR]|\([^AB]|\.[^A]|[B(.]\)"
+
+
+def well_formed(smiles: Column) -> Column:
+    """Whether a structure's text can be read: known atoms, bonds and branches in places they may have, branches
+    that close in order, every ring number closed, and not on the atom that opened it. Null stays null.
+
+    The text becomes one letter a token (A atom, R ring number, B bond; brackets and dots stay), so that places are
+    judged by one pattern and nesting by a running depth, at any depth, in time linear in the text."""
+    tokens = F.regexp_extract_all(smiles, F.lit(_TOKEN), F.lit(0))
+    kind = lambda t: F.when(t.rlike(f"^{_ATOM}$"), "A").when(t.rlike(f"^(?:{_RING})$"), "R").when(t.isin("(", ")", "."), t).otherwise("B")
+
+    def judged(known: Column) -> Column:
+        classes = F.array_join(F.transform(known, lambda x: x["kind"]), "")
+        # the depth after each token; below zero it stays there
+        step = lambda depth, x: F.when(depth < 0, depth).when(x["kind"] == "(", depth + 1).when(x["kind"] == ")", depth - 1).otherwise(depth)
+        rings = F.filter(known, lambda x: x["kind"] == "R")
+        name = lambda x: F.regexp_replace(x["token"], "^%0?", "")
+        numbers = F.array_sort(F.transform(rings, name))
+        # sorted, open and closing numbers come in pairs of equals
+        paired = F.forall(F.transform(numbers, lambda v, i: F.when(i % 2 == 0, v == F.coalesce(F.get(numbers, i + 1), F.lit(""))).otherwise(True)), lambda ok: ok)
+        own = F.exists(F.transform(known, lambda x, i: (x["kind"] == "R") & F.coalesce((F.get(known, i - 1)["kind"] == "R") & (name(F.get(known, i - 1)) == name(x)), F.lit(False))), lambda bad: bad)
+        return ~classes.rlike(_MISPLACED) & (F.aggregate(known, F.lit(0), step) == 0) & paired & ~own
+
+    bound = F.transform(F.array(F.transform(tokens, lambda t: F.struct(t.alias("token"), kind(t).alias("kind")))), judged)
+    whole = (smiles != "") & (F.array_join(tokens, "") == smiles)
+    return F.when(smiles.isNotNull(), F.when(whole, F.get(bound, F.lit(0))).otherwise(False))
+
+
 def structure_status(smiles: Column, parser: Column | None = None) -> Column:
-    """What can be said of a structure string without a chemistry library; parser: a boolean column of one."""
+    """What can be said of a structure string without a chemistry library; parser: a boolean column of one, such as well_formed()."""
     count = lambda c: F.length(smiles) - F.length(F.replace(smiles, F.lit(c), F.lit("")))
     last = F.lit("not_configured") if parser is None else F.when(parser, "valid").otherwise("invalid")
     return (

@@ -312,6 +312,15 @@ def conflict_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.conflicts(_lineitem_records(spark, sf_dir)).select("compound_id", "target_type", "bacteria", F.md5(F.array_join("rows", ";")).alias("rows"))
 
 
+@_query(
+    "WITH r AS (SELECT CAST(l_partkey AS VARCHAR) AS compound_id, l_returnflag AS target_type, CAST(l_suppkey AS VARCHAR) AS bacteria, l_partkey || '|NOT_DETECTED|' || l_returnflag || '|=|' || printf('%.2f', l_discount) || '|' || l_linestatus || '|' || l_suppkey AS row_text, count(*) AS n_same FROM lineitem GROUP BY ALL),"
+    " n AS (SELECT *, count(*) OVER (PARTITION BY compound_id, target_type, bacteria) AS n_rows FROM r) SELECT compound_id, target_type, bacteria, row_text, n_same, n_rows FROM n WHERE n_rows > 1"
+)
+def conflict_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct record of the keys whose records differ, with its copies and its key's number of them."""
+    return dedup.conflict_members(_lineitem_records(spark, sf_dir)).withColumnRenamed("row", "row_text")
+
+
 @_query("WITH g AS (SELECT l_suppkey, l_partkey, l_returnflag, count(DISTINCT printf('%.2f', l_discount) || l_linestatus) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey AS supplier, CAST(count(*) AS BIGINT) AS conflict_count FROM g WHERE n > 1 GROUP BY l_suppkey")
 def conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of disagreeing keys of each supplier."""

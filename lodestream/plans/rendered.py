@@ -312,6 +312,17 @@ def candidate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.candidate_conflicts(_candidates(spark, sf_dir)).select("kind", F.array_join("indexes", ",").alias("indexes"), "key")
 
 
+@_query(
+    f"""WITH {_CAND}, f AS (SELECT *, min(candidate_index) OVER (PARTITION BY compound_id, target_type, target_value, target_units, bacteria) AS f FROM c),
+g AS (SELECT compound_id, target_type, bacteria, min(candidate_index) AS f, count(DISTINCT target_value || '/' || target_units) AS n FROM c GROUP BY ALL)
+SELECT 'duplicate' AS kind, compound_id || '|' || target_type || '|=|' || target_value || '|' || target_units || '|' || bacteria AS key, f AS first_index, candidate_index AS member_index FROM f WHERE candidate_index > f
+UNION ALL SELECT 'conflict', compound_id || '|' || target_type || '|' || bacteria, g.f, candidate_index FROM c JOIN g USING (compound_id, target_type, bacteria) WHERE n > 1"""
+)
+def candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and disagreeing candidates, a row each, beside the first of their key."""
+    return dedup.candidate_members(_candidates(spark, sf_dir)).withColumnsRenamed({"first": "first_index", "index": "member_index"})
+
+
 @_query("WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations), w AS (SELECT DISTINCT conv_id, unnest([2, 0, 99]) AS i, unnest([0, 1, 2]) AS o FROM conversations) SELECT conv_id, turn, CAST(o AS INTEGER) AS replay_ord FROM w JOIN n USING (conv_id, i)")
 def selector_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns at recorded indexes, in the recorded order; those out of range are dropped."""

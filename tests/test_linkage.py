@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import dedup, diagnose, evaluate, replay, rules
+from lodestream.operators import dedup, diagnose, evaluate, replay, rules, validate
 from lodestream.sources import readers, writers
 from lodestream.spec import MISSING, RECORD_COLUMNS
 
@@ -45,6 +45,28 @@ def test_candidate_conflicts(spark):
     assert got == {("duplicate", (0, 1)), ("conflict", (0, 1, 2))}
 
 
+def test_members_of_a_hot_key(spark):
+    """Half of all rows under one key: rows beside their class, and neither a list nor a window in the plan."""
+    n = F.col("id")
+    hot = spark.range(40000).select(
+        F.when(n % 2 == 0, "hot").when(n % 10 == 1, None).otherwise(n.cast("string")).alias("compound_id"), F.lit(MISSING).alias("smiles"), F.lit("MIC").alias("target_type"), F.lit("=").alias("target_relation"),
+        (n % 5000).cast("string").alias("target_value"), F.lit("µM").alias("target_units"), F.lit("E. coli").alias("bacteria"), n.cast("int").alias("candidate_index"), F.lit("clash").alias("first"), F.lit("clash").alias("n"),
+    )
+    c = dedup.conflict_members(hot)
+    got = c.collect()
+    assert len([x for x in got if x.compound_id == "hot"]) == 2500 and all((x.n_same, x.n_rows) == (8, 2500) for x in got if x.compound_id == "hot")
+    m = dedup.candidate_members(hot)
+    kinds = {(x.kind, x.hot): x["count"] for x in m.groupBy("kind", F.col("key").startswith("hot").alias("hot")).count().collect()}
+    # null compounds (one in ten) are equal to each other
+    assert kinds == {("duplicate", True): 17500, ("conflict", True): 20000, ("duplicate", False): 3500, ("conflict", False): 4000}
+    assert m.where("kind = 'conflict' and key like 'hot%'").agg(F.max("first"), F.count_distinct("index")).first() == (0, 20000)
+    for d in (c, m):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "collect_" not in plan and "Window" not in plan
+    empty = hot.limit(0)
+    assert dedup.conflict_members(empty).count() == 0 and dedup.candidate_members(empty).count() == 0
+
+
 @pytest.mark.parametrize(
     ("label", "text", "want"),
     [("4b", "The compounds 4a–4d were active", "compounds 4a–4d"), ("5a", "5a | 12 | 3\n5b | 1", "5a"), ("7", "values 7 and 12", "not available"), ("3c", "a benzimidazole derivative (3c) of", "benzimidazole derivative (3c)"), (MISSING, "x", "not available"), ("9z", "compound 9a-9c only", "not available")],
@@ -215,3 +237,24 @@ def test_suppression_is_null_safe(spark):
 def test_inventory(spark):
     a, b = spark.createDataFrame([("x",), ("y",), ("x",)], "k string"), spark.createDataFrame([("y",), ("z",)], "k string")
     assert {(r.k, r.status) for r in diagnose.inventory(a, b, "k").collect()} == {("x", "missing"), ("y", "existing"), ("z", "extra")}
+
+
+# Structures as a chemist writes them, and texts that are none
+STRUCTURES = (
+    "C", "CC", "C=C", "C#N", "[Na+].[Cl-]", "c1ccccc1", "C1CC1", "CC(C)C", "CC(=O)O", "OC(=O)c1ccccc1", "C(C)(C)C", "N[C@@H](C)C(=O)O", "F/C=C/F", "F/C=C\\F", "C1CCC2CCCCC2C1",
+    "c1ccc2[nH]cnc2c1", "[13CH4]", "[Fe+2]", "[Cu++]", "[O-]S(=O)(=O)[O-]", "BrCCl", "C%12CCCC%12", "C=1CCCCC1", "C(C(C(C)))C", "[H]O[H]", "c1cc[n+]([O-])cc1", "[C@H](F)(Cl)Br", "CC.O", "C1CC1C1CC1", "[nH]1cccc1", "B(O)O", "S", "*C", "P(=O)(O)O", "[CH3:1]C",
+)
+NOT_STRUCTURES = (
+    "C1CC", "C(C", "CC)", "C()C", "(C)C", "=C", "C=", "C==C", "C(=)C", "C..C", ".C", "C.", "[C", "C]", "[]", "C[Na", "Xx", "C1CC2", "C11", "1CC1", "C(C))C(", "C%1C", "C%12CC", "hello world", "C C", "C-", "[+]", "C(.C)", "[C+-]", "C$$C", "",
+)
+
+
+def test_structure_grammar(spark):
+    d = spark.createDataFrame([(x, True) for x in STRUCTURES] + [(x, False) for x in NOT_STRUCTURES], "s string, ok boolean")
+    got = d.select("s", "ok", validate.well_formed(F.col("s")).alias("is")).collect()
+    assert [(x.s, x.ok) for x in got if x["is"] != x.ok] == []
+    long = "C(" * 3000 + "C" + ")" * 3000
+    deep = spark.createDataFrame([(long,), (long + ")",), (None,)], "s string").select(validate.well_formed(F.col("s")).alias("x"))
+    assert [x.x for x in deep.collect()] == [True, False, None]
+    status = d.where("s = 'C1CC'").select(validate.structure_status(F.col("s"), validate.well_formed(F.col("s"))).alias("x")).first().x
+    assert status == "invalid"
