@@ -75,11 +75,32 @@ def field_metrics(pred: DataFrame, truth: DataFrame, fields: Mapping[str, Column
         frame = spark.range(1).drop("id") if groups is None else groups.select(*by).distinct()
         frame = frame.select("*", F.explode(F.array(*map(F.lit, fields))).alias("field"))
         both = frame.join(both, [*by, "field"], "left").fillna(0, ["true_positive", "predicted", "gold"])
+    return _rated(both)
+
+
+def _rated(d: DataFrame) -> DataFrame:
     pr, rc = _ratio(F.col("true_positive"), F.col("predicted")), _ratio(F.col("true_positive"), F.col("gold"))
-    d = both.withColumns({"precision": pr, "recall": rc})
+    d = d.withColumns({"precision": pr, "recall": rc})
     return d.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def metrics_by_level(pred: DataFrame, truth: DataFrame, fields: Mapping[str, Column], by: list[str]) -> DataFrame:
+    """field_metrics() of every group (level `group`) and over all groups (level `all`, `by` null) from one scan of either side.
+
+    Counts are joined once; grouping sets carry them to both levels, and the lesser of two counts is taken at each
+    level after its sums, since the least of sums isn't the sum of least ones. Level `all` has a row for every field."""
+    p, t = _counts(pred, fields, by, "n_pred"), _counts(truth, fields, by, "n_gold")
+    bags = p.join(t, [*by, "field", "value"], "full")
+    # an empty bag of each field, so that both levels are there without any row
+    bags = bags.select(*by, "field", "value", F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_gold", F.lit(0)).alias("n_gold"), F.lit(True).alias("real"))
+    none = pred.sparkSession.range(1).select(*[F.lit(None).cast(bags.schema[c].dataType).alias(c) for c in by], F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("n_pred"), F.lit(0).alias("n_gold"), F.lit(False).alias("real"))
+    keyed = ["field", "value"]
+    sums = [F.sum("n_pred").alias("n_pred"), F.sum("n_gold").alias("n_gold"), F.max("real").alias("real"), F.grouping(F.col(by[0])).alias("wide")]
+    at = bags.unionByName(none).groupingSets([[F.col(c) for c in [*by, *keyed]], [F.col(c) for c in keyed]], *[F.col(c) for c in [*by, *keyed]]).agg(*sums).where("real or wide = 1")
+    level = F.when(F.col("wide") == 1, "all").otherwise("group").alias("level")
+    return _rated(at.groupBy(level, *by, "field").agg(F.sum(F.least("n_pred", "n_gold")).alias("true_positive"), F.sum("n_pred").alias("predicted"), F.sum("n_gold").alias("gold")))
+
+
 def summary(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Means of precision and recall, F1 of these means, and the mean F1."""
     d = metrics.groupBy(*(by or [])).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))

@@ -404,6 +404,16 @@ def article_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.field_metrics(p, t, fields, ["year"]).select("year", "field", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "true_positive")
 
 
+@_query(
+    f"SELECT 'group' AS level, CAST(year AS INTEGER) AS year, field, round(pr, 6) AS precision, round(rc, 6) AS recall, round(f1, 6) AS f1, tp AS true_positive FROM (WITH {_BY} SELECT * FROM f)"
+    f" UNION ALL SELECT 'all', NULL, field, round(pr, 6), round(rc, 6), round(f1, 6), tp FROM (WITH {_ALL} SELECT * FROM f)"
+)
+def metrics_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both in one pass."""
+    p, t, fields = _status_bags(spark, sf_dir)
+    return evaluate.metrics_by_level(p, t, fields, ["year"]).select("level", "year", "field", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "true_positive")
+
+
 @_query(f"WITH {_BY}, a AS (SELECT year, avg(pr) AS mp, avg(rc) AS mr, avg(f1) AS mf FROM f GROUP BY year) SELECT CAST(year AS INTEGER) AS year, round(mf, 6) AS macro_f1, round(CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0 END, 6) AS f1_of_means FROM a")
 def macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean F1, and F1 of mean precision and recall, by year."""

@@ -323,6 +323,16 @@ def candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.candidate_members(_candidates(spark, sf_dir)).withColumnsRenamed({"first": "first_index", "index": "member_index"})
 
 
+@_query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'valid' WHEN 2 THEN 'valid' WHEN 4 THEN 'generic_scaffold' ELSE 'invalid' END AS status FROM part")
+def structure_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings closed or left open, branches of any depth, in order or not, and scaffolds, judged by the grammar."""
+    k = F.col("p_partkey")
+    n = (k % 7 + 1).cast("int")
+    ring, nest = F.concat(F.lit("C%12"), F.repeat(F.lit("=C[NH+]"), n)), F.concat(F.repeat(F.lit("C("), n), F.lit("Cl"), F.repeat(F.lit(")"), n))
+    each = F.when(k % 6 == 0, F.concat(ring, F.lit("C%12"))).when(k % 6 == 1, ring).when(k % 6 == 2, nest).when(k % 6 == 3, F.concat(F.lit("C)C("), nest)).when(k % 6 == 4, F.concat(nest, F.lit("*"))).otherwise(F.concat(nest, F.lit("=")))
+    return _read(spark, sf_dir, "part").select("p_partkey", each.alias("s")).select("p_partkey", validate.structure_status(F.col("s"), validate.well_formed(F.col("s"))).alias("status"))
+
+
 @_query("WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations), w AS (SELECT DISTINCT conv_id, unnest([2, 0, 99]) AS i, unnest([0, 1, 2]) AS o FROM conversations) SELECT conv_id, turn, CAST(o AS INTEGER) AS replay_ord FROM w JOIN n USING (conv_id, i)")
 def selector_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns at recorded indexes, in the recorded order; those out of range are dropped."""

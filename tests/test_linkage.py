@@ -258,3 +258,16 @@ def test_structure_grammar(spark):
     assert [x.x for x in deep.collect()] == [True, False, None]
     status = d.where("s = 'C1CC'").select(validate.structure_status(F.col("s"), validate.well_formed(F.col("s"))).alias("x")).first().x
     assert status == "invalid"
+
+
+def test_metrics_by_level_equal_both_passes(spark):
+    row = "d string, a string, b string"
+    p = spark.createDataFrame([("x", "1", "u"), ("x", "1", None), ("y", "2", "u"), (None, "1", "v")], row)
+    t = spark.createDataFrame([("x", "1", "u"), ("y", "1", "u"), ("z", "", "v"), (None, "1", "v")], row)
+    fields = {c: F.coalesce(F.col(c), F.lit("")) for c in "ab"}
+    for pred, gold in ((p, t), (p, t.limit(0)), (p.limit(0), t.limit(0))):
+        got = evaluate.metrics_by_level(pred, gold, fields, ["d"])
+        cols = ["field", "true_positive", "predicted", "gold", "precision", "recall", "f1"]
+        rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+        assert rows(got.where("level = 'all'").select(*cols)) == rows(evaluate.field_metrics(pred, gold, fields).select(*cols))
+        assert rows(got.where("level = 'group' and d is not null").select("d", *cols)) == rows(evaluate.field_metrics(pred, gold, fields, ["d"]).where("d is not null").select("d", *cols))
