@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
-from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, validate
+from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, failures, normalize, replay, rules, validate
 from lodestream.plans.documents import parsed
+from lodestream.sources import scratch
 from lodestream.sources.readers import tolerant_json
 from lodestream.spec import MISSING, UNIT_TOKEN, DomainSpec, Term
 
@@ -263,6 +264,46 @@ def validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("error").isNull().alias("accepted"), F.md5("message").alias("message"))
 
 
+_FAILED = (
+    f"{_CHECKED}, q AS (SELECT *, doc_id % 5 = 3 AS bad, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS raw_index FROM k),"
+    " j AS (SELECT source, raw_index, 'normalise' AS stage, 'target_value must be a number, a numeric range, or NOT_DETECTED' AS reason, ['invalid target value'] AS c FROM q WHERE bad"
+    " UNION ALL SELECT source, raw_index, 'validate', error, CASE WHEN len(missing) > 0 THEN list_concat(['missing required field'], CASE WHEN list_contains(missing, 'bacteria') THEN ['bacteria normalization problem'] ELSE [] END, CASE WHEN list_contains(missing, 'compound_id') THEN ['compound_id parsing problem'] ELSE [] END)"
+    " WHEN starts_with(error, 'target_value') THEN ['invalid target value'] ELSE ['unknown'] END FROM q WHERE NOT bad AND error IS NOT NULL"
+    " UNION ALL SELECT source, NULL, 'unmapped', unnest(['lost', 'no place named']), ['unknown'] FROM (SELECT DISTINCT source FROM k))"
+)
+
+
+def _failed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw records of whole documents (one value in five is no number), the accepted ones, and the channel: what
+    normalisation refused and what validation's messages, written as JSON and read back, say of the rest."""
+    raw = _doc_records(spark, sf_dir).withColumn("target_value", F.when(F.col("doc_id") % 5 == 3, "n/a").otherwise(F.col("target_value")))
+    good, refused = failures.normalized(raw, ["doc_id"], ["source_file"])
+    checked = validate.checked(good)
+    said = checked.where("error is not null").select("source_file", F.concat(F.lit("record "), "record_index", F.lit(": "), "error").alias("message"))
+    lost = raw.select("source_file").distinct().select("source_file", F.explode(F.array(F.lit("record 99999999999: lost"), F.lit("no place named"))).alias("message"))
+    path = scratch.folder(spark, "messages")
+    said.unionByName(lost).write.json(path)
+    stored = spark.read.schema("source_file string, message string").json(path)
+    return raw, checked.where("error is null"), refused.unionByName(failures.rebuilt(good, stored, ["source_file"]))
+
+
+@_query(f"WITH {_FAILED} SELECT source AS source_file, raw_index, stage, md5(reason) AS reason, array_to_string(c, ';') AS categories FROM j")
+def rejects_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stage rejected, by the raw row's place, from stored messages."""
+    channel = _failed(spark, sf_dir)[2]
+    return channel.select("source_file", "raw_index", "stage", F.md5("reason").alias("reason"), F.array_join("categories", ";").alias("categories"))
+
+
+@_query(
+    f"WITH {_FAILED}, rej AS (SELECT source, count(*) FILTER (WHERE raw_index IS NOT NULL) AS rejected, count(*) FILTER (WHERE raw_index IS NULL) AS unmapped FROM j GROUP BY source), a AS (SELECT source, count(*) AS raw_rows, count(*) FILTER (WHERE NOT bad AND error IS NULL) AS accepted FROM q GROUP BY source)"
+    " SELECT a.source AS source_file, raw_rows, accepted, rejected, unmapped, TRUE AS adds_up FROM a JOIN rej ON a.source IS NOT DISTINCT FROM rej.source"
+)
+def failure_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected rows of each source against its raw ones."""
+    raw, accepted, channel = _failed(spark, sf_dir)
+    return failures.balance(raw, accepted, channel, ["source_file"])
+
+
 @_query(
     f"""WITH {_CHECKED}, x AS (SELECT doc_id, unnest(CASE WHEN len(missing) > 0 THEN list_concat(['missing required field'], CASE WHEN list_contains(missing, 'bacteria') THEN ['bacteria normalization problem'] ELSE [] END, CASE WHEN list_contains(missing, 'compound_id') THEN ['compound_id parsing problem'] ELSE [] END)
   WHEN starts_with(error, 'target_value') THEN ['invalid target value'] ELSE ['unknown'] END) AS category FROM k WHERE error IS NOT NULL)
