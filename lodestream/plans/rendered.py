@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
-from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, validate
+from lodestream.operators import combination, dedup, diagnose, evaluate, evidence, normalize, replay, rules, runs, validate
 from lodestream.plans.catalog import _FAN, ORACLES, QUERIES, _query, _read
 from lodestream.plans.documents import parsed as _parsed
 from lodestream.sources import artifacts, readers, scratch, writers
@@ -628,3 +628,23 @@ def parsed_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.write_parsed(_parsed(d, _text("n", F.col("p_partkey"), ".pdf"), [F.trim("p_name"), F.lit("second")], F.array(F.array("p_brand", "p_type"))), path)
     got = readers.read_parsed(spark, path)
     return got.select("source_file", "page_count", F.col("text_blocks")[0]["text"].alias("first_page"), F.array_join(F.col("tables")[0]["rows"][0], "|").alias("cells"), F.col("text_blocks")[1]["source"]["confidence"].alias("confidence"))
+
+
+_SUFFIXES = ["_debug", "_rules_final", "", "_Probe", "_v2", "_dedup_fix", "_full"]
+
+
+@_query(
+    f"""WITH a AS (SELECT c_custkey, DATE '1998-01-01' + CAST(c_custkey % 900 AS INTEGER) AS asked FROM customer),
+r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS ran, 'run' || o_orderkey || {_pick_sql('o_orderkey', _SUFFIXES)} AS run_name, (o_orderkey % 1000) / 1000.0 AS f FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 IN (2, 4, 6)),
+j AS (SELECT c_custkey, run_name, f, row_number() OVER (PARTITION BY c_custkey ORDER BY ran DESC, run_name DESC) AS n FROM a LEFT JOIN r ON o_custkey = c_custkey AND ran <= asked)
+SELECT c_custkey, run_name, round(CAST(f AS DOUBLE) - 0.3, 6) AS improvement, round(CAST(f AS DOUBLE) / 0.3, 6) AS multiplier, f >= 0.3 AS reached FROM j WHERE n = 1"""
+)
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest complete run of each article that may be shown, at the article's own time, against a baseline."""
+    k = F.col("o_orderkey")
+    asked = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article_id"), F.date_add(F.lit("1998-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")).alias("asked_at"))
+    saved = _read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("article_id"), F.to_date("o_orderdate").alias("run_at"), _text("run", k, _pick(k, _SUFFIXES)).alias("run_name"), (F.col("o_orderstatus") == "F").alias("complete"), (k % 1000 / 1000.0).alias("macro_f1")
+    )
+    d = runs.latest(asked, saved.where(runs.shown(F.col("run_name")))).select(F.col("article_id").alias("c_custkey"), "run.run_name", runs.against(F.col("run.macro_f1"), 0.3).alias("b"))
+    return d.select("c_custkey", "run_name", F.round("b.improvement", 6).alias("improvement"), F.round("b.multiplier", 6).alias("multiplier"), "b.reached")
