@@ -39,6 +39,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(d: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over all cores. A table of a few numbers is one row group, read by one task, however much is made of each row."""
+    return d.repartition(4 * d.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
