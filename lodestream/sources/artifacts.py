@@ -1,9 +1,10 @@
 """JSON artifacts that runs leave: a file holds an object, an array (indented or not) or lines, and says itself which.
 
-A file all of whose lines are JSON is read by lines, wherever Spark splits it; any other is read whole, one row a file.
+A file all of whose lines are JSON is read by lines, any other whole.  Files up to a size are rows of one scan, in which each says
+its form, so that any number of them costs the driver nothing beyond Spark's own listing.  Larger ones are read by lines, wherever
+Spark splits them, where all their lines are JSON, else one row a file; the driver knows these by name, at most one for each such size of input.
 Values are VARIANT, so items of one file may differ; each row names its file, and what cannot be read is a row with an
-error instead of a row less.  Spark's readers open every path.  Which files are read whole is known to the driver by
-name, as Spark's own listing is."""
+error instead of a row less.  Spark's readers open every path."""
 
 from __future__ import annotations
 
@@ -18,30 +19,43 @@ from lodestream.functions import text as T
 from lodestream.functions.json import fields, kind, plain_text, strict
 
 AUTO, LINES, WHOLE = "auto", "lines", "whole"
-_WITHOUT = "path string, item_index long, item variant, error string"
 
 
 def _literal(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(path))
 
 
-def _exploded(texts: DataFrame, place: Column | None) -> DataFrame:
-    """texts: path, value. An array's items are numbered within it, an object is item 0, a line has its place."""
-    d = texts.withColumn("v", strict(F.col("value"))).withColumn("kind", kind(F.col("v")))
-    items = F.when(F.col("kind") == "ARRAY", F.try_variant_get("v", "$", "array<variant>")).when(F.col("kind") == "OBJECT", F.array("v"))
-    if place is not None:
-        items = F.when(F.col("kind").isNotNull(), F.coalesce(items, F.array("v")))
-    error = F.when(F.col("kind").isNull(), "not JSON").when(~F.col("kind").isin("ARRAY", "OBJECT") & F.lit(place is None), "neither an object nor an array")
-    d = d.withColumn("error", error).select("path", "error", *([] if place is None else [place.alias("at")]), F.posexplode_outer(F.when(error.isNull(), items)).alias("i", "item")).where("item is not null or error is not null")
-    index = F.col("i").cast("long") if place is None else F.col("at")
-    return d.select("path", index.alias("item_index"), "item", "error")
-
-
-def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str = AUTO, columns: Sequence[str] | None = None) -> DataFrame:
+def _exploded(texts: DataFrame, place: Column | None, free: Column | None = None) -> DataFrame:
+    """texts: path, value. An array's items are numbered within it, an object is item 0, a line has its place (null for none).
+    A line may be any value, and so may a text for which `free` is true."""
+    at = F.lit(None).cast("long") if place is None else place
+    loose = at.isNotNull() if free is None else at.isNotNull() | free
+    d = texts.withColumn("v", strict(F.col("value"))).withColumn("kind", kind(F.col("v"))).withColumns({"at": at, "loose": loose})
+    items = F.when(F.col("kind") == "ARRAY", F.try_variant_get("v", "$", "array<variant>")).when((F.col("kind") == "OBJECT") | F.col("loose") & F.col("kind").isNotNull(), F.array("v"))
+    error = F.when(F.col("kind").isNull(), "not JSON").when(~F.col("kind").isin("ARRAY", "OBJECT") & ~F.col("loose"), "neither an object nor an array")
+    d = d.withColumn("error", error).select("path", "error", "at", F.posexplode_outer(F.when(error.isNull(), items)).alias("i", "item")).where("item is not null or error is not null")
+    return d.select("path", F.coalesce("at", F.col("i").cast("long")).alias("item_index"), "item", "error")
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """texts: path, value, a row a file. The file as what can be exploded: itself, or its lines with their places."""
+    value = F.col("value")
+    cut = F.split(F.regexp_replace(value, "^\ufeff", ""), r"\r\n|\n|\r")  # as Spark's reader of lines does
+    piece = lambda x, at, free: F.struct(at.cast("long").alias("at"), x.alias("value"), free.alias("free"))
+    numbered = lambda a: F.filter(F.transform(a, lambda x, i: piece(x, i, F.lit(True))), lambda p: T.strip(p["value"]) != "")
+    itself = lambda free: F.array(piece(value, F.lit(None), free))
+    by_lines = F.forall(cut, lambda x: strict(x).isNotNull() | (T.strip(x) == ""))
+    some = F.exists(T.lines(value), lambda x: F.coalesce(kind(strict(x)) == "OBJECT", F.lit(False)))
+    one_line = ~F.trim(value, F.lit(" \t\r\n")).rlike(r"[\r\n]")
+    pieces = F.when(strict(value).isNotNull(), itself(one_line)).when(by_lines, numbered(cut)).when(some, numbered(T.lines(value))).otherwise(itself(F.lit(False)))
+    return texts.select("path", F.explode(pieces).alias("p")).select("path", "p.*")
+
+
+def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str = AUTO, columns: Sequence[str] | None = None, whole_bytes: int = 16 << 20) -> DataFrame:
     """path, item_index, item (VARIANT), error of all files.
 
     item_index is the item's place in its array, 0 for a file's only object, and the place of a line among those of its
-    part of the file, in ascending order but with gaps.  An empty file has no items.  columns: an object with other fields
+    file or its part of a file of more than `whole_bytes`, in ascending order but with gaps.  An empty file has no items.  columns: an object with other fields
     than these, more or fewer, is an error.  A file that is not JSON and has
     no line that is an object is one error; one that has such lines gives them, and an error for every other line."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -53,21 +67,18 @@ def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str =
     elif form == WHOLE:
         got = _exploded(whole(paths), None)
     elif form == AUTO:
-        got = None
-        listed = sorted(r.path for r in spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path")).collect())  # names, as the driver lists them anyway
-        broken = {r.path for r in lines(paths).where(strict(F.col("value")).isNull()).select("path").distinct().collect()} if listed else set()
-        by_name = {_literal(p): p for p in listed}
-        odd = {_literal(p) for p in broken}
+        texts = spark.read.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes).select(F.col("_metadata.file_path").alias("path"), "value")
+        got = _exploded(_pieces(texts.where(T.strip(F.col("value")) != "")), F.col("at"), F.col("free"))
+        large = sorted(r.path for r in spark.read.format("binaryFile").load(paths).where(F.col("length") > whole_bytes).select(F.col("_metadata.file_path").alias("path")).collect())
+        by_name = [_literal(p) for p in large]
+        odd = {_literal(r.path) for r in lines(by_name).where(strict(F.col("value")).isNull()).select("path").distinct().collect()} if large else set()
         if odd:
             d = whole(sorted(odd))
             one = strict(F.col("value")).isNotNull() | ~F.exists(T.lines(F.col("value")), lambda x: F.coalesce(kind(strict(x)) == "OBJECT", F.lit(False)))
             mixed = d.where(~one).select("path", F.posexplode(T.lines(F.col("value"))).alias("at", "value")).where(T.strip(F.col("value")) != "")
-            got = _exploded(d.where(one), None).unionByName(_exploded(mixed.withColumn("at", F.col("at").cast("long")), F.col("at")))
+            got = got.unionByName(_exploded(d.where(one), None)).unionByName(_exploded(mixed.withColumn("at", F.col("at").cast("long")), F.col("at")))
         if rest := [p for p in by_name if p not in odd]:
-            plain = _exploded(lines(rest).withColumn("at", place), F.col("at"))
-            got = plain if got is None else got.unionByName(plain)
-        if got is None:
-            got = spark.createDataFrame([], _WITHOUT.replace("variant", "string")).withColumn("item", F.try_parse_json("item"))
+            got = got.unionByName(_exploded(lines(rest).withColumn("at", place), F.col("at")))
     else:
         raise ValueError(f"form must be one of {[AUTO, LINES, WHOLE]}")
     if columns is not None:

@@ -1,10 +1,13 @@
 """What the larger tables need: work over all cores, and cheap tests before dear ones that change no result."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import combination
 from lodestream.plans import rendered
+from lodestream.sources import artifacts
 from lodestream.spec import words
 
 
@@ -39,3 +42,42 @@ def test_needles_change_no_tag(spark):
         assert d.where(f"NOT (({plain}) <=> ({guarded}))").count() == 0
     hours = d.select(F.expr(f"t RLIKE '{words('chitosan')}'").alias("x")).first().x
     assert hours  # the dotted capital counts as an i
+
+
+FORMS = {
+    "array": '[{"a": 1}, {"a": 2}]', "indented": '[\n {"a": 1},\n {"a": 2}\n]\n', "lines": '{"a": 1}\n\n{"a": 2}\r\n7\r"x"', "single": '{\n"a": 1\n}', "cut": '[\n {"a": 1},', "mixed": '{"a": 1}\nnot\n{"a": 2}', "empty": " \n", "none": "[]",
+    "scalar": "5", "tall": '"just\\n text"\n', "numbers": "1\n2", "breaks": '{"a": "x\u2028y"}\n{"a": 2}', "spaces": '\u00a0\n{"a": 1}\n',
+}
+
+
+@pytest.fixture(scope="module")
+def forms(tmp_path_factory):
+    at = tmp_path_factory.mktemp("forms")
+    for name, text in FORMS.items():
+        (at / f"{name}.json").write_bytes(text.encode())
+    return str(at)
+
+
+def _rows(d):
+    name = F.regexp_extract("path", r"(\w+)\.json", 1).alias("n")
+    return sorted((r.n, r.item or "", r.error or "") for r in d.select(name, F.to_json("item").alias("item"), "error").collect())
+
+
+def test_artifacts_of_every_form_are_one_scan(spark, forms):
+    d = artifacts.read_artifacts(spark, forms)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    large = artifacts.read_artifacts(spark, forms, whole_bytes=0)
+    assert large._jdf.queryExecution().optimizedPlan().toString().count("Relation [") > 1
+    assert _rows(d) == _rows(large)
+    one = json.dumps({"a": 1}, separators=(",", ":"))
+    assert [x for x in _rows(d) if x[0] in ("cut", "scalar", "single", "none", "empty")] == [("cut", "", "not JSON"), ("scalar", "5", ""), ("single", one, "")]
+
+
+def test_items_of_an_array_on_one_line_have_their_places(spark, forms):
+    d = artifacts.read_artifacts(spark, f"{forms}/array.json").orderBy("item_index")
+    assert [(x.item_index, x.a) for x in d.select("item_index", F.try_variant_get("item", "$.a", "int").alias("a")).collect()] == [(0, 1), (1, 2)]
+
+
+def test_artifacts_are_written_by_all_cores(spark, tables):
+    n = rendered._articles(spark, tables).groupBy(F.spark_partition_id()).count().count()
+    assert n > 1 and rendered.artifact_items(spark, tables).where("error is null").count() == 242 and rendered.review_union(spark, tables).count() == 242
