@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import combination
 from lodestream.plans import rendered
-from lodestream.sources import artifacts
+from lodestream.sources import artifacts, readers
 from lodestream.spec import words
 
 
@@ -81,3 +81,9 @@ def test_items_of_an_array_on_one_line_have_their_places(spark, forms):
 def test_artifacts_are_written_by_all_cores(spark, tables):
     n = rendered._articles(spark, tables).groupBy(F.spark_partition_id()).count().count()
     assert n > 1 and rendered.artifact_items(spark, tables).where("error is null").count() == 242 and rendered.review_union(spark, tables).count() == 242
+
+
+def test_review_rows_of_a_pattern_are_one_scan(spark, forms):
+    d = readers.read_review_rows(spark, f"{forms}/*.json", ("a",))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(x.a for x in d.collect()) == sorted(["1", "2"] * 4 + ["1", "1", "x\u2028y", "2"])
