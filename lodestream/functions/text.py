@@ -19,6 +19,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+def blank(c: Column) -> Column:
+    """Whether strip() would leave nothing; it looks no further than the first character that is no white space."""
+    return ~c.rlike(r"(?U)\S")
+
+
 def clean(c: Column) -> Column:
     """A value as trimmed text; null is empty."""
     return strip(F.coalesce(c.cast("string"), F.lit("")))
@@ -137,7 +142,8 @@ def all_six_digits(lists: pd.Series) -> pd.Series:
 
 def has_number(text: Column, piece: Column) -> Column:
     """Whether the text holds the number with no digit or point beside it (so not at a sentence's end)."""
-    return F.regexp_like(text, F.concat(F.lit(r"(?<![\d.])"), quote(piece), F.lit(r"(?![\d.])")))
+    # a pattern of each row's own is compiled for it, so only where the text has the piece at all
+    return F.contains(text, piece) & F.regexp_like(text, F.concat(F.lit(r"(?<![\d.])"), quote(piece), F.lit(r"(?![\d.])")))
 
 
 def missing(c: Column) -> Column:

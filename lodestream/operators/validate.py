@@ -33,7 +33,7 @@ def checked(records: DataFrame, fields: tuple[str, ...] = REQUIRED, strict_type:
     error = F.when(F.size(m) > 0, F.concat(F.lit("missing required evidence-backed values: "), F.array_join(m, ", ")))
     if strict_type:  # rows that couldn't even be made
         error = F.when(~value_is_number_or_range(F.col("target_value")), "target_value must be a number, a numeric range, or NOT_DETECTED").when(F.size(m) > 0, F.concat(F.lit("missing required evidence-backed values: "), F.array_join(m, ", ")))
-    error = error.when(T.strip(F.coalesce("evidence_text", F.lit(""))) == "", "empty evidence text")
+    error = error.when(T.blank(F.coalesce("evidence_text", F.lit(""))), "empty evidence text")
     error = error.when(~supported(F.col("target_value"), F.col("evidence_text")), F.concat(F.lit("target_value is not supported by evidence text: "), "target_value"))
     return records.withColumns({"missing": m, "error": error})
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream.functions import text as T
 from lodestream.operators import combination
 from lodestream.plans import rendered
 from lodestream.sources import artifacts, readers
@@ -87,3 +88,13 @@ def test_review_rows_of_a_pattern_are_one_scan(spark, forms):
     d = readers.read_review_rows(spark, f"{forms}/*.json", ("a",))
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert sorted(x.a for x in d.collect()) == sorted(["1", "2"] * 4 + ["1", "1", "x\u2028y", "2"])
+
+
+def test_numbers_of_rows_own_patterns_are_made_only_where_the_text_has_them(spark):
+    texts = ["4", "14", "4.", "a 4 b", "text", "", None, "x ", " \t", "4\\E5"]
+    d = spark.createDataFrame([(t, p) for t in texts for p in ("4", "4\\E5", "", None)], "t string, p string")
+    own = F.regexp_like("t", F.concat(F.lit(r"(?<![\d.])"), T.quote(F.col("p")), F.lit(r"(?![\d.])")))
+    assert d.where(~T.has_number(F.col("t"), F.col("p")).eqNullSafe(own)).count() == 0
+    assert d.where(~T.blank(F.col("t")).eqNullSafe(T.strip(F.col("t")) == "")).count() == 0
+    plan = d.select(T.has_number(F.col("t"), F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(") < plan.index("RLIKE")
