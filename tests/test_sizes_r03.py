@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
-from lodestream.operators import combination
+from lodestream.operators import combination, validate
 from lodestream.plans import rendered
 from lodestream.sources import artifacts, readers
 from lodestream.spec import words
@@ -98,3 +98,12 @@ def test_numbers_of_rows_own_patterns_are_made_only_where_the_text_has_them(spar
     assert d.where(~T.blank(F.col("t")).eqNullSafe(T.strip(F.col("t")) == "")).count() == 0
     plan = d.select(T.has_number(F.col("t"), F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Contains(") < plan.index("RLIKE")
+
+
+def test_white_space_is_what_unicode_says(spark):
+    d = spark.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert d.where(F.col("c").rlike(validate._SPACE) != F.col("c").rlike(r"(?U)\s")).count() == 0
+    words_ = ["R1", "R", "xR2 ", "-R12)", "Ar", "-Ar-", "Aromatic", "CAr", "C*C", "NOT_DETECTED", "C C", "C(", "CC", "R١", "Ra", "_R", "éR", "", None]
+    old = F.col("s").rlike(r"(?U)\*|(^|[^A-Za-z0-9])R\d*\b|(^|[^A-Za-z0-9])Ar\b")
+    got = spark.createDataFrame([(w,) for w in words_], "s string").select(validate.structure_status(F.col("s")).alias("x"), old.alias("old")).where("x = 'generic_scaffold' AND NOT old OR x NOT IN ('generic_scaffold', 'not_applicable') AND old")
+    assert got.count() == 0
