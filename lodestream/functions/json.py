@@ -16,7 +16,10 @@ def strict(c: Column) -> Column:
 
 def kind(v: Column) -> Column:
     """What a VARIANT holds: OBJECT, ARRAY, STRING, BOOLEAN, VOID (a JSON null) or a type of numbers; null for none."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    name = F.schema_of_variant(v)
+    for end in "<(_ ":
+        name = F.substring_index(name, end, 1)
+    return name
 
 
 def fields(v: Column) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestream.functions import json as json_
 from lodestream.functions import text as T
 from lodestream.operators import combination, validate
 from lodestream.plans import rendered
@@ -107,3 +108,11 @@ def test_white_space_is_what_unicode_says(spark):
     old = F.col("s").rlike(r"(?U)\*|(^|[^A-Za-z0-9])R\d*\b|(^|[^A-Za-z0-9])Ar\b")
     got = spark.createDataFrame([(w,) for w in words_], "s string").select(validate.structure_status(F.col("s")).alias("x"), old.alias("old")).where("x = 'generic_scaffold' AND NOT old OR x NOT IN ('generic_scaffold', 'not_applicable') AND old")
     assert got.count() == 0
+
+
+def test_answers_items_are_judged_by_all_cores(spark, tables):
+    d = rendered.answers_items(spark, tables)
+    parts = d.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in parts) == 9 * 400 and len(parts) >= spark.sparkContext.defaultParallelism
+    kinds = spark.createDataFrame([(x,) for x in ('{"a": [1]}', "[{}]", '"x<(_"', "1", "1.5", "1e400", "null", "true", "no")], "t string").select(json_.kind(F.try_parse_json("t")).alias("k"), F.regexp_extract(F.schema_of_variant(F.try_parse_json("t")), "^[A-Z]+", 0).alias("r"))
+    assert kinds.where("NOT (k <=> r)").count() == 0
