@@ -3,6 +3,7 @@
 A file all of whose lines are JSON is read by lines, any other whole.  Files up to a size are rows of one scan, in which each says
 its form, so that any number of them costs the driver nothing beyond Spark's own listing.  Larger ones are read by lines, wherever
 Spark splits them, where all their lines are JSON, else one row a file; the driver knows these by name, at most one for each such size of input.
+Files too many to be made and opened one by one can lie packed as rows of a table (writers.write_packed), each still saying its form.
 Values are VARIANT, so items of one file may differ; each row names its file, and what cannot be read is a row with an
 error instead of a row less.  Spark's readers open every path."""
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import text as T
 from lodestream.functions.json import fields, kind, plain_text, strict
 
-AUTO, LINES, WHOLE = "auto", "lines", "whole"
+AUTO, LINES, WHOLE, PACKED = "auto", "lines", "whole", "packed"
 
 
 def _literal(path: str) -> str:
@@ -51,8 +52,14 @@ def _pieces(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.explode(pieces).alias("p")).select("path", "p.*")
 
 
+def _of_texts(texts: DataFrame) -> DataFrame:
+    """texts: path, value, a row a file. The items of each by the form that its text has."""
+    return _exploded(_pieces(texts.where(T.strip(F.col("value")) != "")), F.col("at"), F.col("free"))
+
+
 def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str = AUTO, columns: Sequence[str] | None = None, whole_bytes: int = 16 << 20) -> DataFrame:
-    """path, item_index, item (VARIANT), error of all files.
+    """path, item_index, item (VARIANT), error of all files. With form `packed` the paths are tables of files, a row each
+    (path, value), of any form and read as files of up to `whole_bytes` are.
 
     item_index is the item's place in its array, 0 for a file's only object, and the place of a line among those of its
     file or its part of a file of more than `whole_bytes`, in ascending order but with gaps.  An empty file has no items.  columns: an object with other fields
@@ -68,7 +75,7 @@ def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str =
         got = _exploded(whole(paths), None)
     elif form == AUTO:
         texts = spark.read.text(paths, wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes).select(F.col("_metadata.file_path").alias("path"), "value")
-        got = _exploded(_pieces(texts.where(T.strip(F.col("value")) != "")), F.col("at"), F.col("free"))
+        got = _of_texts(texts)
         large = sorted(r.path for r in spark.read.format("binaryFile").load(paths).where(F.col("length") > whole_bytes).select(F.col("_metadata.file_path").alias("path")).collect())
         by_name = [_literal(p) for p in large]
         odd = {_literal(r.path) for r in lines(by_name).where(strict(F.col("value")).isNull()).select("path").distinct().collect()} if large else set()
@@ -79,8 +86,10 @@ def read_artifacts(spark: SparkSession, paths: str | Sequence[str], form: str =
             got = got.unionByName(_exploded(d.where(one), None)).unionByName(_exploded(mixed.withColumn("at", F.col("at").cast("long")), F.col("at")))
         if rest := [p for p in by_name if p not in odd]:
             got = got.unionByName(_exploded(lines(rest).withColumn("at", place), F.col("at")))
+    elif form == PACKED:
+        got = _of_texts(spark.read.schema("path string, value string").parquet(*paths))
     else:
-        raise ValueError(f"form must be one of {[AUTO, LINES, WHOLE]}")
+        raise ValueError(f"form must be one of {[AUTO, LINES, WHOLE, PACKED]}")
     if columns is not None:
         have, want = F.map_keys(fields(F.col("item"))), F.array(*map(F.lit, columns)).cast("array<string>")
         more, less = F.array_except(have, want), F.array_except(want, have)

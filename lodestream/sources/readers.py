@@ -131,9 +131,9 @@ def tolerant_json(c: Column, schema: str) -> Column:
     return F.when(strict(c).isNotNull(), F.from_json(c, schema))
 
 
-def read_review_rows(spark: SparkSession, pattern: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """All review rows of a glob of JSON files (arrays, objects or lines), every value a string; what is no object is left out."""
-    return artifacts.strings(artifacts.read_artifacts(spark, pattern), columns)
+def read_review_rows(spark: SparkSession, pattern: str, columns: tuple[str, ...] | None = None, form: str = artifacts.AUTO) -> DataFrame:
+    """All review rows of a glob of JSON files (arrays, objects or lines; with form `packed`, of tables of such files), every value a string; what is no object is left out."""
+    return artifacts.strings(artifacts.read_artifacts(spark, pattern, form), columns)
 
 
 def first_available(key: str, *sources: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def write_parsed(parsed: DataFrame, path: str) -> None:
     parsed.write.mode("overwrite").json(path)
 
 
+def write_packed(files: DataFrame, path: str) -> None:
+    """Small text files (path, value) as rows of a table, which artifacts.read_artifacts reads as `packed`: what is written and listed
+    grows with their bytes, not with their number. A reading task holds a batch of 4,096 of them, so they should be small."""
+    files.select("path", "value").write.mode("overwrite").parquet(path)
+
+
 def write_sidecars(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         df.write.mode("overwrite").json(f"{path}/{name}.json")

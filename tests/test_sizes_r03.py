@@ -1,6 +1,7 @@
 """What the larger tables need: work over all cores, and cheap tests before dear ones that change no result."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from lodestream.functions import json as json_
 from lodestream.functions import text as T
 from lodestream.operators import combination, validate
 from lodestream.plans import rendered
-from lodestream.sources import artifacts, readers
+from lodestream.sources import artifacts, readers, writers
 from lodestream.spec import words
 
 
@@ -91,6 +92,28 @@ def test_review_rows_of_a_pattern_are_one_scan(spark, forms):
     assert sorted(x.a for x in d.collect()) == sorted(["1", "2"] * 4 + ["1", "1", "x\u2028y", "2"])
 
 
+def test_packed_files_are_read_as_the_files_are(spark, forms, tmp_path):
+    files = spark.read.text(forms, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    writers.write_packed(files, f"{tmp_path}/packed")
+    d = artifacts.read_artifacts(spark, f"{tmp_path}/packed", artifacts.PACKED)
+    assert files.count() == len(FORMS) and _rows(d) == _rows(artifacts.read_artifacts(spark, forms))
+    places = [sorted((x.path, x.item_index) for x in y.where("path LIKE '%/indented.json'").collect()) for y in (d, artifacts.read_artifacts(spark, forms))]
+    assert [i for _, i in places[0]] == [0, 1] and places[0] == places[1]
+    rows = [sorted(x.a for x in readers.read_review_rows(spark, p, ("a",), f).collect()) for p, f in ((f"{tmp_path}/packed", artifacts.PACKED), (forms, artifacts.AUTO))]
+    assert len(rows[0]) == 12 and rows[0] == rows[1]
+    wrong = [sorted(x.error or "" for x in artifacts.read_artifacts(spark, p, f, ["b"]).collect()) for p, f in ((f"{tmp_path}/packed", artifacts.PACKED), (forms, artifacts.AUTO))]
+    assert any(x.startswith("columns differ") for x in wrong[0]) and wrong[0] == wrong[1]
+
+
+def test_files_of_runs_grow_with_bytes_and_not_with_articles(spark, tables, tmp_path):
+    spark.range(8000).selectExpr("id AS p_partkey", "concat(' part ', id) AS p_name", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = [sum(x.is_file() and x.name.startswith("part-") for x in pathlib.Path(rendered._left_by_runs(spark, at).removeprefix("file:")).rglob("*")) for at in (tables, str(tmp_path))]
+    assert max(files) <= 4 * spark.sparkContext.defaultParallelism + 1
+    assert rendered.review_union(spark, str(tmp_path)).count() == 8000 // 4 * 2 + 50
+    got = rendered.artifact_items(spark, str(tmp_path)).groupBy("article").agg(F.count("p_partkey").alias("n"), F.count("error").alias("e"))
+    assert {x.article: (x.n, x.e) for x in got.collect()} == {a: ((40, 0), (40, 0), (1, 0), (0, 1))[a % 4] for a in range(200)}
+
+
 def test_numbers_of_rows_own_patterns_are_made_only_where_the_text_has_them(spark):
     texts = ["4", "14", "4.", "a 4 b", "text", "", None, "x ", " \t", "4\\E5"]
     d = spark.createDataFrame([(t, p) for t in texts for p in ("4", "4\\E5", "", None)], "t string, p string")
